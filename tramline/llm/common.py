@@ -45,10 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/tramline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again: cuts lineage and outlives executors.
+
+    The write's own shuffle files go when it ends, as nothing reads them again."""
+    spark = df.sparkSession
+    path, key = f"{shared_dir(spark)}/tramline-{label}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
