@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import bpe, quality_rules, url_filters
+from tramline.llm import bpe, ngram_join, quality_rules, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_bpe": bpe.op9_bpe,
