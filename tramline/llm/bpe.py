@@ -27,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import table
+from tramline.llm.common import short_batches, table
 
 SPECIAL = "<|endoftext|>"
 #: A worker keeps the encodings of the last so many distinct words, or twice as many.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: Characters whose class (letter, digit, space, other) is beyond doubt; the pattern below is for them.
@@ -91,7 +91,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self.joints.get(key)
         if known is None:
-            if len(self.joints) > 1_000_000:
+            if len(self.joints) > 500_000:
                 self.joints.clear()
             known = self.joints[key] = self._apart(a, b)
         return known
@@ -174,7 +174,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _chunks(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
+def _chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
     chunk, size = [], 0
     for text in texts:
         chunk.append(text)
@@ -206,7 +206,7 @@ def _decoder(path: str) -> Callable:
 
 def encode(rows: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """rows with `ids` (binary: little-endian unsigned 32-bit integers) for the text in `column`."""
-    rows = rows.drop("ids")
+    rows = short_batches(rows.drop("ids"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(_encoder(path or vocabulary_path(), column), f"{kind}, ids binary")
 

@@ -34,6 +34,14 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after fewer rows go to Python at once: texts may be long, and a batch is in memory several times."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
