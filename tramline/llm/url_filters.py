@@ -1,7 +1,7 @@
 """URL filters: a sort-merge range join of urls with rules.
 
 Host labels are reversed (a.example.net becomes net.example.a.), so all subdomains of a rule's host lie in
-one interval of the sorted keys. Urls and rules are cut at quantiles of the keys; within a cut, a sweep in
+one interval of the sorted keys (host, then path). Urls and rules are cut at quantiles of the keys; within a cut, a sweep in
 key order keeps a stack of the rules whose interval is open. Such intervals nest or are apart, so the stack
 holds just the rules of the current host's ancestors. A rule that spans cuts is sent to each of them.
 
@@ -71,7 +71,7 @@ def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def matched(urls: DataFrame, rules: DataFrame, cuts: int = 64) -> DataFrame:
     """host, path, rule and verdict for each row of urls (distinct host, path); null where no rule fits."""
-    keyed = urls.withColumn("key", host_key(F.col("host")))
+    keyed = urls.withColumn("key", F.concat(host_key(F.col("host")), "path"))
     bounds = _quantiles(keyed, cuts)
     cut = _cut(F.col("key"), bounds)
     ruled = rules.withColumn("key", host_key(F.col("host")))
@@ -87,7 +87,7 @@ def matched(urls: DataFrame, rules: DataFrame, cuts: int = 64) -> DataFrame:
 
 
 def _quantiles(keyed: DataFrame, cuts: int) -> list[str]:
-    """At most `cuts` keys that share the hosts out evenly; any bounds give the same result.
+    """At most `cuts` keys that share the urls out evenly; any bounds give the same result.
 
     They come from a sample whose size is a parameter's multiple, not the table's."""
     sample = keyed.select("key").withColumn("o", F.xxhash64("key")).orderBy("o").limit(64 * cuts)
