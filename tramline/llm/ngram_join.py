@@ -12,11 +12,13 @@ then by 2 for reserved ones. What is left of them, if any, is probed all the sam
 A segment is keyed by the sum of its members' scrambled hashes, so those of its one-deletion neighbourhood
 are differences. Keys that no second set has go at once (partial aggregation, then an equi join).
 
-A key's sets are not all paired: a pivot is compared with the rest, exactly, on the texts. Sets that are
-then in one component need no more comparison. Keys with sets of several components go through further
-rounds: up to SMALL sets are compared pairwise across components, more against PIVOTS pivots a round, until
-no comparison that could join two components is left. So thousands of near copies cost a few comparisons
-each, and no link that would join two components is lost.
+A key's sets are not all paired: each is tied to one pivot, and the components of those ties are clusters
+outside of which no link exists. Within a cluster, sets of neighbouring size bands meet in blocks of BLOCK
+sets. A set is there as a table of counts of its members' hashes, about a byte a member; the difference of
+two such tables never exceeds that of the sets, so most pairs fall at once, and of the others just a forest
+is kept, as sets already joined need no second link. Its edges are compared exactly, on the texts; where one
+fails, the cluster goes through another round without it. Thousands of near copies cost about one
+comparison each, and no link that would join two components is lost.
 
 Sets equal as a whole (128 bits) are one set from the start. Members are 64-bit hashes of n-grams.
 
@@ -35,14 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import forget, hashed_words, lower_ascii, mix64, shingles, stored, table
+from tramline.llm.common import hashed_words, lower_ascii, mix64, shingles, short_batches, stored, table
 from tramline.llm.components import components
 
-#: Keys with up to so many sets are compared pairwise in the second round; others by so many pivots a round.
-SMALL, PIVOTS = 48, 16
+#: Sets of one side in a block of a cluster.
+BLOCK = 1000
 #: Ids in one broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Bits of the filters that go to all tasks.
 _U = np.uint64
 
 
@@ -108,41 +109,103 @@ def _segment_keys(members: np.ndarray, band: int, own: bool, bands: Bands) -> tu
     return probes, offers
 
 
-def _sets(n: int) -> Callable:
+def _sets(n: int, num: int, den: int) -> Callable:
+    """Size, fingerprint and keys (those probed, those only offered) of each text's set."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands, nothing = Bands(num, den), np.empty(0, np.int64)
         for batch in batches:
             out = []
             for text in batch.text:
                 s = shingles(hashed_words(lower_ascii(text))[0], n)
-                out.append((len(s), mix64(s).sum().astype(np.int64), mix64(s ^ _U(0x5BD1E995)).sum().astype(np.int64)))
-            found = pd.DataFrame(out, columns=["n_shingles", "print_a", "print_b"])
+                scrambled = mix64(s)
+                probes, offers = [nothing], [nothing]
+                probed = bands.probed(len(s)) if len(s) else ()
+                for band in probed:
+                    if bands.apart(band) > 0:  # else only equal sets link there, and those are one set
+                        found = _segment_keys(s, band, band == probed[-1], bands)
+                        probes += found[0]
+                        offers += found[1]
+                out.append(
+                    (len(s), scrambled.sum().astype(np.int64), mix64(scrambled ^ _U(0x5BD1E995)).sum().astype(np.int64),
+                     np.concatenate(probes).view(np.int64), np.concatenate(offers).view(np.int64))
+                )
+            found = pd.DataFrame(out, columns=["n_shingles", "print_a", "print_b", "probes", "offers"])
             yield found.assign(doc_id=batch.doc_id.to_numpy())
 
     return run
 
 
-def _keys(n: int, num: int, den: int) -> Callable:
+def _tables(n: int, num: int, den: int) -> Callable:
+    """Size band and table of counts (2^k bytes, at least one for each member) of each text's set."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(num, den)
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.iloc[first : first + 500]
-                ids, keys, probing = [], [], []
-                for doc_id, text in zip(part.doc_id, part.text, strict=True):
-                    s = shingles(hashed_words(lower_ascii(text))[0], n)
-                    if not len(s):
-                        continue
-                    probed = bands.probed(len(s))
-                    for band in probed:
-                        if bands.apart(band) < 1:  # only equal sets link there, and those are one set
-                            continue
-                        for found, flag in zip(_segment_keys(s, band, band == probed[-1], bands), (True, False), strict=True):
-                            for k in found:
-                                ids.append(np.full(len(k), doc_id, np.int64))
-                                keys.append(k.astype(np.int64))
-                                probing.append(np.full(len(k), flag))
-                if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "probe": np.concatenate(probing)})
+            out = []
+            for text in batch.text:
+                s = shingles(hashed_words(lower_ascii(text))[0], n)
+                width = 1 << max(3, (max(len(s), 1) - 1).bit_length())
+                counts = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width)
+                out.append((len(s), bands.of(max(len(s), 1)), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["size", "band", "counts"]).assign(id=batch.doc_id.to_numpy())
+
+    return run
+
+
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).astype(np.int16)
+    return x.reshape(-1, width).sum(0, dtype=np.int16)
+
+
+def _forest(g: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that span what may be linked in one block, apart from what is joined or was compared already."""
+    ids, sizes, labels, sides = g.id.to_numpy(), g["size"].to_numpy(), g.label.to_numpy(), g.side.to_numpy()
+    width = min(map(len, g.counts))
+    tables = np.stack([_folded(x, width) for x in g.counts])
+    failed = [set(x) if x is not None else set() for x in g.failed]
+    two_sides = len(np.unique(sides)) > 1
+    open_, out = np.ones(len(g), bool), []
+    while open_.any():
+        queue = [int(np.argmax(open_))]
+        open_[queue[0]] = False
+        while queue:
+            x = queue.pop()
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                break
+            same = rest[labels[rest] == labels[x]]
+            open_[same] = False
+            queue.extend(same.tolist())
+            rest = np.flatnonzero(open_ & (sides != sides[x]) if two_sides else open_)
+            near = (sizes[rest] + sizes[x]) * (den - num)
+            rest = rest[np.abs(sizes[rest] - sizes[x]) * (den + num) <= near]
+            for first in range(0, len(rest), 256):
+                part = rest[first : first + 256]
+                apart = np.abs(tables[part] - tables[x]).sum(1, dtype=np.int64)
+                for y in part[apart * (den + num) <= (sizes[part] + sizes[x]) * (den - num)].tolist():
+                    if ids[y] not in failed[x] and ids[x] not in failed[y]:
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        open_[y] = False
+                        queue.append(y)
+    return out
+
+
+def _forests(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, held_key = [], None
+
+        def closed() -> pd.DataFrame:
+            edges = _forest(pd.concat(held), num, den) if held and sum(map(len, held)) > 1 else []
+            return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+        for batch in batches:
+            for key, rows in batch.groupby("block", sort=False):
+                if key != held_key:
+                    yield closed()
+                    held, held_key = [], key
+                held.append(rows)
+        yield closed()
 
     return run
 
@@ -170,77 +233,78 @@ def _only(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(right) if right.count() <= BROADCAST_IDS else right, column, f"left_{how}")
 
 
-def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the set's fingerprint for every row."""
-    return docs.select("doc_id", "text").mapInPandas(_sets(n), "n_shingles long, print_a long, print_b long, doc_id long")
-
-
-def _candidates(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, id, probe, pivot) of every key that two sets share and one of them probes."""
-    rows = texts.mapInPandas(_keys(n, num, den), "key long, id long, probe boolean")
+def _ties(sets: DataFrame) -> DataFrame:
+    """(a, b): every set tied to the pivot of each key that they share, where one of a key's sets probes it."""
+    keys = F.concat(
+        F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))),
+        F.transform("offers", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
+    )
+    rows = sets.select(F.col("doc_id").alias("id"), F.explode(keys).alias("k")).select("id", "k.key", "k.probe")
     shared = (
         rows.groupBy("key")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.when(F.col("probe"), F.col("id"))).alias("pivot"))
         .where("low < high AND pivot IS NOT NULL")
         .select("key", "pivot")
     )
-    return stored(rows.join(stored(shared, "keys"), "key").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("pivot").alias("pivot")), "members")
-
+    met = rows.select("id", "key").join(stored(shared, "keys"), "key").where("id <> pivot")
+    return stored(met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "ties")
 
-def _pairs(pivot: str, other: str) -> list:
-    return [F.least(pivot, other).alias("a"), F.greatest(pivot, other).alias("b")]
 
+def _blocks(tables: DataFrame) -> DataFrame:
+    """(block, id, side): sets of a cluster that may be linked meet in a block, at most BLOCK of a side.
 
-def _next_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, id, probe, component) of open keys: pairs to compare, and what stays open after that."""
-    count = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
-    large = members.join(count, "key", "left_semi")
-    small = members.join(count, "key", "left_anti")
-    x = small.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("probe").alias("px"))
-    y = small.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("probe").alias("py"))
-    close = x.join(y, "key").where("x < y AND cx <> cy AND (px OR py)").select(*_pairs("x", "y"))
-    part = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-    pivots = stored(large.where("probe").groupBy("key", part.alias("part")).agg(F.min("id").alias("pivot")).select("key", "pivot"), "pivots")
-    wide = large.join(pivots, "key").where("id <> pivot").select(*_pairs("pivot", "id"))
-    rest = large.join(pivots, (large.key == pivots.key) & (large.id == pivots.pivot), "left_anti")
-    return close.unionByName(wide), rest.select("key", "id", "probe")
+    A block holds sets of one band, or of one band and the next."""
+    parts = tables.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    by_band = parts.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
+    rows = tables.select("id", "cluster", "band").join(by_band, "cluster")
+    own = F.element_at("parts", F.col("band"))
+    at = F.pmod(F.xxhash64("id"), own).cast("int")
+    rows = rows.withColumn("at", at).withColumn("n", own)
+    up, down = (F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0)) for d in (1, -1))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    name = lambda band, kind, i, j: F.concat_ws(":", "cluster", band, F.lit(kind), i, j)
+    within = F.transform(each(F.col("n")), lambda j: F.struct(name(F.col("band"), "w", F.least("at", j), F.greatest("at", j)).alias("block"), (F.col("at") > j).cast("int").alias("side")))
+    upper = F.transform(each(up), lambda j: F.struct(name(F.col("band"), "u", F.col("at"), j).alias("block"), F.lit(0).alias("side")))
+    lower = F.transform(each(down), lambda j: F.struct(name(F.col("band") - 1, "u", j, F.col("at")).alias("block"), F.lit(1).alias("side")))
+    return rows.select("id", F.explode(F.concat(within, upper, lower)).alias("b")).select("id", "b.block", "b.side")
 
 
 def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: links are num/den Jaccard of n-gram sets."""
-    rows = stored(set_table(docs, n), "sets")
+    kind = "n_shingles long, print_a long, print_b long, probes array<long>, offers array<long>, doc_id long"
+    rows = stored(short_batches(docs.select("doc_id", "text")).mapInPandas(_sets(n, num, den), kind), "sets")
     print_ = ["n_shingles", "print_a", "print_b"]
     first = stored(rows.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
-    copies = rows.join(first.where("n > 1"), print_).where("doc_id <> first_id").select("doc_id")
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    members = _candidates(_only(texts, stored(copies, "copies"), "doc_id", "anti"), n, num, den)
-    needed = _only(texts, stored(members.select("id").distinct(), "needed"), "doc_id", "semi")
+    copies = stored(rows.join(first.where("n > 1"), print_).where("doc_id <> first_id").select("doc_id"), "copies")
+    ties = _ties(_only(rows.where("doc_id IS NOT NULL"), copies, "doc_id", "anti"))
+    clusters = stored(components(ties).withColumnRenamed("component", "cluster"), "clusters")
+    needed = _only(docs.select("doc_id", "text"), clusters.select("id"), "doc_id", "semi")
     texts = stored(needed.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    tables = short_batches(texts).mapInPandas(_tables(n, num, den), "size long, band int, counts binary, id long")
+    tables = stored(tables.join(clusters, "id"), "tables")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        by = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        ay = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        met = pairs.join(by, "b").join(ay, "a").select("a", "b", "text_a", "text_b")
-        return stored(met.mapInPandas(_compared(n, num, den), "a long, b long, linked boolean"), "compared")
-
-    tested = [compare(members.where("id <> pivot").select(*_pairs("pivot", "id")).distinct())]
-    left = members.where("id <> pivot").select("key", "id", "probe")
+    by = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ay = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    tested: list[DataFrame] = []
+    groups, left = None, tables.withColumns({"label": F.col("id"), "failed": F.lit(None).cast("array<long>")})
     while True:
+        blocks = _blocks(left).join(left.select("id", "size", "counts", "label", "failed"), "id")
+        edges = blocks.repartition("block").sortWithinPartitions("block", "id").mapInPandas(_forests(num, den), "a long, b long")
+        met = stored(edges.distinct(), "edges").join(by, "b").join(ay, "a").select("a", "b", "text_a", "text_b")
+        tested.append(stored(met.mapInPandas(_compared(n, num, den), "a long, b long, linked boolean"), "compared"))
         known = reduce(DataFrame.unionByName, tested)
         groups = components(known.where("linked"))
-        open_ = left.join(groups, "id", "left").select("key", "id", "probe", F.coalesce("component", "id").alias("component"))
-        several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probe").alias("p")).where("x < y AND p")
-        open_ = stored(open_.join(several.select("key"), "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        pairs, rest = _next_pairs(open_)
-        left = stored(rest, "left")
-        tested.append(compare(pairs.distinct().join(known, ["a", "b"], "left_anti")))
-        if left.isEmpty() and tested[-1].where("linked").isEmpty():
+        if tested[-1].where("NOT linked").isEmpty():
             break
+        bad = known.where("NOT linked")
+        failed = bad.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
+        again = clusters.join(tested[-1].where("NOT linked").select(F.col("a").alias("id")), "id").select("cluster").distinct()
+        next_ = tables.join(again, "cluster", "left_semi").join(failed, "id", "left").join(groups, "id", "left")
+        left = stored(next_.withColumn("label", F.coalesce("component", "id")).drop("component"), "left")
     final = groups.withColumnRenamed("id", "first_id")
     named = first.drop("n").join(final, "first_id", "left").select(*print_, F.coalesce("component", "first_id").alias("component"))
-    return rows.join(stored(named, "named"), print_, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", *print_).join(stored(named, "named"), print_, "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
