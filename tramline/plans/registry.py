@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tramline.plans.frames import FRAMES
+from tramline.plans.statements import STATEMENTS
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {name: s.run for name, s in STATEMENTS.items()} | {name: q for name, (q, _) in FRAMES.items()}
+ORACLES: dict[str, str] = {name: s.oracle() for name, s in STATEMENTS.items()} | {name: sql for name, (_, sql) in FRAMES.items() if sql}
