@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ZONE = "America/Chicago"
 
@@ -78,6 +79,6 @@ def spelling_cost(a: str, b: str) -> float:
     return d[n][m]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spelling(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else spelling_cost(x, y) for x, y in zip(a, b, strict=True)])
