@@ -1,4 +1,4 @@
-"""Connected components of a link table, by rounds of joins; nothing is gathered on the driver."""
+"""Connected components of a link table, by rounds of contraction; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
@@ -7,32 +7,55 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import forget, stored
 
+#: Ids whose parents may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_PARENTS = 500_000
+
+
+def _looked_up(parents: DataFrame, n: int, column: str, to: str) -> DataFrame:
+    """parents (id, component) as (column, to), for an equi join."""
+    out = parents.select(F.col("id").alias(column), F.col("component").alias(to))
+    return F.broadcast(out) if n <= BROADCAST_PARENTS else out
+
+
+def _roots(parents: DataFrame, n: int) -> DataFrame:
+    """parents with every id's root in place of its parent, by pointer jumping."""
+    while True:
+        jumped = parents.join(_looked_up(parents, n, "component", "next"), "component")
+        moved = stored(jumped.select("id", F.col("next").alias("component"), (F.col("next") < F.col("component")).alias("moved")), "parents")
+        forget(parents)
+        parents = moved.select("id", "component")
+        if moved.where("moved").isEmpty():
+            return parents
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b); only ids that have a link.
 
-    Each round takes the least label among the neighbours, then the label of that label. A hub with very
-    many links is pre-aggregated before its shuffle, and its side of a join is a plain equi join that
-    adaptive execution splits. Null ends and links of an id to itself say nothing and are ignored.
+    In a round every id takes its least neighbour (or itself) as parent, the trees are flattened, and links
+    are carried over to the roots; those within a tree go, so a round leaves half of the ids at most. A hub with
+    very many links is pre-aggregated before its shuffle. The rounds' tables are then looked up from the last
+    to the first. Null ends and links of an id to itself say nothing and are ignored.
     """
-    ends = links.where("a <> b").select("a", "b")
-    both = stored(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        least = stored(
-            labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component")),
-            "least",
-        )
-        roots = least.select(F.col("id").alias("root"), F.col("component").alias("further"))
-        moved = stored(
-            least.join(roots, least.component == roots.root, "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")),
-            "labels",
-        )
-        changed = moved.where("component <> was").limit(1).count()
-        forget(labels)
-        forget(least)
-        labels = moved.select("id", "component")
-        if not changed:
-            forget(both)
-            return labels
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds: list[tuple[DataFrame, int]] = []
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("p")), F.struct(F.col("b").alias("id"), F.col("a").alias("p")))).alias("e"))
+        parents = stored(ends.groupBy("e.id").agg(F.min("e.p").alias("component")), "parents")
+        n = parents.count()
+        parents = _roots(parents, n)
+        rounds.append((parents, n))
+        moved = edges.join(_looked_up(parents, n, "a", "x"), "a").join(_looked_up(parents, n, "b", "y"), "b").where("x <> y")
+        left = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        forget(edges)
+        edges = left
+    forget(edges)
+    if not rounds:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+    found, n = rounds[-1]
+    for parents, more in reversed(rounds[:-1]):
+        joined = parents.join(_looked_up(found, n, "component", "root"), "component", "left")
+        both = stored(joined.select("id", F.coalesce("root", "component").alias("component")), "labels")
+        forget(found)
+        forget(parents)
+        found, n = both, more
+    return found
