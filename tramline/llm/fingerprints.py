@@ -7,7 +7,9 @@ and two texts agree on it with the probability of their generalised Jaccard simi
 sum(min weights) / sum(max weights).
 
 There are HASHINGS independent hashings, each of which deals the terms to STRATA strata with a sample each:
-64 samples for four evaluations a term. The likeness of two texts is the share of agreeing samples among
+64 samples for four evaluations a term. So that no term outweighs its stratum, its weight is cut into steps
+of STEP, each sampled as a term by itself; sums of least and greatest weights, so the similarity, are the same
+over steps as over terms. The likeness of two texts is the share of agreeing samples among
 the strata that either text has a term in; two texts without terms have likeness 1.
 
 All is built-in functions on arrays within a row. A value is one long (stratum, value, sample), so the least
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import stored, table, words_of
 
-HASHINGS, STRATA = 4, 16
+#: Independent hashings, strata of each, and the weight that one sampled step of a term has at most.
+HASHINGS, STRATA, STEP = 4, 16, 2
 #: Documents in a bucket, about; quantiles of the ids at most; buckets whose first ids may be broadcast.
 BUCKET, CUTS, BROADCAST_BUCKETS = 500, 256, 500_000
 
@@ -51,11 +54,17 @@ def _sample(hashing: int) -> str:
     return f"transform({timed}, d -> {packed})[0]"
 
 
+#: A term's weight in steps: the first with the term's hash, further ones with hashes of their own.
+_STEPS = f"""concat(transform(_terms, x -> named_struct('k', x.k, 'w', least({STEP}, x.w))), flatten(transform(filter(_terms, x -> x.w > {STEP}),
+    x -> transform(sequence(1, cast((x.w - 1) div {STEP} as int)), u -> named_struct('k', xxhash64(x.k, u), 'w', least({STEP}, x.w - {STEP} * u))))))"""
+
+
 def signature(rows: DataFrame, text: str, out: str) -> DataFrame:
     """rows with `out`: sorted longs, stratum in the top 6 bits and the sample in the low 32."""
     rows = rows.withColumn("_h", F.sort_array(F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))))
     rows = rows.withColumn("_first", F.filter(F.transform("_h", lambda x, i: F.when(i == 0, i).when(x != F.get("_h", i - 1), i)), lambda i: i.isNotNull()))
     rows = rows.withColumn("_terms", F.expr("transform(_first, (i, j) -> named_struct('k', _h[i], 'w', coalesce(get(_first, j + 1), size(_h)) - i))"))
+    rows = rows.withColumn("_terms", F.expr(_STEPS))
     samples = ", ".join(f"transform(_terms, x -> {_sample(k)})" for k in range(HASHINGS))
     rows = rows.withColumn("_all", F.expr(f"sort_array(concat({samples}))"))
     rows = rows.withColumn(
