@@ -222,24 +222,26 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every accepted span replaced by <KIND>; n_chars follows the new text where it is a column.
 
     The spans of a document are found by its id; of overlapping spans the first counts, then those after it."""
-    spans = stored(accepted(stored(candidates(docs), "candidates")).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("_spans")), "spans")
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    spans = stored(accepted(stored(candidates(docs), "candidates")).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("spans")), "spans")
+    joined = docs.select(F.struct("*").alias("d")).join(spans, F.col("d.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    text = F.col("d.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(mark, s["kind"]))
+        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(mark, s["kind"]))
         late = s["start"] < acc["at"]
         return F.struct(F.when(late, F.greatest(acc["at"], s["end"])).otherwise(s["end"]).alias("at"), F.when(late, acc["out"]).otherwise(kept).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("_text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = joined.select("d", F.when(F.col("spans").isNull(), text).otherwise(clean).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(candidates(table(spark, sf_dir, "documents")), "candidates")
     rows = accepted(found)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
