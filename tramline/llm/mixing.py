@@ -144,10 +144,10 @@ def resampled(docs: DataFrame) -> DataFrame:
 
     The whole document stands for its words here, so sources meet their targets up to that rounding."""
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("(2 * taken + size) div (2 * size)"))
-    times = mixed(docs).groupBy("doc_id").agg(F.max(copies).alias("_copies"))
-    kept = stored(times.where("_copies > 0").withColumnRenamed("doc_id", "_id"), "copies")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    times = mixed(docs).groupBy("doc_id").agg(F.max(copies).alias("copies"))
+    kept = stored(times.where("copies > 0"), "copies")
+    joined = docs.select(F.struct("*").alias("d")).join(kept, F.col("d.doc_id").eqNullSafe(F.col("doc_id")))
+    return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("d.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
