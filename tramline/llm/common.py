@@ -67,6 +67,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in no more partitions than `rows` short rows need; tables of many rows keep their partitions.
+
+    Without it, each step over a small table would run and write hundreds of near empty tasks and files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by stored() that nothing reads any more."""
     spark = df.sparkSession

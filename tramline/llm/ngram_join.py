@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import hashed_words, lower_ascii, mix64, shingles, short_batches, stored, table
+from tramline.llm.common import gathered, hashed_words, lower_ascii, mix64, shingles, short_batches, stored, table
 from tramline.llm.components import components
 
 #: Sets of one side in a block of a cluster.
@@ -274,10 +274,14 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
     kind = "n_shingles long, print_a long, print_b long, probes array<long>, offers array<long>, doc_id long"
     rows = stored(short_batches(docs.select("doc_id", "text")).mapInPandas(_sets(n, num, den), kind), "sets")
     print_ = ["n_shingles", "print_a", "print_b"]
-    first = stored(rows.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
-    copies = stored(rows.join(first.where("n > 1"), print_).where("doc_id <> first_id").select("doc_id"), "copies")
+    total = rows.count()
+    first = rows.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    first = stored(gathered(first, total), "firsts")
+    copies = rows.join(first.where("n > 1"), print_).where("doc_id <> first_id").select("doc_id")
+    copies = stored(gathered(copies, total), "copies")
     ties = _ties(_only(rows.where("doc_id IS NOT NULL"), copies, "doc_id", "anti"))
-    clusters = stored(components(ties).withColumnRenamed("component", "cluster"), "clusters")
+    clusters = components(ties).withColumnRenamed("component", "cluster")
+    met_sets = clusters.count()
     needed = _only(docs.select("doc_id", "text"), clusters.select("id"), "doc_id", "semi")
     texts = stored(needed.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     tables = short_batches(texts).mapInPandas(_tables(n, num, den), "size long, band int, counts binary, id long")
@@ -290,7 +294,7 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
     while True:
         blocks = _blocks(left).join(left.select("id", "size", "counts", "label", "failed"), "id")
         edges = blocks.repartition("block").sortWithinPartitions("block", "id").mapInPandas(_forests(num, den), "a long, b long")
-        met = stored(edges.distinct(), "edges").join(by, "b").join(ay, "a").select("a", "b", "text_a", "text_b")
+        met = stored(gathered(edges.distinct(), 4 * met_sets), "edges").join(by, "b").join(ay, "a").select("a", "b", "text_a", "text_b")
         tested.append(stored(met.mapInPandas(_compared(n, num, den), "a long, b long, linked boolean"), "compared"))
         known = reduce(DataFrame.unionByName, tested)
         groups = components(known.where("linked"))
@@ -303,7 +307,7 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
         left = stored(next_.withColumn("label", F.coalesce("component", "id")).drop("component"), "left")
     final = groups.withColumnRenamed("id", "first_id")
     named = first.drop("n").join(final, "first_id", "left").select(*print_, F.coalesce("component", "first_id").alias("component"))
-    out = rows.select("doc_id", *print_).join(stored(named, "named"), print_, "left")
+    out = rows.select("doc_id", *print_).join(stored(gathered(named, total), "named"), print_, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
