@@ -287,3 +287,17 @@ def test_pipeline(spark, sf_dir):
         docs = out.select(docs.columns)
         docs.write.parquet(path := f"{sf_dir}/stage-{name}")
         docs = spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("most", [0, 200, 1_000_000])
+def test_every_gram_counts_however_few_are_common(spark, most):
+    """Scores are those of the whole model where only a part of the grams goes to the tasks, or none."""
+    texts = ["abracadabra", "abrakadabra abra", "cadabra", None, "the cat sat on the mat", "the zebra sat", "quux Été", "abra", "abra"]
+    ids = [0, 1, 2, 3, 4, 5, None, 7, 7]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    train = [t or "" for i, t in zip(ids, texts, strict=True) if i is not None and i < 5]
+    found = lm_scoring.scored(df, lambda i: i < 5, most).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[ids.index(r.doc_id)] or ""
+        assert math.isclose(r.score, plain_ppm(train, lm_scoring.ORDER, text), rel_tol=1e-9), text

@@ -6,9 +6,11 @@ seen; if it never followed there, an escape is paid (its probability estimated f
 followers) and the next shorter context is tried without the symbols that the longer one already excluded;
 after the empty context all remaining symbols are alike. A text's score is the sum of log10 probabilities.
 
-Counts come from Spark (partial sums in the tasks, then one aggregation). The trie that tasks get has NODES
-entries of an order at most: where there are more, the rarest are left out, by a threshold on counts.
-A pretrained model makes each step a table lookup; lookups are done for many positions at once.
+A byte's score depends on its whole gram (the byte and the ORDER bytes before it) only. So Spark counts the
+grams of each order, all of them, as stored tables, and scores each distinct gram once, by joins on its
+shorter and shorter ends. The scores of the grams most often in the texts, COMMON_GRAMS at most, go to the tasks (a
+bounded table); all others meet their texts in an equi join on the gram, in which no key is frequent.
+No count is cut off at any size. Trie is the plain form of the same model, for few texts, in memory.
 
 The base score needs each token's count over all training texts. Token counts are aggregated by 64-bit hash;
 the COMMON most frequent ones go to the tasks (a bounded table), all others meet their documents in an
@@ -21,9 +23,11 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import hashed_words, lower_ascii, remainder, short_batches, stored, table
 
-ORDER, NODES, COMMON = 5, 1_000_000, 150_000
+ORDER, COMMON_GRAMS, COMMON = 5, 1_000_000, 150_000
 END, SYMBOLS = 0xFF, 257
 _END_TOKEN = np.array([0x454E44], np.uint64)
 _U = np.uint64
@@ -64,8 +68,10 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int = 2_000_000) -> Iterator[
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in _chunks(batches, 8_000_000):
-        keys, n = np.unique(_grams([(t or "").encode("utf-8", "surrogatepass") for t in rows.text])[0], return_counts=True)
-        yield pd.DataFrame({"gram": keys.astype(np.int64), "n": n})
+        grams, starts = _grams([(t or "").encode("utf-8", "surrogatepass") for t in rows.text])
+        keys, at, n = np.unique(grams, return_inverse=True, return_counts=True)
+        learnt = np.repeat(rows.learn.to_numpy(bool), np.diff(np.append(starts, len(grams))))
+        yield pd.DataFrame({"gram": keys.astype(np.int64), "n": n, "learnt": np.bincount(at[learnt], minlength=len(keys))})
 
 
 def _tokens(text: str | None) -> np.ndarray:
@@ -184,37 +190,137 @@ class Trie:
         return out / np.log(10)
 
 
-def trie_counts(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of the byte contexts of every order over all texts; at most `nodes` grams of an order."""
-    top = stored(short_batches(docs.select("text")).mapInPandas(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    out, least = [], 1
-    for k in range(order + 1):
-        rows = top.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        rows = stored(rows, f"order{k}")
-        while rows.where(F.col("n") >= least).count() > nodes:
-            least *= 2
-        found = rows.where(F.col("n") >= least).toPandas()
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n (over all texts) and learnt (over those with `learn`) of every distinct gram; docs have text and learn."""
+    parts = short_batches(docs.select("text", "learn")).mapInPandas(_gram_counts, "gram long, n long, learnt long")
+    return stored(parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")), "grams")
+
+
+def _end(gram: Column, size: int) -> Column:
+    """The last `size` bytes of a packed gram."""
+    return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def order_counts(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """gram and n of every order from 0 to `order`, over the texts learnt from."""
+    rows, out = grams.where("learnt > 0").select(_end(F.col("gram"), order + 1).alias("gram"), F.col("learnt").alias("n")), []
+    for k in range(order, -1, -1):
+        rows = stored(rows.groupBy(_end(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")), f"order{k}")
+        out.append(rows)
+    return out[::-1]
+
+
+def trie_counts(docs: DataFrame, order: int = ORDER, nodes: int = COMMON_GRAMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the byte contexts of every order over all texts, for a Trie; an error where an order has more than `nodes` grams."""
+    out = []
+    for rows in order_counts(gram_counts(docs.select("text", F.lit(True).alias("learn"))), order):
+        if rows.count() > nodes:
+            raise ValueError(f"more than {nodes} grams of an order; use gram_scores()")
+        found = rows.toPandas()
         out.append((found.gram.to_numpy(np.int64).astype(_U), found.n.to_numpy(np.float64)))
     return out
 
 
-_READY: dict[str, tuple[Trie, Lookup]] = {}
+def _small(df: DataFrame, k: int) -> DataFrame:
+    """Tables of the two lowest orders have 65,536 rows at most."""
+    return F.broadcast(df) if k < 2 else df
+
+
+def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n and score (log10 of the last byte's probability after the others) of every gram; a Trie's numbers."""
+    counts = order_counts(grams, order)
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    upper: DataFrame | None = None
+    for k, rows in enumerate(counts):
+        each = rows.select(F.shiftright("gram", 8).alias("context"), "gram", "n")
+        if k:
+            short = counts[k - 1].select(F.col("gram").alias("short"), F.col("n").alias("below"))
+            each = each.join(_small(short, k - 1), _end(F.col("gram"), k) == F.col("short")).drop("short")
+        else:
+            each = each.withColumn("below", F.lit(0))
+        per = each.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("seen"), F.sum("below").alias("below"))
+        if k:
+            above = upper.select(F.col("context").alias("short"), F.col("total").alias("total_"), F.col("seen").alias("seen_"))
+            per = per.join(_small(above, k - 1), _end(F.col("context"), k - 1) == F.col("short")).drop("short")
+        else:
+            per = per.withColumns({"total_": F.lit(0), "seen_": F.lit(0)})
+        # What the shorter context has beside the symbols seen here.
+        new = F.col("seen_") - F.col("seen")
+        rest = F.col("total_") - F.col("below") + new
+        per = per.select(
+            "context", "total", "seen",
+            F.log(F.col("seen") / (F.col("total") + F.col("seen"))).alias("escape"),
+            F.when(rest > 0, F.log(rest.cast("double"))).otherwise(F.lit(0.0)).alias("rest"),
+            F.when(new > 0, F.log(new / rest)).otherwise(F.lit(0.0)).alias("rest_escape"),
+        )
+        upper = stored(per, f"contexts{k}")
+        spaces = upper.select("context", (F.col("total") + F.col("seen")).alias("space"))
+        direct = rows.withColumn("context", F.shiftright("gram", 8)).join(_small(spaces, k), "context")
+        levels.append((direct.select(F.col("gram").alias("end"), F.log("n").alias("count"), F.log(F.col("n") / F.col("space")).alias("direct")), upper))
+    lowest = levels[0][1].select("seen").first()
+    left = math.log(max(SYMBOLS - (lowest.seen if lowest else 0), 1))
+    none = F.lit(None).cast("double")
+    rows, done = grams.select("gram", "n", F.lit(0.0).alias("sum"), none.alias("in_rest"), none.alias("in_escape")), []
+    for k in range(order, -1, -1):
+        level, contexts = levels[k]
+        here = stored(rows.join(_small(level, k), _end(F.col("gram"), k + 1) == F.col("end"), "left").drop("end"), f"level{k}")
+        hit = F.when(F.col("in_rest").isNull(), F.col("direct")).otherwise(F.col("count") - F.col("in_rest"))
+        done.append(here.where("count IS NOT NULL").select("gram", "n", (F.col("sum") + hit).alias("sum")))
+        context = contexts.select("context", "escape", "rest", "rest_escape")
+        missed = here.where("count IS NULL").join(_small(context, k), F.shiftright(_end(F.col("gram"), k + 1), 8) == F.col("context"), "left")
+        rows = missed.select(
+            "gram",
+            "n",
+            (F.col("sum") + F.coalesce("in_escape", "escape", F.lit(0.0))).alias("sum"),
+            F.col("rest").alias("in_rest"),
+            F.col("rest_escape").alias("in_escape"),
+        )
+    done.append(rows.select("gram", "n", (F.col("sum") - left).alias("sum")))
+    return stored(reduce(DataFrame.unionByName, done).select("gram", "n", (F.col("sum") / math.log(10)).alias("score")), "gram_scores")
+
+
+def _frequent(scores: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams, at most `most` of the most frequent ones, and their scores."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    room, least = most, None
+    for r in sorted(scores.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    found = scores.where(step >= least if least is not None else F.lit(False)).select("gram", "score").toArrow()
+    grams, score = found["gram"].to_numpy().astype(_U), found["score"].to_numpy()
+    by = np.argsort(grams)
+    return grams[by], score[by]
+
+
+_READY: dict[str, tuple[Lookup, Lookup]] = {}
 
 
 def _scorer(model: Broadcast, name: str, train: int, kinds: int) -> Callable:
-    """model: the trie's counts and the common tokens; a worker builds its tables once and keeps the last."""
+    """model: the common grams with scores and the common tokens; a worker builds its tables once and keeps the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, common = model.value
+        (frequent, gram_score), common = model.value
         if name not in _READY:
             _READY.clear()
-            _READY[name] = Trie(counts), Lookup(common[0])
-        trie, known = _READY[name]
+            _READY[name] = Lookup(frequent), Lookup(common[0])
+        scores, known = _READY[name]
         n = common[1][np.argsort(common[0])]
         logs = np.log10((n + 0.1) / (train + 0.1 * (kinds + 1)))
         for rows in _chunks(batches):
             grams, starts = _grams([(t or "").encode("utf-8", "surrogatepass") for t in rows.text])
-            score = np.add.reduceat(trie.scores(grams), starts)
+            place = scores.at(grams)
+            met = np.flatnonzero(place >= 0)
+            value = np.zeros(len(grams))
+            value[met] = gram_score[place[met]]
+            score = np.add.reduceat(value, starts)
+            missed = np.flatnonzero(place < 0)
+            row = np.searchsorted(starts, missed, "right") - 1
+            pairs, often = np.unique((row.astype(_U) << _U(48)) | grams[missed], return_counts=True)
+            edges = np.searchsorted(pairs >> _U(48), np.arange(1, len(rows)).astype(_U))
+            rare_grams = np.split((pairs & _U((1 << 48) - 1)).astype(np.int64), edges)
+            gram_times = np.split(often, edges)
             out = []
             for text in rows.text:
                 tokens, times = np.unique(_tokens(text), return_counts=True)
@@ -222,40 +328,56 @@ def _scorer(model: Broadcast, name: str, train: int, kinds: int) -> Callable:
                 here = at >= 0
                 out.append((int(times.sum()), int(times[here].sum()), float(logs[at[here]] @ times[here]), tokens[~here].view(np.int64), times[~here]))
             found = pd.DataFrame(out, columns=["n_tokens", "n_common", "common_score", "rare", "times"])
-            yield found.assign(doc_id=rows.doc_id.to_numpy(), print=rows.print.to_numpy(), score=score)
+            yield found.assign(rare_grams=rare_grams, gram_times=gram_times, doc_id=rows.doc_id.to_numpy(), print=rows.print.to_numpy(), score=score)
 
     return run
 
 
-def scored(docs: DataFrame, usable: Callable[[Column], Column]) -> DataFrame:
+def _exploded(rows: DataFrame, key: str, times: str) -> DataFrame:
+    """doc_id, print, kinds, key and times: one row for each of a row's rare keys, of which it has `kinds`."""
+    each = rows.select("doc_id", "print", F.size(key).alias("kinds"), F.explode(F.arrays_zip(F.col(key).alias("key"), F.col(times).alias("times"))).alias("x"))
+    return each.select("doc_id", "print", "kinds", F.col("x.key").alias("key"), F.col("x.times").alias("times"))
+
+
+def _joined(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """rows with the sums of their doc_id and print."""
+    keys = sums.withColumnsRenamed({"doc_id": "_id", "print": "_print"})
+    return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["print"] == F.col("_print")), "left").drop("_id", "_print")
+
+
+def scored(docs: DataFrame, usable: Callable[[Column], Column], most: int = COMMON_GRAMS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learns from texts with usable(doc_id)."""
     train = docs.where(usable(F.col("doc_id"))).select("text")
     counts = stored(short_batches(train).mapInPandas(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     common = (top.token.to_numpy(np.int64).view(_U), top.n.to_numpy(np.float64))
-    kind = "n_tokens long, n_common long, common_score double, rare array<long>, times array<long>, doc_id long, print long, score double"
+    kind = (
+        "n_tokens long, n_common long, common_score double, rare array<long>, times array<long>, rare_grams array<long>, gram_times array<long>, "
+        "doc_id long, print long, score double"
+    )
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    model = docs.sparkSession.sparkContext.broadcast((trie_counts(train), common))
+    learn = F.coalesce(usable(F.col("doc_id")), F.lit(False))
+    grams = gram_scores(gram_counts(docs.select("text", learn.alias("learn"))))
+    model = docs.sparkSession.sparkContext.broadcast((_frequent(grams, most), common))
     rows = stored(short_batches(rows).mapInPandas(_scorer(model, uuid.uuid4().hex, total, kinds), kind), "scored")
-    each = rows.select("doc_id", "print", F.size("rare").alias("kinds"), F.explode(F.arrays_zip("rare", "times")).alias("x"))
-    each = each.select("doc_id", "print", "kinds", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    met = each.join(counts, "token", "left")
+    met = _exploded(rows, "rare", "times").join(counts.withColumnRenamed("token", "key"), "key", "left")
     unit = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (total + 0.1 * (kinds + 1)))
     # Rows repeated with the same id and text come several times; one of them counts.
     times = F.first("kinds") / F.count("*")
     rare = met.groupBy("doc_id", "print").agg(
         (F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)) * times).alias("rare_known"), (F.sum(unit * F.col("times")) * times).alias("rare_score")
     )
-    keys = rare.withColumnsRenamed({"doc_id": "_id", "print": "_print"})
-    joined = rows.drop("rare", "times").join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["print"] == F.col("_print")), "left")
+    met = _exploded(rows, "rare_grams", "gram_times").join(grams.select(F.col("gram").alias("key"), F.col("score").alias("unit")), "key")
+    bytes_ = met.groupBy("doc_id", "print").agg((F.sum(F.col("unit") * F.col("times")) * times).alias("rare_bytes"))
+    joined = _joined(_joined(rows.drop("rare", "times", "rare_grams", "gram_times"), rare), bytes_)
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_common") + F.round(F.coalesce("rare_known", F.lit(0)))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_bytes", F.lit(0.0))).alias("score"),
     )
 
 
