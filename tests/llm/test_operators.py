@@ -301,3 +301,30 @@ def test_every_gram_counts_however_few_are_common(spark, most):
     for r in found:
         text = texts[ids.index(r.doc_id)] or ""
         assert math.isclose(r.score, plain_ppm(train, lm_scoring.ORDER, text), rel_tol=1e-9), text
+
+
+def test_mix_blocks_are_cut_from_their_sources_streams(spark, sf_dir):
+    """Slots hold real blocks: equal in every whole pass, a stream's words all there, `taken` the words in them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = mixing.word_counts(docs)
+    planned = mixing.targets(sizes)
+    mix = mixing.blocks(docs, sizes, planned, 64).collect()
+    plan = {r.source: r for r in planned.collect()}
+    words = {}
+    for r in docs.collect():
+        words.setdefault(r.source, Counter()).update(WORD.findall(r.text or ""))
+    taken = Counter()
+    assert {r.source for r in mix} == {s for s, r in plan.items() if r.target >= 1}
+    for source in {r.source for r in mix}:
+        mine = [r for r in mix if r.source == source]
+        assert len({r.slot for r in mine}) == len(mine) and all(sum(p.n for p in r.pieces) == len(r.words.split(" ")) for r in mine)
+        assert sum(len(r.words.split(" ")) for r in mine) == int(plan[source].target)
+        full = {}
+        for r in mine:
+            full[r.block] = max(full.get(r.block, ""), r.words, key=len)
+            taken.update({(r.s, p.g, p.row): p.n for p in r.pieces})
+        assert all(full[r.block].startswith(r.words) for r in mine)
+        if plan[source].target >= plan[source].source_size:
+            assert Counter(w for x in full.values() for w in x.split(" ")) == words[source]
+    for r in mixing.mixed(docs, 64).collect():
+        assert taken[r.s, r.g, r.row] == r.taken

@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage and outlives executors.
 
     The write's own shuffle files go when it ends, as nothing reads them again."""
@@ -61,7 +61,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ is computed and never stored. The slots that a source fills are dealt to output
 the permutation gives each slot its block, and blocks meet their words by an equi join on the index. The
 last slots of the part pass take just the words that are still due, so totals are the targets, rounded down.
 
-All of it is DataFrame expressions on ids and counts; texts are read once, to count words. Running sums
+All of it is DataFrame expressions; texts are read twice, to count words and to cut them at block borders. Pieces of
+texts meet by source and block index, and each block meets its slots (a few) there. Running sums
 are taken within groups of about GROUP documents and then over groups, so no task holds a source's rows.
 
 Defined cases: a null text has no words; documents without words take none and take part in no block; a
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import WORD, stored, table
+from tramline.llm.common import GAP, WORD, let, stored, table
 
 BLOCK, SHARD, GROUP, CHUNK = 256, 1024, 500, 4096
 #: More sources than this are joined by a shuffle.
@@ -31,7 +32,9 @@ PRIMES = ((99999989, 86028121), (67867967, 49979687), (32452843, 15485863))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size (words) and print (a hash of the text), a row each."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("print"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -111,32 +114,58 @@ def slots(planned: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     return rows.select("s", "shard", "slot", "block", (take == length).alias("whole"), take.alias("take")).where("take > 0")
 
 
-def placed(sizes: DataFrame, planned: DataFrame) -> DataFrame:
-    """sizes with s and `start`, the place of the document's first word in its source's stream."""
-    rows = sizes.join(_known(planned), sizes.source.eqNullSafe(planned.source)).drop(planned.source)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / GROUP).cast("long")))
-    inside = Window.partitionBy("s", "g").orderBy("doc_id", "size")
-    totals = rows.groupBy("s", "g").agg(F.sum("size").alias("total"))
+def placed(rows: DataFrame, sizes: DataFrame, planned: DataFrame) -> DataFrame:
+    """rows (sizes, or those and more columns) with s and `start`, the place of the document's first word in its source's stream.
+
+    s, g and row name a document; documents that are alike in id, source and text may swap names."""
+    rows, sizes = (x.join(_known(planned), x.source.eqNullSafe(planned.source)).drop(planned.source) for x in (rows, sizes))
+    group = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / GROUP).cast("long"))
+    rows, sizes = rows.withColumn("g", group), sizes.withColumn("g", group)
+    inside = Window.partitionBy("s", "g").orderBy("doc_id", "size", "print")
+    totals = sizes.groupBy("s", "g").agg(F.sum("size").alias("total"))
     base = totals.select("s", "g", (F.sum("total").over(Window.partitionBy("s").orderBy("g")) - F.col("total")).alias("base"))
     rows = rows.withColumn("row", F.row_number().over(inside)).withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.join(base, ["s", "g"]).withColumn("start", F.col("base") + F.col("until") - F.col("size"))
 
 
+def _cut(rows: DataFrame, block: int) -> DataFrame:
+    """s, block, first (place in the stream), n, g, row and words: the texts of placed rows, cut at block borders."""
+    def piece(w: Column, b: Column) -> Column:
+        first = F.greatest(F.col("start"), b * block)
+        n = F.least(F.col("start") + F.col("size"), (b + 1) * block) - first
+        words = F.array_join(F.slice(w, (first - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(b.alias("block"), first.alias("first"), n.alias("n"), words.alias("words"))
+
+    indices = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    pieces = let(F.array_remove(F.split("text", GAP), ""), lambda w: F.transform(indices, lambda b: piece(w, b)))
+    return rows.where("size > 0").select("s", "g", "row", F.explode(pieces).alias("p")).select("s", "g", "row", "p.*")
+
+
+def blocks(docs: DataFrame, sizes: DataFrame, planned: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix: a row for each slot that takes words, with shard, slot (numbered by source), s, source, block, its words
+    (one space between two) and pieces (g, row and n: the documents they are from, and how many words of each)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    texts = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("print"), "text")
+    pieces = _cut(placed(texts, sizes, planned), block)
+    whole = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("first", "n", "g", "row", "words"))).alias("pieces"))
+    whole = whole.withColumn("words", F.array_join(F.col("pieces.words"), " "))
+    whole = whole.withColumn("pieces", F.transform("pieces", lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"), p["g"].alias("g"), p["row"].alias("row"))))
+    mix = slots(planned, block).join(whole, ["s", "block"]).join(_known(planned.select("s", "source")), "s")
+    end = F.col("block") * block + F.col("take")
+    part = F.transform("pieces", lambda p: F.struct(p["g"].alias("g"), p["row"].alias("row"), F.least(p["n"], end - p["first"]).alias("n")))
+    words = F.expr("CASE WHEN whole THEN words ELSE substring_index(words, ' ', CAST(take AS INT)) END")
+    return mix.select("shard", "slot", "s", "source", "block", words.alias("words"), F.filter(part, lambda p: p["n"] > 0).alias("pieces"))
+
+
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted)."""
+    """doc_id, source, size, print, source_size, target and taken (words the mix takes, repeats counted), from the mix's blocks."""
     sizes = stored(word_counts(docs), "sizes")
     planned = stored(targets(sizes), "targets")
-    used = slots(planned, block).groupBy("s", "block").agg(F.count_if("whole").alias("times"), F.sum(F.when(~F.col("whole"), F.col("take"))).alias("part"))
-    rows = stored(placed(sizes, planned), "placed")
-    keys = ["s", "g", "row", "doc_id", "source", "size", "source_size", "target"]
-    end = F.col("start") + F.col("size")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
-    pieces = rows.select(*keys, "start", end.alias("end"), F.explode_outer(blocks).alias("block")).join(used, ["s", "block"], "left")
-    first = F.col("block") * block
-    whole = F.least(F.col("end"), first + block) - F.greatest(F.col("start"), first)
-    part = F.greatest(F.lit(0), F.least(F.col("end"), first + F.col("part")) - F.greatest(F.col("start"), first))
-    words = F.coalesce(F.col("times"), F.lit(0)) * whole + F.when(F.col("part").isNotNull(), part).otherwise(F.lit(0))
-    return pieces.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("block").isNotNull(), words)), F.lit(0)).cast("long").alias("taken"))
+    mix = stored(blocks(docs, sizes, planned, block), "mix", "zstd")
+    used = mix.select("s", F.explode("pieces").alias("p")).groupBy("s", "p.g", "p.row").agg(F.sum("p.n").alias("taken"))
+    keys = ["s", "g", "row", "doc_id", "source", "size", "print", "source_size", "target"]
+    rows = placed(sizes, sizes, planned).select(*keys).join(used, ["s", "g", "row"], "left")
+    return rows.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def resampled(docs: DataFrame) -> DataFrame:
