@@ -328,3 +328,21 @@ def test_mix_blocks_are_cut_from_their_sources_streams(spark, sf_dir):
             assert Counter(w for x in full.values() for w in x.split(" ")) == words[source]
     for r in mixing.mixed(docs, 64).collect():
         assert taken[r.s, r.g, r.row] == r.taken
+
+
+def test_resampled_sources_meet_their_targets(spark):
+    """Long documents with the same taken / size come in their share, and repeated or missing ids are rows of their own."""
+    rows = [(i, " ".join(["w"] * 3000), "a") for i in range(20)] + [(100 + i, " ".join(["v"] * (7 + i % 90)), "b") for i in range(300)]
+    rows += [(None, f"null {i} " * 40, "c") for i in range(30)] + [(7000, f"same {i} " * 40, "c") for i in range(30)] + [(9000, "", "c"), (9000, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    longest, out = Counter(), Counter()
+    for _, t, s in rows:
+        longest[s] = max(longest[s], len((t or "").split()))
+    found = mixing.resampled(docs).collect()
+    for r in found:
+        out[r.source] += len((r.text or "").split())
+    for r in mixing.targets(mixing.word_counts(docs)).collect():
+        assert abs(out[r.source] - r.target) <= longest[r.source] + 2, (r.source, out[r.source], r.target)
+    assert sum(not r.text for r in found) == 2
+    for r in mixing.copies(docs).collect():
+        assert math.floor(r.taken / r["size"]) <= r.copies <= math.ceil(r.taken / r["size"])

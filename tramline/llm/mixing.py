@@ -168,15 +168,39 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """mixed(docs) where documents have words, with `copies`: how often each comes, taken / size rounded down or up.
+
+    A source's documents in order of size (hashed within one) are a stream, and copies are the change of the rounded
+    running sum of taken / size. So those of every size come in their share, and as sizes only grow along the stream,
+    the copies' words are within one longest document of the words taken. Sums go by size, within it by
+    groups of about GROUP documents, and then over these."""
+    rows = stored(mixed(docs).where("size > 0"), "taken")
+    parts = rows.groupBy("s", "size").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
+    order = F.xxhash64("doc_id", "print", F.lit("copies"))
+    rows = rows.join(parts, ["s", "size"]).withColumns({"order": order, "part": F.pmod(order, "parts")})
+    totals = rows.groupBy("s", "size", "part").agg((F.sum("taken") / F.col("size")).alias("total"))
+    before = Window.partitionBy("s").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("s", "size", "part", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("base"))
+    inside = Window.partitionBy("s", "size", "part").orderBy("order", "g", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("until", F.sum("taken").over(inside)).join(base, ["s", "size", "part"])
+    upto, start = (F.floor(F.col("base") + x / F.col("size") + 0.5) for x in (F.col("until"), F.col("until") - F.col("taken")))
+    return rows.withColumn("copies", (upto - start).cast("int")).drop("parts", "part", "order", "base", "until")
+
+
 def resampled(docs: DataFrame) -> DataFrame:
-    """docs, each as often as the mix takes it (taken / size, rounded to whole copies); those without words once.
-
-    The whole document stands for its words here, so sources meet their targets up to that rounding."""
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("(2 * taken + size) div (2 * size)"))
-    times = mixed(docs).groupBy("doc_id").agg(F.max(copies).alias("copies"))
-    kept = stored(times.where("copies > 0"), "copies")
-    joined = docs.select(F.struct("*").alias("d")).join(kept, F.col("d.doc_id").eqNullSafe(F.col("doc_id")))
-    return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("d.*")
+    """docs, each as often as copies() says; those without words once.
+
+    The whole document stands for its words here, so sources meet their targets up to about one document."""
+    text = Window.partitionBy("doc_id", "source", "print").orderBy("g", "row")
+    times = copies(docs).withColumn("nth", F.row_number().over(text)).where("copies > 0").select("doc_id", "source", "print", "nth", "copies")
+    times = stored(times, "copies").withColumnsRenamed({"doc_id": "_id", "source": "_source", "print": "_print", "nth": "_nth"})
+    each = docs.select(F.struct("*").alias("d"), "doc_id", "source", F.xxhash64("text").alias("print"), F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False)).alias("words"))
+    # Documents alike in id, source and text stand in for each other.
+    kept = each.where("words").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "print").orderBy(F.xxhash64("d"))))
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("print") == F.col("_print")) & (F.col("nth") == F.col("_nth"))
+    again = kept.join(times, met).select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return again.select("d.*").unionByName(each.where("NOT words").select("d.*"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
