@@ -346,3 +346,14 @@ def test_resampled_sources_meet_their_targets(spark):
     assert sum(not r.text for r in found) == 2
     for r in mixing.copies(docs).collect():
         assert math.floor(r.taken / r["size"]) <= r.copies <= math.ceil(r.taken / r["size"])
+
+
+def test_stages_keep_every_row_without_an_id(spark, sf_dir):
+    """Rows without an id are documents each; rows repeated with an id are one."""
+    rows = [(None, f"text number {i} of those without any id at all", "a") for i in range(6)] + [(None, None, "a"), (None, "one two", "a"), (None, "one two", "b")]
+    docs = spark.createDataFrame(rows + [(1, "an id and a text", "a")] * 2 + [(2, "an id and a text", "b")], "doc_id long, text string, source string").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[1:3] + corpus_pipeline.STAGES[4:]:
+        docs = stage(spark, docs, sf_dir).select("doc_id", "text", "source")
+        found = [r.text or "" for r in docs.where("doc_id IS NULL").collect()]
+        assert sorted(found) == sorted(t or "" for _, t, _ in rows), name
+        assert [r.doc_id for r in docs.where("doc_id IS NOT NULL").collect()] == [1], name

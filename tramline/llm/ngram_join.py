@@ -312,9 +312,10 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the documents whose component has one of a smaller id; rows without an id stay."""
-    keep = linked_sets(docs, n, num, den).where("component_id < doc_id").select("doc_id")
-    return _only(docs, stored(keep, "dropped"), "doc_id", "anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """docs without the documents whose component has one of a smaller id; all rows without an id stay."""
+    dropped = linked_sets(docs, n, num, den).where("component_id < doc_id").select("doc_id")
+    named = _only(docs.where("doc_id IS NOT NULL"), stored(dropped, "dropped"), "doc_id", "anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
