@@ -357,3 +357,9 @@ def test_stages_keep_every_row_without_an_id(spark, sf_dir):
         found = [r.text or "" for r in docs.where("doc_id IS NULL").collect()]
         assert sorted(found) == sorted(t or "" for _, t, _ in rows), name
         assert [r.doc_id for r in docs.where("doc_id IS NOT NULL").collect()] == [1], name
+
+
+def test_words_of_clean_texts_take_no_place_of_toxic_terms(spark):
+    rows = [(i, f"awful{i % 4} of", 1) for i in range(40)] + [(100 + i, " ".join(f"fine{k}" for k in range(60)), 0) for i in range(60)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert set(toxicity.mined(sample, 10)[0]) >= {b"awful0", b"awful1", b"awful2", b"awful3"}

@@ -76,8 +76,8 @@ def mined(sample: DataFrame, features: int) -> tuple[list[bytes], int, int]:
     rate = max(bad, 1) / max(n, 1)
     expected = F.col("n") * rate
     gain = (F.col("bad") - expected) / F.sqrt(expected * (1 - min(rate, 0.99)) + 1)
-    top = counts.where("n >= 3").withColumn("gain", gain).orderBy(F.desc(F.abs("gain")), "term").limit(features)
-    found = [bytes(r.term) for r in top.where(F.col("gain") >= SURE).where("bad >= 0.8 * n").collect()]
+    sure = counts.where("n >= 3").withColumn("gain", gain).where(F.col("gain") >= SURE).where("bad >= 0.8 * n")
+    found = [bytes(r.term) for r in sure.orderBy(F.desc("gain"), "term").limit(features).collect()]
     stems = {t for t in found if t[:1] == b"\x00"}
     return [t for t in found if t in stems or b"\x00" + t[:PREFIX] not in stems or len(t) <= PREFIX], n, bad
 
