@@ -51,3 +51,10 @@ def close(a, b):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["event_id", "at", "seen"]
+
+
+def test_spelling_search_finds_names_with_many_doubled_letters(spark, tmp_path):
+    rows = [(1, "patr 3333333"), (2, "Patr 333333333"), (3, "patr 3333333333"), (4, "quite another")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.p_partkey: r.cost for r in registry.QUERIES["spelling_search"](spark, str(tmp_path)).where("q = 'patr 333'").collect()}
+    assert found == {1: 1.6, 2: 2.4}

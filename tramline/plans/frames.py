@@ -293,9 +293,9 @@ def day_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add()
 def spelling_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names nearest to misspelt queries; names are cut by length before the distance is taken."""
+    """Part names nearest to misspelt queries; lengths differ by 6 at most, as a letter more costs 0.4 at least and the limit is 2.5."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
     asked = spark.createDataFrame([("prat 12",), ("part 1o7",), ("patr 333",)], "q string")
-    pairs = parts.join(F.broadcast(asked), F.abs(F.length("name") - F.length("q")) <= 2).withColumn("cost", spelling(F.col("q"), F.col("name")))
+    pairs = parts.join(F.broadcast(asked), F.abs(F.length("name") - F.length("q")) <= 6).withColumn("cost", spelling(F.col("q"), F.col("name")))
     best = Window.partitionBy("q").orderBy("cost", "p_partkey")
     return pairs.where("cost <= 2.5").withColumn("o", F.row_number().over(best)).where("o <= 5").select("q", "p_partkey", F.round("cost", 4).alias("cost"), "o")
