@@ -75,6 +75,36 @@ def test_ngram_join(spark, request, which, n, num):
         assert {r.doc_id for r in ngram_join.deduplicated(docs).collect()} == {d for d in sets if root.get(d, d) == d}
 
 
+def test_near_misses_take_one_round(spark, monkeypatch):
+    """A thousand texts that all miss the threshold narrowly, and few that meet it, in small blocks."""
+    calls = []
+    monkeypatch.setattr(ngram_join, "BLOCK", 60_000)
+    plain = ngram_join._forests
+    monkeypatch.setattr(ngram_join, "_forests", lambda *a: calls.append(a[2]) or plain(*a))
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        words[100 : 100 + 16] = [f"x{i}y{k}" for k in range(16)]
+        rows.append((i, " ".join(words)))
+    for i in range(40):
+        words = rows[i * 3][1].split()
+        words[5] = f"z{i}"
+        rows.append((5000 + i, " ".join(words)))
+    found = {r.doc_id: r.component_id for r in ngram_join.linked_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == {d: (d - 5000) * 3 if d >= 5000 else d for d, _ in rows}
+    assert len(calls) == 4
+
+
+def test_ids_that_are_null_repeated_or_large(spark):
+    text = [" ".join(f"a{i}b{k}" for k in range(60)) for i in range(4)]
+    rows = [(2**60 + 1, text[0]), (2**60 + 3, text[0] + " end"), (None, text[0]), (None, text[1]), (5, text[1]), (5, text[2]), (7, text[2]), (9, text[1]), (11, text[3]), (11, "")]
+    found = ngram_join.linked_sets(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == sorted(
+        [(2**60 + 1, 2**60 + 1), (2**60 + 3, 2**60 + 1), (0, 0), (0, 0), (5, 5), (5, 5), (7, 5), (9, 5), (11, 11), (11, 11)]
+    )
+
+
 @pytest.mark.parametrize(("name", "label", "mod", "out"), [("op2_toxicity", "toxic", 5, 0), ("op6_quality_classifier", "quality", 3, 1)])
 def test_classifiers(spark, sf_dir, name, label, mod, out):
     found = rows(spark, name, "/root/testdata/sf0.01")

@@ -34,14 +34,27 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, after fewer rows go to Python at once: texts may be long, and a batch is in memory several times."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+def short_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """df, after fewer rows and bytes go to Python at once: texts may be long, and a batch is in memory several times.
+
+    Both are settings of the session, as a plan reads them when it runs; they are only lowered."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < _bytes(conf.get(key)) <= most:
+            conf.set(key, str(most))
     return df
 
 
+def _bytes(value: str) -> int:
+    """A setting's number; some come with the unit b."""
+    return int(value.removesuffix("b").removesuffix("B"))
+
+
+def ids_as_text(df: DataFrame) -> DataFrame:
+    """df with doc_id as text: pandas would turn whole numbers beside a null into floats, and lose their last digits."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

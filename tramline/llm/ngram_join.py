@@ -10,38 +10,39 @@ it, which is large where it has no or one member: such segments get 0, paid firs
 then by 2 for reserved ones. What is left of them, if any, is probed all the same.
 
 A segment is keyed by the sum of its members' scrambled hashes, so those of its one-deletion neighbourhood
-are differences. Keys that no second set has go at once (partial aggregation, then an equi join).
+are differences. Keys are shuffled once; those that no second set has go at once.
 
-A key's sets are not all paired: each is tied to one pivot, and the components of those ties are clusters
-outside of which no link exists. Within a cluster, sets of neighbouring size bands meet in blocks of BLOCK
-sets. A set is there as a table of counts of its members' hashes, about a byte a member; the difference of
-two such tables never exceeds that of the sets, so most pairs fall at once, and of the others just a forest
-is kept, as sets already joined need no second link. Its edges are compared exactly, on the texts; where one
-fails, the cluster goes through another round without it. Thousands of near copies cost about one
-comparison each, and no link that would join two components is lost.
+A key's sets are not all paired. First each is tested against one pivot of its keys, and the links found so
+join sets to groups: thousands of near copies cost about one comparison each. What a key holds besides, sets
+of different groups, is compared in blocks of bounded size: by sketches (a parity bit for each hash of a member
+modulo a power of two; two sketches differ in no more places than the sets do) that leave clusters of sets
+that may link; and within those clusters, again in blocks, by the members themselves. Blocks hold the pairs of
+the largest group with the others, and of the others among themselves, so a large group is sent once to few others.
+A block gives just a forest of its links, as sets already joined need no second one. There is one round of
+exact comparison for pivots and one for clusters, whatever the number of near misses.
 
 Sets equal as a whole (128 bits) are one set from the start. Members are 64-bit hashes of n-grams.
 
 Defined cases: null or empty texts have an empty set and link with nothing; a text of fewer words than n is
-one n-gram; doc_id is the document's key: rows repeated with it are the same document, and rows without one
+one n-gram; rows that repeat an id are one document, with the links of all its texts; rows without an id
 are their own component (null); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import gathered, hashed_words, lower_ascii, mix64, shingles, short_batches, stored, table
+from tramline.llm.common import forget, gathered, hashed_words, ids_as_text, lower_ascii, mix64, shingles, short_batches, stored, table
 from tramline.llm.components import components
 
-#: Sets of one side in a block of a cluster.
-BLOCK = 1000
+#: Weight of one side of a block, about; a set weighs as many as it has members and OVERHEAD more. 4 MB of members.
+BLOCK, OVERHEAD = 500_000, 400
 #: Ids in one broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -109,212 +110,273 @@ def _segment_keys(members: np.ndarray, band: int, own: bool, bands: Bands) -> tu
     return probes, offers
 
 
+def _sketch(members: np.ndarray) -> bytes:
+    """A parity bit for each hash of a member modulo 2^k, with at least as many bits as members (64 at least)."""
+    width = 1 << max(6, (max(len(members), 1) - 1).bit_length())
+    odd = np.bincount((members & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _print(members: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set: the first name it, both tell sets apart."""
+    scrambled = mix64(members)
+    return int(scrambled.sum().astype(np.int64)), int(mix64(scrambled ^ _U(0x5BD1E995)).sum().astype(np.int64))
+
+
 def _sets(n: int, num: int, den: int) -> Callable:
-    """Size, fingerprint and keys (those probed, those only offered) of each text's set."""
+    """Size, print, sketch and keys (those probed, those only offered) of each text's set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, nothing = Bands(num, den), np.empty(0, np.int64)
         for batch in batches:
             out = []
-            for text in batch.text:
+            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 s = shingles(hashed_words(lower_ascii(text))[0], n)
-                scrambled = mix64(s)
                 probes, offers = [nothing], [nothing]
-                probed = bands.probed(len(s)) if len(s) else ()
+                # Rows without an id link with nothing.
+                probed = bands.probed(len(s)) if len(s) and doc_id is not None else ()
                 for band in probed:
                     if bands.apart(band) > 0:  # else only equal sets link there, and those are one set
                         found = _segment_keys(s, band, band == probed[-1], bands)
                         probes += found[0]
                         offers += found[1]
-                out.append(
-                    (len(s), scrambled.sum().astype(np.int64), mix64(scrambled ^ _U(0x5BD1E995)).sum().astype(np.int64),
-                     np.concatenate(probes).view(np.int64), np.concatenate(offers).view(np.int64))
-                )
-            found = pd.DataFrame(out, columns=["n_shingles", "print_a", "print_b", "probes", "offers"])
-            yield found.assign(doc_id=batch.doc_id.to_numpy())
+                keys = (np.concatenate(x).view(np.int64) for x in (probes, offers))
+                out.append((doc_id, len(s), *_print(s), _sketch(s), *keys))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "sketch", "probes", "offers"])
 
     return run
 
 
-def _tables(n: int, num: int, den: int) -> Callable:
-    """Size band and table of counts (2^k bytes, at least one for each member) of each text's set."""
+def _texts(n: int) -> Callable:
+    """Name of each text's set, and the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(num, den)
         for batch in batches:
-            out = []
-            for text in batch.text:
-                s = shingles(hashed_words(lower_ascii(text))[0], n)
-                width = 1 << max(3, (max(len(s), 1) - 1).bit_length())
-                counts = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width)
-                out.append((len(s), bands.of(max(len(s), 1)), np.minimum(counts, 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["size", "band", "counts"]).assign(id=batch.doc_id.to_numpy())
+            names = [_print(shingles(hashed_words(lower_ascii(t))[0], n))[0] for t in batch.text]
+            yield pd.DataFrame({"id": names, "text": batch.text})
 
     return run
 
 
-def _folded(raw: bytes, width: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint8).astype(np.int16)
-    return x.reshape(-1, width).sum(0, dtype=np.int16)
-
-
-def _forest(g: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that span what may be linked in one block, apart from what is joined or was compared already."""
-    ids, sizes, labels, sides = g.id.to_numpy(), g["size"].to_numpy(), g.label.to_numpy(), g.side.to_numpy()
-    width = min(map(len, g.counts))
-    tables = np.stack([_folded(x, width) for x in g.counts])
-    failed = [set(x) if x is not None else set() for x in g.failed]
-    two_sides = len(np.unique(sides)) > 1
-    open_, out = np.ones(len(g), bool), []
-    while open_.any():
-        queue = [int(np.argmax(open_))]
-        open_[queue[0]] = False
-        while queue:
-            x = queue.pop()
-            rest = np.flatnonzero(open_)
-            if not len(rest):
-                break
-            same = rest[labels[rest] == labels[x]]
-            open_[same] = False
-            queue.extend(same.tolist())
-            rest = np.flatnonzero(open_ & (sides != sides[x]) if two_sides else open_)
-            near = (sizes[rest] + sizes[x]) * (den - num)
-            rest = rest[np.abs(sizes[rest] - sizes[x]) * (den + num) <= near]
-            for first in range(0, len(rest), 256):
-                part = rest[first : first + 256]
-                apart = np.abs(tables[part] - tables[x]).sum(1, dtype=np.int64)
-                for y in part[apart * (den + num) <= (sizes[part] + sizes[x]) * (den - num)].tolist():
-                    if ids[y] not in failed[x] and ids[x] not in failed[y]:
-                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                        open_[y] = False
-                        queue.append(y)
-    return out
-
-
-def _forests(num: int, den: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, held_key = [], None
-
-        def closed() -> pd.DataFrame:
-            edges = _forest(pd.concat(held), num, den) if held and sum(map(len, held)) > 1 else []
-            return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+class _Block:
+    """The sets of one block: name, group (label) and side of each; sets of one label need no link."""
+
+    def __init__(self, rows: dict[str, np.ndarray], num: int, den: int) -> None:
+        self.ids, self.labels, self.sides = rows["id"], rows["label"], rows["side"]
+        self.num, self.den, self.two = num, den, self.sides.min() != self.sides.max()
+
+    def forest(self, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+        """Edges that join what near() finds: it gives those of an array of places that are near to a place."""
+        left, out = np.ones(len(self.ids), bool), []
+        while left.any():
+            queue = [int(np.argmax(left))]
+            left[queue[0]] = False
+            while queue:
+                x = queue.pop()
+                same = np.flatnonzero(left & (self.labels == self.labels[x]))
+                left[same] = False
+                queue.extend(same.tolist())
+                rest = np.flatnonzero(left & (self.sides != self.sides[x]) if self.two else left)
+                if len(rest):
+                    found = near(x, rest)
+                    left[found] = False
+                    queue.extend(found.tolist())
+                    out += [(int(self.ids[x]), int(self.ids[y])) for y in found]
+        return out
+
+    def by_sketch(self, sizes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+        """A forest of the pairs whose sizes and sketches allow a link."""
+        widths = np.array([len(x) for x in sketches])
+        tables: dict[int, np.ndarray] = {}
+        row = np.zeros(len(widths), np.int64)
+        for w in np.unique(widths):
+            own = np.flatnonzero(widths == w)
+            row[own] = np.arange(len(own))
+            tables[int(w)] = np.frombuffer(b"".join(sketches[k] for k in own), np.uint8).reshape(len(own), w)
+
+        def folded(t: np.ndarray, width: int) -> np.ndarray:
+            return np.bitwise_xor.reduce(t.reshape(len(t), -1, width), axis=1)
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[np.abs(sizes[rest] - sizes[x]) * (self.den + self.num) <= (sizes[rest] + sizes[x]) * (self.den - self.num)]
+            found, mine = [], np.frombuffer(sketches[x], np.uint8)[None]
+            for w in np.unique(widths[rest]):
+                part, width = rest[widths[rest] == w], min(int(w), len(sketches[x]))
+                apart = np.bitwise_count(folded(tables[int(w)][row[part]], width) ^ folded(mine, width)).sum(1, dtype=np.int64)
+                found.append(part[apart * (self.den + self.num) <= (sizes[part] + sizes[x]) * (self.den - self.num)])
+            return np.concatenate(found) if found else rest[:0]
+
+        return self.forest(near)
+
+    def by_members(self, members: list[np.ndarray]) -> list[tuple[int, int]]:
+        """A forest of the links."""
+        sizes = np.array([len(m) for m in members])
+        whole, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(whole, kind="stable")
+        whole, owner = whole[order], owner[order]
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            first, last = np.searchsorted(whole, members[x], "left"), np.searchsorted(whole, members[x], "right")
+            held = np.repeat(first - np.concatenate(([0], np.cumsum(last - first)[:-1])), last - first) + np.arange((last - first).sum())
+            common = np.bincount(owner[held], minlength=len(members))[rest]
+            return rest[self.den * common >= self.num * (sizes[rest] + sizes[x] - common)]
+
+        return self.forest(near)
+
+
+def _edges(n: int, num: int, den: int, exact: bool) -> Callable:
+    """Forests of rows sorted by block; a block's rows may come in several batches."""
+
+    def closed(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        block = _Block(rows, num, den)
+        if exact:
+            return block.by_members([shingles(hashed_words(lower_ascii(t))[0], n) for t in rows["text"]])
+        return block.by_sketch(rows["size"], rows["sketch"])
 
-        for batch in batches:
-            for key, rows in batch.groupby("block", sort=False):
-                if key != held_key:
-                    yield closed()
-                    held, held_key = [], key
-                held.append(rows)
-        yield closed()
-
-    return run
-
-
-def _compared(n: int, num: int, den: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, members = None, np.empty(0, _U)
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for a, b, text_a, text_b in zip(batch.a, batch.b, batch.text_a, batch.text_b, strict=True):
-                if a != last:
-                    last, members = a, shingles(hashed_words(lower_ascii(text_a))[0], n)
-                other = shingles(hashed_words(lower_ascii(text_b))[0], n)
-                both = np.sort(np.concatenate((members, other)))
-                common = int((both[1:] == both[:-1]).sum())
-                out.append((a, b, den * common >= num * (len(both) - common)))
-            yield pd.DataFrame(out, columns=["a", "b", "linked"])
+            new = {c: batch[c].to_numpy() for c in batch.columns}
+            rows = {c: np.concatenate((held[c], x)) for c, x in new.items()} if held else new
+            starts = np.concatenate(([0], np.flatnonzero(rows["block"][1:] != rows["block"][:-1]) + 1))
+            edges = [e for a, b in zip(starts[:-1], starts[1:], strict=True) for e in closed({c: x[a:b] for c, x in rows.items()})]
+            held = {c: x[starts[-1] :] for c, x in rows.items()}
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(closed(held) if held else [], columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _only(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """Semi or anti join with a stored id table, broadcast while its size is known to be small."""
-    right = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-    return rows.join(F.broadcast(right) if right.count() <= BROADCAST_IDS else right, column, f"left_{how}")
+def _only(rows: DataFrame, ids: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Semi or anti join with a stored table of keys, broadcast while it is known to be small."""
+    right = ids.select(columns).distinct()
+    return rows.join(F.broadcast(right) if right.count() <= BROADCAST_IDS else right, columns, f"left_{how}")
 
 
-def _ties(sets: DataFrame) -> DataFrame:
-    """(a, b): every set tied to the pivot of each key that they share, where one of a key's sets probes it."""
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """(key, id, pivot): each set of every key that two sets or more have, one of which at least probes it; the pivot probes it."""
     keys = F.concat(
         F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))),
         F.transform("offers", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
     )
-    rows = sets.select(F.col("doc_id").alias("id"), F.explode(keys).alias("k")).select("id", "k.key", "k.probe")
-    shared = (
-        rows.groupBy("key")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.when(F.col("probe"), F.col("id"))).alias("pivot"))
-        .where("low < high AND pivot IS NOT NULL")
-        .select("key", "pivot")
+    rows = sets.select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.probe")
+    own = Window.partitionBy("key")
+    rows = rows.withColumns({"low": F.min("id").over(own), "high": F.max("id").over(own), "pivot": F.min(F.when(F.col("probe"), F.col("id"))).over(own)})
+    return stored(rows.where("low < high AND pivot IS NOT NULL").select("key", "id", "pivot"), "keys")
+
+
+def _forests(blocks: DataFrame, facts: DataFrame, label: str, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): the forests of blocks (block, side, id, label), by the members of their sets where facts have texts, else by sketches."""
+    run = _edges(n, num, den, "text" in facts.columns)
+    rows = blocks.join(facts, "id").repartition("block").sortWithinPartitions("block", "side", "id")
+    found = stored(rows.mapInPandas(run, "a long, b long").distinct(), label)
+    if "text" in facts.columns:
+        forget(facts)
+    return found
+
+
+def _stars(ties: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Blocks of ties (pivot, id): a pivot on one side, some of its sets on the other."""
+    met = ties.join(weighed, "id").withColumnRenamed("pivot", "p")
+    parts = met.groupBy("p").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("parts"))
+    rows = met.join(parts, "p").select("id", "p", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    name = F.xxhash64("p", "part").alias("block")
+    sides = rows.select(name, F.lit(1).alias("side"), "id").unionByName(rows.select(name, F.lit(0).alias("side"), F.col("p").alias("id")).distinct())
+    return sides.withColumn("label", F.col("id"))
+
+
+def _untested(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, id, label, weight): sets that share a key and are in groups apart; without the pivot, which was tested with all.
+
+    Of keys with the same sets (by 128 bits) one stays."""
+    rows = shared.where("id <> pivot").select("key", "id").join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups, "id")
+    x, y = (F.bit_xor(F.xxhash64("id", F.lit(k))).alias(name) for k, name in ((1, "x"), (2, "y")))
+    keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), x, y).where("low < high")
+    return rows.join(stored(keys.groupBy("x", "y").agg(F.min("key").alias("key")), "mixed"), "key").drop("x", "y")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (key, id, label, weight): for each key, its largest group with the others, and these among themselves."""
+    groups = rows.groupBy("key", "label").agg(F.sum("weight").alias("weight"))
+    main = groups.groupBy("key").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.max("weight").alias("large"), F.sum("weight").alias("whole"))
+    parts = main.where("large < whole").select(
+        "key", "main", F.ceil(F.col("large") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("whole") - F.col("large")) / BLOCK).cast("int").alias("others")
     )
-    met = rows.select("id", "key").join(stored(shared, "keys"), "key").where("id <> pivot")
-    return stored(met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "ties")
+    rows = rows.join(parts, "key").withColumn("own", F.col("label") == F.col("main"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+
+    def each(count: str, kind: str, i: Callable, j: Callable, side: Callable) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: F.struct(F.lit(kind).alias("kind"), i(k).alias("i"), j(k).alias("j"), side(k).alias("side")))
 
+    at = F.col("at")
+    with_main = F.when(F.col("own"), each("others", "m", lambda k: at, lambda k: k, lambda k: F.lit(0))).otherwise(each("mains", "m", lambda k: k, lambda k: at, lambda k: F.lit(1)))
+    among = F.when(~F.col("own"), each("others", "o", lambda k: F.least(at, k), lambda k: F.greatest(at, k), lambda k: (at > k).cast("int")))
+    dealt = rows.select("key", "id", "label", F.explode(F.concat(with_main, F.coalesce(among, F.array().cast("array<struct<kind:string,i:int,j:int,side:int>>")))).alias("b"))
+    return dealt.select(F.xxhash64("key", "b.kind", "b.i", "b.j").alias("block"), "b.side", "id", "label")
 
-def _blocks(tables: DataFrame) -> DataFrame:
-    """(block, id, side): sets of a cluster that may be linked meet in a block, at most BLOCK of a side.
 
-    A block holds sets of one band, or of one band and the next."""
-    parts = tables.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    by_band = parts.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
-    rows = tables.select("id", "cluster", "band").join(by_band, "cluster")
-    own = F.element_at("parts", F.col("band"))
-    at = F.pmod(F.xxhash64("id"), own).cast("int")
-    rows = rows.withColumn("at", at).withColumn("n", own)
-    up, down = (F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0)) for d in (1, -1))
-    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda band, kind, i, j: F.concat_ws(":", "cluster", band, F.lit(kind), i, j)
-    within = F.transform(each(F.col("n")), lambda j: F.struct(name(F.col("band"), "w", F.least("at", j), F.greatest("at", j)).alias("block"), (F.col("at") > j).cast("int").alias("side")))
-    upper = F.transform(each(up), lambda j: F.struct(name(F.col("band"), "u", F.col("at"), j).alias("block"), F.lit(0).alias("side")))
-    lower = F.transform(each(down), lambda j: F.struct(name(F.col("band") - 1, "u", j, F.col("at")).alias("block"), F.lit(1).alias("side")))
-    return rows.select("id", F.explode(F.concat(within, upper, lower)).alias("b")).select("id", "b.block", "b.side")
+def _grouped(ids: DataFrame, groups: DataFrame, to: str) -> DataFrame:
+    """ids with the component of each, or itself."""
+    return ids.join(groups.withColumnRenamed("component", to), "id", "left").withColumn(to, F.coalesce(to, "id"))
 
 
 def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: links are num/den Jaccard of n-gram sets."""
-    kind = "n_shingles long, print_a long, print_b long, probes array<long>, offers array<long>, doc_id long"
-    rows = stored(short_batches(docs.select("doc_id", "text")).mapInPandas(_sets(n, num, den), kind), "sets")
-    print_ = ["n_shingles", "print_a", "print_b"]
+    kind = "doc_id string, n_shingles long, id long, check long, sketch binary, probes array<long>, offers array<long>"
+    made = short_batches(ids_as_text(docs.select("doc_id", "text"))).mapInPandas(_sets(n, num, den), kind)
+    with_keys = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
+    names = ["id", "check", "n_shingles"]
+    rows = stored(with_keys.drop("probes", "offers", "sketch"), "prints")
     total = rows.count()
-    first = rows.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    first = stored(gathered(first, total), "firsts")
-    copies = rows.join(first.where("n > 1"), print_).where("doc_id <> first_id").select("doc_id")
+    first = stored(gathered(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), total), "firsts")
+    copies = rows.join(first.where("n > 1"), names).where("doc_id <> first_id").select("doc_id", "id")
     copies = stored(gathered(copies, total), "copies")
-    ties = _ties(_only(rows.where("doc_id IS NOT NULL"), copies, "doc_id", "anti"))
-    clusters = components(ties).withColumnRenamed("component", "cluster")
-    met_sets = clusters.count()
-    needed = _only(docs.select("doc_id", "text"), clusters.select("id"), "doc_id", "semi")
-    texts = stored(needed.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    tables = short_batches(texts).mapInPandas(_tables(n, num, den), "size long, band int, counts binary, id long")
-    tables = stored(tables.join(clusters, "id"), "tables")
-
-    by = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    ay = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    tested: list[DataFrame] = []
-    groups, left = None, tables.withColumns({"label": F.col("id"), "failed": F.lit(None).cast("array<long>")})
-    while True:
-        blocks = _blocks(left).join(left.select("id", "size", "counts", "label", "failed"), "id")
-        edges = blocks.repartition("block").sortWithinPartitions("block", "id").mapInPandas(_forests(num, den), "a long, b long")
-        met = stored(gathered(edges.distinct(), 4 * met_sets), "edges").join(by, "b").join(ay, "a").select("a", "b", "text_a", "text_b")
-        tested.append(stored(met.mapInPandas(_compared(n, num, den), "a long, b long, linked boolean"), "compared"))
-        known = reduce(DataFrame.unionByName, tested)
-        groups = components(known.where("linked"))
-        if tested[-1].where("NOT linked").isEmpty():
-            break
-        bad = known.where("NOT linked")
-        failed = bad.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
-        again = clusters.join(tested[-1].where("NOT linked").select(F.col("a").alias("id")), "id").select("cluster").distinct()
-        next_ = tables.join(again, "cluster", "left_semi").join(failed, "id", "left").join(groups, "id", "left")
-        left = stored(next_.withColumn("label", F.coalesce("component", "id")).drop("component"), "left")
-    final = groups.withColumnRenamed("id", "first_id")
-    named = first.drop("n").join(final, "first_id", "left").select(*print_, F.coalesce("component", "first_id").alias("component"))
-    out = rows.select("doc_id", *print_).join(stored(gathered(named, total), "named"), print_, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    single = _only(with_keys.where("n_shingles > 0 AND doc_id IS NOT NULL"), copies, ["doc_id", "id"], "anti")
+    shared = _shared_keys(single)
+    needed = stored(shared.select("id").distinct(), "needed")
+    size = F.col("n_shingles").alias("size")
+    facts = _only(single.select("id", size, "sketch"), needed, ["id"], "semi").dropDuplicates(["id"])
+    facts = stored(gathered(facts, total), "facts")
+    forget(with_keys)
+    weighed = facts.select("id", (F.col("size") + OVERHEAD).alias("weight"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        """The texts of some sets."""
+        where = _only(first.select("id", F.col("first_id").alias("doc_id")), ids, ["id"], "semi")
+        held = _only(docs.select("doc_id", "text"), where, ["doc_id"], "semi").select("text")
+        found = short_batches(held).mapInPandas(_texts(n), "id long, text string")
+        return stored(found.groupBy("id").agg(F.max("text").alias("text")), "texts")
+
+    def ends(edges: DataFrame) -> DataFrame:
+        return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    ties = stored(shared.where("id <> pivot").select("pivot", "id").distinct(), "ties")
+    near = _forests(_stars(ties, weighed), facts, "near", n, num, den)
+    # A star's edges have the pivot first.
+    stars = _stars(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), weighed)
+    links = _forests(stars, texts(ends(near)), "links", n, num, den)
+    groups = stored(_grouped(needed, components(links), "label").join(weighed, "id"), "groups")
+    near = _forests(_blocks(_untested(shared, groups)), facts, "near", n, num, den)
+    clusters = components(near).withColumnRenamed("component", "key")
+    blocks = stored(_blocks(clusters.join(groups, "id")), "blocks")
+    more = _forests(blocks, texts(blocks), "links", n, num, den)
+    # A document whose texts differ is in the groups of all of them.
+    least = F.min("id").over(Window.partitionBy("doc_id"))
+    same = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select(least.alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    final = components(stored(links.unionByName(more).unionByName(same), "all_links")).withColumnRenamed("component", "group")
+    named = first.drop("n").join(final, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    named = stored(gathered(named, total), "named")
+    least = named.groupBy("group").agg(F.min("first_id").alias("component"))
+    named = stored(gathered(named.join(least, "group").select(*names, "component"), total), "components")
+    out = rows.join(named, names, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the documents whose component has one of a smaller id; all rows without an id stay."""
-    dropped = linked_sets(docs, n, num, den).where("component_id < doc_id").select("doc_id")
-    named = _only(docs.where("doc_id IS NOT NULL"), stored(dropped, "dropped"), "doc_id", "anti").dropDuplicates(["doc_id"])
+    dropped = stored(linked_sets(docs, n, num, den).where("component_id < doc_id").select("doc_id"), "dropped")
+    named = _only(docs.where("doc_id IS NOT NULL"), dropped, ["doc_id"], "anti").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
