@@ -1,19 +1,17 @@
 """Document fingerprints by consistent weighted sampling (gamma-based).
 
-A text's terms are its words, a term's weight the number of its occurrences. For a term k of weight w and a
-hashing, r and c are Gamma(2, 1) and b uniform on (0, 1), all drawn from the hash of k alone; with
-t = floor(ln w / r + b) the term's value is ln a = ln c - r (t - b) - r. The pair (k, t) of the least value is the sample,
-and two texts agree on it with the probability of their generalised Jaccard similarity,
-sum(min weights) / sum(max weights).
-
-There are HASHINGS independent hashings, each of which deals the terms to STRATA strata with a sample each:
-64 samples for four evaluations a term. So that no term outweighs its stratum, its weight is cut into steps
-of STEP, each sampled as a term by itself; sums of least and greatest weights, so the similarity, are the same
-over steps as over terms. The likeness of two texts is the share of agreeing samples among
-the strata that either text has a term in; two texts without terms have likeness 1.
-
-All is built-in functions on arrays within a row. A value is one long (stratum, value, sample), so the least
-of each stratum is found by sorting longs. Work grows as a text's length times its logarithm.
+A text's terms are its words, a term's weight the number of its occurrences. For a term k of weight w and one
+of SAMPLES hashings, r and c are Gamma(2, 1) and b uniform on (0, 1), all drawn from the hash of k alone; with
+t = floor(ln w / r + b) the term's value is ln a = ln c - r (t - b) - r. The pair (k, t) of the least value is
+that hashing's sample, and two texts agree on it with the probability of their generalised Jaccard similarity,
+sum(min weights) / sum(max weights). A fingerprint prints 16 bits of every sample, as four hexadecimal digits;
+the likeness of two texts is the share of places at which their fingerprints agree, so it is a function of what is
+printed: an estimate without bias but for 2^-16, with a standard error of at most 0.5 / sqrt(SAMPLES). Texts without
+words have an empty fingerprint, likeness 1 with each other and 0 with all others.
+
+Gamma draws are quantiles at LEVELS levels of equal probability. Words are exploded and counted for a text and its edited
+form together, so that a term's draws serve both; the least values are plain aggregates. All steps run on rows, in compiled code, and as texts lie by bucket,
+none of them shuffles words.
 
 The next document is found without a global sort: ids are cut at quantiles, cuts evenly into buckets; a
 bucket's window sees its own rows and a copy of the first row of the bucket after it. Texts are shuffled once.
@@ -24,66 +22,83 @@ the only document is its own next; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import stored, table, words_of
+from tramline.llm.common import GAP, stored, table
 
-#: Independent hashings, strata of each, and the weight that one sampled step of a term has at most.
-HASHINGS, STRATA, STEP = 4, 16, 2
+#: Independent hashings, how many of them a row is sampled for at once, and levels of the gamma draws.
+SAMPLES, AT_ONCE, LEVELS = 64, 2, 4096
 #: Documents in a bucket, about; quantiles of the ids at most; buckets whose first ids may be broadcast.
-BUCKET, CUTS, BROADCAST_BUCKETS = 500, 256, 500_000
+BUCKET, CUTS, BROADCAST_BUCKETS = 500, 64, 500_000
+_DOC = ("_bucket", "_n")
 
 
-def _sample(hashing: int) -> str:
-    """SQL of a term's long for one hashing: x.k is the term's hash, x.w its weight."""
-    a, b = f"xxhash64(x.k, {hashing})", f"xxhash64(x.k, {hashing + 100})"
+def _gamma_quantiles() -> list[float]:
+    """Gamma(2, 1) quantiles at the middles of LEVELS parts of equal probability, by bisection of 1 - (1 + x) / e^x."""
 
-    def uniform(h: str, low: int) -> str:
-        return f"(((shiftrightunsigned({h}, {low}) & 1048575) + 0.5D) / 1048576)"
+    def quantile(p: float) -> float:
+        low, high = 0.0, 64.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if 1 - (1 + middle) * math.exp(-middle) < p else (low, middle)
+        return low
 
-    def body(h: str, g: str) -> str:
-        rate, c, beta = f"-ln({uniform(h, 0)} * {uniform(h, 20)})", f"ln(-ln({uniform(h, 40)} * {uniform(g, 0)}))", uniform(g, 20)
-        return f"named_struct('s', shiftrightunsigned({h}, 60), 'r', {rate}, 'c', {c}, 'b', {beta}, 'lw', ln(x.w), 'k', x.k)"
+    return [quantile((k + 0.5) / LEVELS) for k in range(LEVELS)]
 
-    drawn = f"transform(array(named_struct('a', {a}, 'b', {b})), h -> {body('h.a', 'h.b')})"
-    timed = f"transform({drawn}, d -> named_struct('d', d, 't', floor(d.lw / d.r + d.b)))"
-    value = "d.d.c - d.d.r * (d.t - d.d.b) - d.d.r"
-    rank = f"greatest(0L, least(67108863L, floor((({value}) + 64D) * 524288)))"
-    packed = f"shiftleft({hashing * STRATA}L + d.d.s, 58) | shiftleft({rank}, 32) | (xxhash64(d.d.k, {hashing}, d.t) & 4294967295L)"
-    return f"transform({timed}, d -> {packed})[0]"
 
+def _listed(values: list[float], level: Column) -> Column:
+    """The value at a level, from an array that is a constant of the plan."""
+    return F.get(F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>"), level.cast("int"))
 
-#: A term's weight in steps: the first with the term's hash, further ones with hashes of their own.
-_STEPS = f"""concat(transform(_terms, x -> named_struct('k', x.k, 'w', least({STEP}, x.w))), flatten(transform(filter(_terms, x -> x.w > {STEP}),
-    x -> transform(sequence(1, cast((x.w - 1) div {STEP} as int)), u -> named_struct('k', xxhash64(x.k, u), 'w', least({STEP}, x.w - {STEP} * u))))))"""
 
+def _drawn(terms: DataFrame) -> DataFrame:
+    """terms (k, w, v and others) with AT_ONCE packed samples of weight w (x0, x1, ...) and of weight v (y0, y1, ...), for every group g of hashings.
 
-def signature(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """rows with `out`: sorted longs, stratum in the top 6 bits and the sample in the low 32."""
-    rows = rows.withColumn("_h", F.sort_array(F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))))
-    rows = rows.withColumn("_first", F.filter(F.transform("_h", lambda x, i: F.when(i == 0, i).when(x != F.get("_h", i - 1), i)), lambda i: i.isNotNull()))
-    rows = rows.withColumn("_terms", F.expr("transform(_first, (i, j) -> named_struct('k', _h[i], 'w', coalesce(get(_first, j + 1), size(_h)) - i))"))
-    rows = rows.withColumn("_terms", F.expr(_STEPS))
-    samples = ", ".join(f"transform(_terms, x -> {_sample(k)})" for k in range(HASHINGS))
-    rows = rows.withColumn("_all", F.expr(f"sort_array(concat({samples}))"))
-    rows = rows.withColumn(
-        out,
-        F.expr("transform(filter(_all, (x, i) -> i = 0 or shiftrightunsigned(x, 58) != shiftrightunsigned(_all[i - 1], 58)), x -> x & -288230371856744449L)"),
-    )
-    return rows.drop("_h", "_first", "_terms", "_all")
+    A sample is one long: the value in the upper 47 bits, then 16 bits that tell (k, t); the least long is the sample."""
+    rows = terms.withColumns({"lw": F.log(F.col("w").cast("double")), "lv": F.log(F.col("v").cast("double"))})
+    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))))
+    each = range(AT_ONCE)
+    rows = rows.withColumns({f"h{j}": F.xxhash64("k", F.col("g") * AT_ONCE + j) for j in each})
+    gammas = _gamma_quantiles()
+    drawn: dict[str, Column] = {}
+    for j in each:
+        h = F.col(f"h{j}")
+        drawn |= {
+            f"r{j}": _listed(gammas, h.bitwiseAND(F.lit(LEVELS - 1))),
+            f"c{j}": _listed([math.log(x) for x in gammas], F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(LEVELS - 1))),
+            f"b{j}": (F.shiftrightunsigned(h, 24).bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(0.5)) / F.lit(float(1 << 24)),
+        }
+    rows = rows.select("*", *[x.alias(name) for name, x in drawn.items()])
+    rows = rows.withColumns({f"{t}{j}": F.floor(F.col(lw) / F.col(f"r{j}") + F.col(f"b{j}")) for t, lw in (("s", "lw"), ("t", "lv")) for j in each})
 
+    def packed(j: int, t: str) -> Column:
+        value = F.col(f"c{j}") - F.col(f"r{j}") * (F.col(t) - F.col(f"b{j}") + 1)
+        name = (F.shiftrightunsigned(f"h{j}", 48) + F.col(t) * 40503).bitwiseAND(F.lit(65535))
+        return F.shiftleft(F.floor((value + 64) * float(1 << 40)), 16).bitwiseOR(name)
 
-def printed(signature_: Column) -> Column:
-    """Six hexadecimal digits for each stratum with a term: its number, then 16 bits of the sample."""
-    return F.array_join(
-        F.transform(signature_, lambda x: F.concat(F.lpad(F.hex(F.shiftrightunsigned(x, 58)), 2, "0"), F.lpad(F.hex(x.bitwiseAND(F.lit(65535))), 4, "0"))), ""
-    )
+    return rows.select(*terms.columns, "g", *[packed(j, f"s{j}").alias(f"x{j}") for j in each], *[packed(j, f"t{j}").alias(f"y{j}") for j in each])
+
+
+def signatures(texts: DataFrame, keys: tuple[str, ...] = _DOC) -> DataFrame:
+    """keys, own and other (fingerprints of the columns `text` and `edited`) of each row with a word; keys name a row."""
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("own"), "text"), F.struct(F.lit(0).alias("own"), F.col("edited").alias("text"))))
+    words = texts.select(*keys, sides.alias("s")).select(*keys, "s.own", F.explode(F.split("s.text", GAP)).alias("word")).where("word <> ''")
+    terms = words.groupBy(*keys, F.xxhash64("word").alias("k")).agg(F.sum("own").alias("w"), (F.count("*") - F.sum("own")).alias("v"))
+    # A weight of 0 has no logarithm: its samples are null, and no least value.
+    least = _drawn(terms).groupBy(*keys, "g").agg(*[F.min(f"{side}{j}").alias(f"{side}{j}") for side in "xy" for j in range(AT_ONCE)])
+    digits = {side: F.concat(*[F.lpad(F.hex(F.col(f"{side}{j}").bitwiseAND(F.lit(65535))), 4, "0") for j in range(AT_ONCE)]) for side in "xy"}
+    parts = least.select(*keys, F.struct("g", F.lower(digits["x"]).alias("x"), F.lower(digits["y"]).alias("y")).alias("p"))
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select(*keys, F.array_join("p.x", "").alias("own"), F.array_join("p.y", "").alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    strata = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda x: F.shiftrightunsigned(x, 58))))
-    return F.when(strata == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / strata)
+    """Share of the places (four digits each) at which two fingerprints agree."""
+    same = [F.when(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4), 1).otherwise(0) for k in range(SAMPLES)]
+    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(sum(same, F.lit(0)) / SAMPLES)
 
 
 def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -96,8 +111,8 @@ def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     low = sorted(set(seen.q or [0]))
     high = [*low[1:], (seen.top or 0) + 1]
     parts = max(1, -(-seen.n // (len(low) * bucket)))
-    cut = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in low]), lambda q: q <= F.col("_key"))) - 1
-    cut = F.greatest(cut, F.lit(0))  # quantiles are approximate: keys below the first belong to it
+    # A sum and no lambda: plans with lambdas never count as equal, so the texts' shuffle would not be reused.
+    cut = sum(((F.col("_key") >= x).cast("int") for x in low[1:]), F.lit(0))  # keys below the first quantile belong to it
 
     def at(values: list[int]) -> Column:
         return F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("_cut"))
@@ -119,21 +134,21 @@ def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and likenesses; see the module."""
-    order = Window.partitionBy("_bucket").orderBy("_last", "_key", "text")
+    order = Window.partitionBy("_bucket").orderBy("_last", "_key", "text", "doc_id")
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
-    rows = with_next(docs).withColumn("_next", F.lead("text").over(order))
+    rows = with_next(docs).withColumns({"_next": F.lead("text").over(order), "_n": F.row_number().over(order)})
     edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), part))
-    rows = rows.withColumn("edited", edited).drop("_next")
-    rows = signature(signature(rows, "text", "own"), "edited", "other")
-    rows = rows.select("_bucket", "_last", "_key", "doc_id", "text", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other")
-    rows = rows.withColumn("next_own", F.lead("own").over(order)).where("NOT _last")
-    return rows.select(
+    rows = rows.select("_bucket", "_n", "_last", "doc_id", "text", edited.alias("edited"))
+    named = rows.select(*_DOC, "_last", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    both = named.join(signatures(rows), list(_DOC), "left").fillna("", ["own", "other"])
+    following = F.lead("own").over(Window.partitionBy("_bucket").orderBy("_n"))
+    return both.withColumn("next_own", following).where("NOT _last").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        printed(F.col("own")).alias("fingerprint"),
-        printed(F.col("other")).alias("edited_fingerprint"),
+        F.col("own").alias("fingerprint"),
+        F.col("other").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
