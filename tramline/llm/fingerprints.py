@@ -125,11 +125,12 @@ def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     before = F.coalesce(F.lag("end").over(Window.orderBy("_cut")), F.max("end").over(Window.partitionBy()))
     ends = ends.select("_cut", before.alias("end"))
     inner = F.lag("_bucket").over(Window.partitionBy("_cut").orderBy("_bucket"))
-    copies = first.join(ends, "_cut").select(F.coalesce(inner, "end").alias("_bucket"), "_key")
+    copies = stored(first.join(ends, "_cut").select(F.coalesce(inner, "end").alias("_bucket"), "_key"), "copies")
     copies = F.broadcast(copies) if seen.n // bucket < BROADCAST_BUCKETS else copies
     own = dealt(rows).select("_bucket", F.lit(False).alias("_last"), "_key", "doc_id", "text")
     follow = rows.join(copies, "_key").select("_bucket", F.lit(True).alias("_last"), "_key", "doc_id", "text")
-    return own.unionByName(follow)
+    # No bucket is null; said here, as else only one side of a later join would filter for it, and the shuffle would not be reused.
+    return own.unionByName(follow).where("_bucket IS NOT NULL")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
