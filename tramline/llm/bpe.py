@@ -23,15 +23,15 @@ from functools import lru_cache
 from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import short_batches, table
 
 SPECIAL = "<|endoftext|>"
-#: A worker keeps the encodings of the last so many distinct words, or twice as many.
-KEPT_WORDS = 150_000
+#: A worker keeps the encodings of the last so many distinct words, or twice as many; words longer than LONG are not kept.
+KEPT_WORDS, LONG = 150_000, 200
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: Characters whose class (letter, digit, space, other) is beyond doubt; the pattern below is for them.
@@ -52,6 +52,15 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the longest prefix that two words share, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
 class Vocabulary:
     """Tokens as bytes, the merge that made each, and the encodings found so far."""
 
@@ -109,18 +118,15 @@ class Vocabulary:
             else:
                 before, b = b + 1, inner_b
 
-    def encode_words(self, words: Iterable[str]) -> None:
-        """Put the ids of new words, as little-endian 32-bit integers, into `known`."""
-        ids, apart, joints, longest = self.ids.get, self.apart, self.joints.get, self.longest
-        packed, known = self.packed, self.known
-        # Of the first i bytes of the current path: last[i], the encoding's last token; done[i], its ids.
-        last, done, before = [-1], [b""], b""
+    def encode_words(self, words: Iterable[str], known: dict[str, bytes]) -> None:
+        """Put the ids of new words, as little-endian 32-bit integers, into `known`; memory grows as the longest word."""
+        ids, apart, joints, longest, packed = self.ids.get, self.apart, self.joints.get, self.longest, self.packed
+        # Of the first i bytes of the current path: last[i], the encoding's last token; back[i], where it begins.
+        last, back, before = [-1], [0], b""
         for word in sorted(words):
             raw = word.encode("utf-8", "surrogatepass")
-            same = len(before)
-            while not raw.startswith(before[:same]):
-                same -= 1
-            del last[same + 1 :], done[same + 1 :]
+            same = _shared(before, raw)
+            del last[same + 1 :], back[same + 1 :]
             for end in range(same + 1, len(raw) + 1):
                 # Just one token fits, so the lengths can be tried from the likeliest, the short ones.
                 for start in range(end - 1, max(0, end - longest) - 1, -1):
@@ -133,9 +139,13 @@ class Vocabulary:
                             if not fits:
                                 continue
                         last.append(t)
-                        done.append(done[start] + packed[t])
+                        back.append(start)
                         break
-            known[word] = done[-1]
+            out, end = [], len(raw)
+            while end:
+                out.append(packed[last[end]])
+                end = back[end]
+            known[word] = b"".join(reversed(out))
             before = raw
 
     def pieces(self, text: str) -> list[str]:
@@ -160,13 +170,18 @@ class Vocabulary:
         new = new.difference(self.known)
         known_before = new.intersection(self.older)
         self.known.update((w, self.older[w]) for w in known_before)
-        self.encode_words(new - known_before)
+        new -= known_before
+        long = {w for w in new if len(w) > LONG}
+        self.encode_words(new - long, self.known)
         known = self.known
+        if long:
+            self.encode_words(long, encoded := {})
+            known = known | encoded
         return [special.join([b"".join([known[w] for w in p]) for p in parts]) for parts in split]
 
-    def decode(self, raw: bytes) -> str:
+    def decode(self, raw: bytes | None) -> str:
         tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(raw, "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join([tokens[i] for i in np.frombuffer(raw or b"", "<u4").tolist()]).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -186,36 +201,40 @@ def _chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[st
 
 
 def _encoder(path: str, column: str) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            out = [ids for chunk in _chunks(batch[column].tolist()) for ids in voc.encode(chunk)]
-            yield batch.assign(ids=out)
+            out = [ids for chunk in _chunks(batch[column].to_pylist()) for ids in voc.encode(chunk)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return run
 
 
-def _decoder(path: str) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decoder(path: str, at: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            yield batch.drop(columns="ids").assign(decoded=[voc.decode(x) for x in batch.ids])
+            text = pa.array([voc.decode(x) for x in batch.column(at).to_pylist()], pa.string())
+            keep = [k for k in range(batch.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], text], names=[*[batch.schema.names[k] for k in keep], "decoded"])
 
     return run
 
 
+def _kind(rows: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
+
+
 def encode(rows: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """rows with `ids` (binary: little-endian unsigned 32-bit integers) for the text in `column`."""
+    """rows with `ids` (binary: little-endian unsigned 32-bit integers) for the text in `column`; other columns pass as they are."""
     rows = short_batches(rows.drop("ids"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(_encoder(path or vocabulary_path(), column), f"{kind}, ids binary")
+    return rows.mapInArrow(_encoder(path or vocabulary_path(), column), f"{_kind(rows)}ids binary")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """rows with `decoded`, the text of the binary column `ids`, in its place."""
+    """rows with `decoded`, the text of the binary column `ids`, in its place; null ids count as none."""
     rows = rows.drop("decoded")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "ids")
-    return rows.mapInPandas(_decoder(path or vocabulary_path()), f"{kind}, decoded string")
+    return rows.mapInArrow(_decoder(path or vocabulary_path(), rows.columns.index("ids")), f"{_kind(rows.drop('ids'))}decoded string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ def words_of(text: Column) -> Column:
 
 
 def remainder(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id as text (of an empty text where it is null), modulo n."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def short_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
@@ -56,11 +56,16 @@ def ids_as_text(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="tramline-")
+        if jvm.isDefined():
+            found = jvm.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="tramline-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -16,7 +16,8 @@ The base score needs each token's count over all training texts. Token counts ar
 the COMMON most frequent ones go to the tasks (a bounded table), all others meet their documents in an
 equi join in which no key is frequent, so no key is hot.
 
-Defined cases: a null text is empty and has the end token only; repeated rows score alike; without training
+Defined cases: a null text is empty and has the end token only; an id that is null counts as an empty text where crc32 deals
+rows to folds (so such rows are held out); repeated rows score alike, and rows that repeat an id each by their own text; without training
 texts counts are 0 and every byte costs log10(257); an empty table gives an empty result; further columns are
 ignored.
 """
@@ -35,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import hashed_words, lower_ascii, remainder, short_batches, stored, table
+from tramline.llm.common import hashed_words, ids_as_text, lower_ascii, remainder, short_batches, stored, table
 
 ORDER, COMMON_GRAMS, COMMON = 5, 1_000_000, 150_000
 END, SYMBOLS = 0xFF, 257
@@ -354,13 +355,14 @@ def scored(docs: DataFrame, usable: Callable[[Column], Column], most: int = COMM
     common = (top.token.to_numpy(np.int64).view(_U), top.n.to_numpy(np.float64))
     kind = (
         "n_tokens long, n_common long, common_score double, rare array<long>, times array<long>, rare_grams array<long>, gram_times array<long>, "
-        "doc_id long, print long, score double"
+        "doc_id string, print long, score double"
     )
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
     learn = F.coalesce(usable(F.col("doc_id")), F.lit(False))
     grams = gram_scores(gram_counts(docs.select("text", learn.alias("learn"))))
     model = docs.sparkSession.sparkContext.broadcast((_frequent(grams, most), common))
-    rows = stored(short_batches(rows).mapInPandas(_scorer(model, uuid.uuid4().hex, total, kinds), kind), "scored")
+    made = short_batches(ids_as_text(rows)).mapInPandas(_scorer(model, uuid.uuid4().hex, total, kinds), kind)
+    rows = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "scored")
     met = _exploded(rows, "rare", "times").join(counts.withColumnRenamed("token", "key"), "key", "left")
     unit = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (total + 0.1 * (kinds + 1)))
     # Rows repeated with the same id and text come several times; one of them counts.

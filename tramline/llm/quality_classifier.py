@@ -10,7 +10,8 @@ A document is the mean of its words' unit vectors, for whole words and endings,
 (words, distinct share, letters' case, marks). A network of two layers learns from a bounded sample of
 MOST labelled rows; a fifth of it sets the temperature that calibrates its probabilities. Two scans.
 
-Defined cases: null and empty texts pool to zero and are scored as such; repeated rows score alike; empty
+Defined cases: null and empty texts pool to zero and are scored as such; a null id counts as an empty text where crc32 deals
+rows to folds; repeated rows score alike, and rows that repeat an id each by their own text; empty
 tables give an empty result (without labels all scores are 0.5); further columns, and labels, lang, source
 and doc_id as inputs of a score, are ignored.
 """
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import hashed_words, mix64, remainder, short_batches, table
+from tramline.llm.common import hashed_words, ids_as_text, mix64, remainder, short_batches, table
 from tramline.llm.labelled import labelled_sample
 
 BUCKETS, DIM, CHUNKS, MOST, HIDDEN, SEED = 8192, 32, 64, 20_000, 32, 20
@@ -181,7 +182,8 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Callable) -> DataFrame:
     rows = short_batches(sample).select("text", "label").mapInPandas(_pooled(vectors), "x binary, label int").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM + 4)
     network = Network(x, np.array([r.label for r in rows], np.float64))
-    return short_batches(docs.select("doc_id", "text")).mapInPandas(_scorer(vectors, network), "doc_id long, score double")
+    made = short_batches(ids_as_text(docs.select("doc_id", "text"))).mapInPandas(_scorer(vectors, network), "doc_id string, score double")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
