@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, for fitting classifiers."""
+"""Bounded samples of documents, for fitting classifiers."""
 
 from __future__ import annotations
 
@@ -17,3 +17,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, most
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return stored(joined, "labelled")
+
+
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """Stored (doc_id, text) of at most `most` documents without a known label, in the order of their ids' hashes."""
+    known = labels.where(F.col(label).isNotNull()).select("doc_id").distinct()
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "unlabelled")

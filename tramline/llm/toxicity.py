@@ -1,19 +1,21 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries and patterns: words, and the first PREFIX bytes of words, that a bounded sample of
-labelled training rows shows almost only in toxic documents, short lists of insults, and two patterns (several
-hits; a shouted hit). A generative label model has each voter fire with one probability in toxic documents and
-another in clean ones. Its parameters come from the voters' means and co-occurrences over all documents: the
-off-diagonal covariances are those of one hidden class, u u', wherever voters are independent given it;
-pairs that deviate are estimated as correlated, left out of the fit, and the weight of their voters is shared.
-The posteriors of the sample's rows, with the known label as one more, very reliable voter, train a linear
-classifier over the mined features, which then scores every whole text.
-
-The fit's sample has MOST rows at most; voters' statistics cover all documents and are summed by Spark (a
-table of voters squared rows). Two scans of the texts; nothing else is shuffled.
-
-Defined cases: null and empty texts have no features and get the score of the bias; repeated rows score
-alike; empty tables give an empty result (without labels all scores are the prior's); further columns,
+labelled training rows shows almost only in toxic documents, short lists of insults, two patterns (several
+hits; a shouted hit), and the silence of all these. A voter fires or abstains. A generative label model has each fire
+with one probability in toxic documents and another in clean ones. Its parameters come from the voters' means and
+co-occurrences over all documents: the off-diagonal covariances are those of one hidden class, u u', wherever
+voters are independent given it. Known labels are one voter more, whose covariances with the others are seen on the
+labelled sample. Pairs that deviate are estimated as correlated, left out of the fit, and the weight of their voters is shared.
+Targets are the model's posteriors, for labelled rows (with the vote of their label, GOLD reliable) and for as many unlabelled
+rows, and nothing else; on them a linear classifier over the mined features is trained, which then scores every whole text.
+
+The fit's two samples have MOST rows at most each; voters' statistics cover all documents and are summed by Spark (a
+table of voters squared rows). Three scans of the texts; nothing else is shuffled.
+
+Defined cases: null and empty texts have no features and get the score of the bias; a null id counts as an empty text where
+crc32 deals rows to folds; repeated rows score alike, and rows that repeat an id each by their own text;
+empty tables give an empty result (without labels all scores are the prior's); further columns,
 and labels, lang, source and doc_id as inputs of a score, are ignored.
 """
 
@@ -24,16 +26,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import lower_ascii, remainder, short_batches, table
-from tramline.llm.labelled import labelled_sample
+from tramline.llm.common import ids_as_text, lower_ascii, remainder, short_batches, table
+from tramline.llm.labelled import labelled_sample, unlabelled_sample
 
-#: Labelled rows for the fit, features of the classifier and voters, at most; bytes of a word's stem.
+#: Labelled rows for the fit (and unlabelled ones), features of the classifier and voters, at most; bytes of a word's stem.
 MOST, FEATURES, VOTERS, PREFIX = 20_000, 1024, 64, 6
-#: Weight of a known label as a probability; how far above chance a mined term must be.
-GOLD, SURE = 0.98, 3.0
+#: Reliability of a known label as a voter; how far above chance a mined term must be.
+GOLD, SURE = 0.995, 3.0
 # Insults, as voters that need no labels.
 INSULTS = {
     "en": "idiot moron stupid loser scum trash worthless pathetic disgusting",
@@ -83,13 +86,13 @@ def mined(sample: DataFrame, features: int) -> tuple[list[bytes], int, int]:
 
 
 class Voters:
-    """Who votes, and which: single features, the lists of insults, several hits, a shouted hit."""
+    """Who votes, and which: single features, the lists of insults, several hits, a shouted hit, silence of the others."""
 
     def __init__(self, features: list[bytes], most: int) -> None:
         self.features = {t: k for k, t in enumerate(features)}
         self.lists = [{lower_ascii(w) for w in x.split()} for x in INSULTS.values()]
-        self.single = {t: k for k, t in enumerate(features[: most - len(self.lists) - 2])}
-        self.count = len(self.single) + len(self.lists) + 2
+        self.single = {t: k for k, t in enumerate(features[: most - len(self.lists) - 3])}
+        self.count = len(self.single) + len(self.lists) + 3
 
     def votes(self, text: str | None) -> tuple[list[int], list[int]]:
         """Numbers of the voters that fire, and of the features that are there."""
@@ -103,7 +106,7 @@ class Voters:
         fired += [first + k for k, words in enumerate(self.lists) if words & found]
         if several:
             fired.append(first + len(self.lists))
-        return sorted(fired), sorted(active)
+        return sorted(fired) or [self.count - 1], sorted(active)
 
 
 def _moments(voters: Voters) -> Callable:
@@ -122,25 +125,39 @@ def _moments(voters: Voters) -> Callable:
     return run
 
 
-def label_model(both: np.ndarray, n: int, prior: float, passes: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(fire | toxic), P(fire | clean) and each voter's weight, from co-occurrence counts over n documents."""
+def label_model(both: np.ndarray, n: int, prior: float, gold: np.ndarray | None = None, passes: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(fire | toxic), P(fire | clean) and each voter's weight, from co-occurrence counts over n documents.
+
+    gold: each voter's covariance with the known label, where there are labels. The hidden class has this prior."""
     mean = both.diagonal() / max(n, 1)
     cov = both / max(n, 1) - np.outer(mean, mean)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     use = ~np.eye(len(mean), dtype=bool)
-    u = 0.3 * spread
+    known = (2 * GOLD - 1) * np.sqrt(prior * (1 - prior)) if gold is not None else 0.0
+    from_gold = known * gold if gold is not None else np.zeros(len(mean))
+    u = 0.3 * spread if gold is None else from_gold / known**2
     for _ in range(passes):
         for _ in range(50):
-            u = (u + np.maximum((use * cov) @ u / np.maximum(use @ (u * u), 1e-15), 0)) / 2
+            u = (u + ((use * cov) @ u + from_gold) / np.maximum(use @ (u * u) + known**2, 1e-15)) / 2
+            u = np.maximum(u, 0) if gold is None else u
         left = np.abs(cov - np.outer(u, u)) / np.outer(spread, spread)
         usual = 4 * np.median(left[use]) + 0.05 if use.any() else 1
         use = (left < usual) & ~np.eye(len(mean), dtype=bool)
     linked = (left >= usual) & ~np.eye(len(mean), dtype=bool)
     weight = 1 / (1 + np.where(linked, np.minimum(left, 1), 0).sum(1))
-    gap = np.minimum(u / np.sqrt(prior * (1 - prior)), 0.999)
-    fires = np.clip(mean + (1 - prior) * gap, 1e-4, 1 - 1e-4)
-    rests = np.clip(mean - prior * gap, 1e-5, 1 - 1e-4)
-    return np.maximum(fires, rests), np.minimum(fires, rests), weight
+    gap = u / np.sqrt(prior * (1 - prior))
+    least = 1 / max(n, 100)
+    fires, rests = mean + (1 - prior) * gap, mean - prior * gap
+    return np.clip(fires, least, 1 - 1e-4), np.clip(rests, least, 1 - 1e-4), weight
+
+
+def posteriors(fired: list[list[int]], labels: np.ndarray, prior: float, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Probability of the toxic class for each row's votes; labels are 1, 0 or -1 (unknown). Voters that do not fire abstain."""
+    fires, rests, weight = model
+    votes = weight * np.log(fires / rests)
+    gold = np.log(GOLD / (1 - GOLD)) * np.select([labels == 1, labels == 0], [1.0, -1.0], 0.0)
+    odds = np.log(prior / (1 - prior)) + gold + np.array([votes[f].sum() for f in fired])
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
 def linear(rows: list[list[int]], target: np.ndarray, features: int, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -195,36 +212,46 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Callable, most: int = MOS
             total = r.n
         else:
             both[r.i, r.j] = r.n
-    fires, rests, weight = label_model(both, total, prior)
-    yes, no = weight * np.log(fires / rests), weight * np.log((1 - fires) / (1 - rests))
-    rows = sample.select("text", "label").mapInPandas(_voted(voters), "fired array<int>, active array<int>, label int").collect()
-    gold = np.log(GOLD / (1 - GOLD))
-    odds = [np.log(prior / (1 - prior)) + no.sum() + sum(yes[k] - no[k] for k in r.fired) + (gold if r.label else -gold) for r in rows]
-    target = 1 / (1 + np.exp(-np.clip(np.array(odds), -50, 50)))
-    # The known label decides where the voters are silent or mild; it outweighs them where they disagree.
-    target = np.where(np.array([r.label for r in rows], bool), np.maximum(target, GOLD), np.minimum(target, 1 - GOLD)) if rows else target
+    known = sample.select("text", "label").unionByName(unlabelled_sample(docs, labels, "toxic", most).select("text", F.lit(-1).alias("label")))
+    rows = known.mapInPandas(_voted(voters), "fired array<int>, active array<int>, label int").collect()
+    label = np.array([r.label for r in rows], np.int64)
+    target = posteriors([r.fired for r in rows], label, prior, label_model(both, total, prior, gold_covariance(rows, voters.count)))
     w, bias = linear([r.active for r in rows], target, max(len(features), 1))
     return features, w[: len(features)], bias
 
 
+def gold_covariance(rows: list, count: int) -> np.ndarray | None:
+    """Each voter's covariance with the label, over the labelled rows; None where there is none of a class."""
+    fired, labels = np.zeros((2, count)), np.zeros(2)
+    for r in rows:
+        if r.label >= 0:
+            labels[r.label] += 1
+            fired[r.label, r.fired] += 1
+    if not labels.all():
+        return None
+    share = labels[1] / labels.sum()
+    return share * (1 - share) * (fired[1] / labels[1] - fired[0] / labels[0])
+
+
 def scored(docs: DataFrame, labels: DataFrame, usable: Callable) -> DataFrame:
     """doc_id and score of every document: 0 to 1, higher for likelier toxic."""
     features, w, bias = fitted(docs, labels, usable)
-    return short_batches(docs.select("doc_id", "text")).mapInPandas(_scorer(features, w, bias), "doc_id long, score double")
+    made = short_batches(ids_as_text(docs.select("doc_id", "text"))).mapInPandas(_scorer(features, w, bias), "doc_id string, score double")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more; learns from all labels, as a pipeline may."""
+    """docs without those that score 0.5 or more; learns from all labels, as a pipeline may. Columns pass as they are."""
     features, w, bias = fitted(docs, labels, lambda _: F.lit(True))
-    rows = short_batches(docs)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _scorer(features, w, bias)
         for batch in batches:
-            yield batch[next(judge(iter([batch[["text"]]]))).score.to_numpy() < 0.5]
+            texts = pd.DataFrame({"text": batch.column(at).to_pylist()})
+            yield batch.filter(pa.array(next(judge(iter([texts]))).score.to_numpy() < 0.5))
 
-    return rows.mapInPandas(run, kind)
+    return short_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
