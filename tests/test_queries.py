@@ -57,4 +57,10 @@ def test_spelling_search_finds_names_with_many_doubled_letters(spark, tmp_path):
     rows = [(1, "patr 3333333"), (2, "Patr 333333333"), (3, "patr 3333333333"), (4, "quite another")]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     found = {r.p_partkey: r.cost for r in registry.QUERIES["spelling_search"](spark, str(tmp_path)).where("q = 'patr 333'").collect()}
-    assert found == {1: 1.6, 2: 2.4}
+    # A doubled letter costs 0.5 each: four more are within the limit of 2.5, six are not.
+    assert found == {1: 2.0}
+
+
+def test_spelling_search_finds_the_names_meant(spark):
+    found = registry.QUERIES["spelling_search"](spark, DIR).where("o = 1").join(spark.read.parquet(f"{DIR}/part.parquet"), "p_partkey").collect()
+    assert {r.q: (r.p_name, r.cost) for r in found} == {"smlal ring": ("small ring", 0.6), "red widgt": ("red widget", 1.0), "bkue bolt": ("blue bolt", 0.6), "hott gear": ("hot gear", 0.5)}

@@ -43,40 +43,44 @@ def allowed_error(lead: Column) -> Column:
     return F.when(lead >= 1800, 180).when(lead >= 1200, 120).otherwise(60)
 
 
-# Neighbours on a keyboard's rows.
+# Rows of a keyboard (each half a key right of the one above), vowels, and what slips cost.
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-_VOWELS = frozenset("aeiou")
+_VOWELS = frozenset("aeiouy")
+SWAP, NEAR_KEY, VOWEL, DOUBLE, DIGIT = 0.6, 0.6, 0.7, 0.5, 1.5
+_KEYS = {c: (x + y / 2, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 
 
-def _close(a: str, b: str) -> bool:
-    for k, row in enumerate(_ROWS):
-        i = row.find(a)
-        if i >= 0:
-            for other in _ROWS[max(0, k - 1) : k + 2]:
-                j = other.find(b)
-                if j >= 0 and abs(i - j) <= 1:
-                    return True
-    return False
+def _changed(a: str, b: str) -> float:
+    if a == b:
+        return 0.0
+    if a in _KEYS and b in _KEYS and all(abs(p - q) <= 1 for p, q in zip(_KEYS[a], _KEYS[b], strict=True)):
+        return NEAR_KEY
+    if a in _VOWELS and b in _VOWELS:
+        return VOWEL
+    return DIGIT if a.isdigit() or b.isdigit() else 1.0
+
+
+def _single(word: str) -> list[float]:
+    """Cost of adding or dropping each letter: less for one that stands beside its like."""
+    return [DOUBLE if c in (word[k - 1 : k], word[k + 1 : k + 2]) else 1.0 for k, c in enumerate(word)]
 
 
 def spelling_cost(a: str, b: str) -> float:
-    """Edit cost with cheaper slips: a neighbouring key or another vowel 0.6, a doubled letter 0.4, a swap 0.7."""
-    n, m = len(a), len(b)
-    d = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i == 0 or j == 0:
-                d[i][j] = float(i + j)
-                continue
-            x, y = a[i - 1], b[j - 1]
-            change = 0.0 if x == y else 0.6 if (x in _VOWELS and y in _VOWELS) or _close(x, y) else 1.0
-            drop = 0.4 if i > 1 and a[i - 2] == x else 1.0
-            add = 0.4 if j > 1 and b[j - 2] == y else 1.0
-            best = min(d[i - 1][j - 1] + change, d[i - 1][j] + drop, d[i][j - 1] + add)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                best = min(best, d[i - 2][j - 2] + 0.7)
-            d[i][j] = best
-    return d[n][m]
+    """Edit cost of two words with cheaper slips: swapped neighbours, a key beside, another vowel, a doubled letter; digits cost more."""
+    drop, add = _single(a), _single(b)
+    older: list[float] = []
+    last = [0.0]
+    for x in add:
+        last.append(last[-1] + x)
+    for i, x in enumerate(a):
+        row = [last[0] + drop[i]]
+        for j, y in enumerate(b):
+            best = min(last[j] + _changed(x, y), last[j + 1] + drop[i], row[j] + add[j])
+            if i and j and x != y and x == b[j - 1] and y == a[i - 1]:
+                best = min(best, older[j - 1] + SWAP)
+            row.append(best)
+        older, last = last, row
+    return last[-1]
 
 
 @F.pandas_udf(DoubleType())

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.tracks import folded
+
 
 def chained(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) -> DataFrame:
     """rows with `repeat`: within gap of the row before it, kept or not."""
@@ -37,22 +40,41 @@ def anchored(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) ->
 
 
 def ranked_merge(rows: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
-    """First-hit merge: a row within gap of a kept row replaces it if its rank is higher, else it goes.
-
-    rows have t, rank and event_id and come in order of event_id. Keys are folded each by itself."""
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        t, rank = g.t.to_numpy(), g["rank"].to_numpy()
-        order = np.argsort(g.event_id.to_numpy(), kind="stable")
-        for i in order:
-            hit = next((k for k, j in enumerate(kept) if abs(t[i] - t[j]) <= gap), None)
-            if hit is None:
-                kept.append(i)
-            elif rank[i] > rank[kept[hit]]:
-                kept[hit] = i
-        return g.iloc[sorted(kept)]
-
-    return rows.groupBy(*by).applyInPandas(fold, rows.schema)
+    """First-hit merge: a row within gap of one already kept takes its place if its rank is higher, else it goes.
+
+    rows have t, rank and event_id, whole numbers, and come in order of event_id. A row that takes a place leaves that place at the time of
+    the row that opened it, so chains do not drift. Keys are cut at silences longer than gap, over which nothing is near; the
+    places of a stretch are kept in order of time and found by bisection, the earliest opened first."""
+    w = Window.partitionBy(*by).orderBy("t", "event_id")
+    new = F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)).cast("int")
+    cut = rows.withColumn("_stretch", F.sum(new).over(w)).select(*by, "_stretch", "t", "rank", "event_id")
+    fields = [*by, "_stretch"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, times, places = None, [], []
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"event_id": [p[2] for p in places]}, dtype="int64")
+
+        for batch in batches:
+            done = []
+            for row in zip(*[batch[c] for c in fields], batch.t, batch["rank"], batch.event_id, strict=True):
+                k, (t, rank, event) = row[: len(fields)], row[len(fields) :]
+                if k != key:
+                    done.append(closed())
+                    key, times, places = k, [], []
+                near = range(bisect_left(times, (t - gap, -1)), bisect_left(times, (t + gap + 1, -1)))
+                hit = min((times[i][1] for i in near), default=None)
+                if hit is None:
+                    insort(times, (t, len(places)))
+                    places.append((t, rank, event))
+                elif rank > places[hit][1]:
+                    places[hit] = (places[hit][0], rank, event)
+            yield pd.concat(done) if done else closed().iloc[:0]
+        yield closed()
+
+    dealt = cut.repartition(*fields).sortWithinPartitions(*fields, "event_id")
+    return rows.join(dealt.mapInPandas(run, "event_id long"), "event_id", "left_semi")
 
 
 def islands(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) -> DataFrame:
@@ -70,50 +92,38 @@ def interval_unions(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy(*by, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_i")
 
 
-def decayed(rows: DataFrame, by: Sequence[str], half: float) -> DataFrame:
-    """rows (t, event_id, value) with `level`: the exponentially decayed mean of the values before each row."""
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        level, weight, last, out = 0.0, 0.0, None, []
-        for t, v in zip(g.t, g.value, strict=True):
-            fade = 1.0 if last is None else 0.5 ** ((t - last) / half)
-            weight *= fade
-            out.append(level if weight > 0 else None)
-            weight, last = weight + 1, t
-            level += (v - level) / weight
-        return g.assign(level=pd.array(out, "Float64").to_numpy(float, na_value=np.nan))
+def decayed(rows: DataFrame, by: Sequence[str], tau: float, alpha: float = 0.5) -> DataFrame:
+    """rows (t, event_id, value) with `level`: what is left, before each row, of an exponentially weighted mean that fades to 0.
+
+    A row moves the faded level by alpha of what it misses; between rows the level fades by exp(-dt / tau). Without a row before it is 0."""
+
+    def step(state: tuple | None, values: tuple) -> tuple:
+        t, value = values
+        level = state[0] * math.exp(-max(0.0, t - state[1]) / tau) if state else 0.0
+        return (level + alpha * (value - level), t), (level,)
 
-    return rows.groupBy(*by).applyInPandas(fold, f"{_ddl(rows)}, level double")
+    return folded(rows, by, ["t", "event_id"], lambda: None, step, "level double", ["t", "value"])
 
 
 def smoothed(rows: DataFrame, by: Sequence[str], noise: float = 25.0, drift: float = 1.0, gate: float = 9.0) -> DataFrame:
     """Constant-velocity Kalman filter of `value` over t for each key, with `estimate` and `rejected`.
 
-    A measurement whose normalised squared innovation exceeds the gate is rejected; after three in a row the
-    filter starts again at the measurement."""
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        x, p, last, run, est, rej = None, None, None, 0, [], []
-        for t, z in zip(g.t, g.value, strict=True):
-            if x is not None:
-                dt = float(t - last)
-                f = np.array([[1, dt], [0, 1]])
-                x, p = f @ x, f @ p @ f.T + drift * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-                s = p[0, 0] + noise
-                bad = (z - x[0]) ** 2 / s > gate
-                run = run + 1 if bad else 0
-                if not bad:
-                    k = p[:, 0] / s
-                    x, p = x + k * (z - x[0]), p - np.outer(k, p[0])
-            if x is None or run >= 3:
-                x, p, run, bad = np.array([z, 0.0]), np.diag([noise, 100.0]), 0, False
-            last = t
-            est.append(x[0])
-            rej.append(int(bad))
-        return g.assign(estimate=est, rejected=rej)
-
-    return rows.groupBy(*by).applyInPandas(fold, f"{_ddl(rows)}, estimate double, rejected int")
-
-
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    A measurement whose normalised squared innovation exceeds the gate is rejected; after three in a row the next one is used all the
+    same, and velocity is kept. It is never below 0. State: position, velocity, their covariances, time, rejects in a row."""
+
+    def step(state: tuple | None, values: tuple) -> tuple:
+        t, z = values
+        if state is None:
+            return (z, 0.0, noise, 0.0, 100.0, t, 0), (z, 0)
+        s, v, a, b, d, last, run = state
+        dt = t - last
+        s = s + v * dt
+        a, b, d = a + 2 * dt * b + dt * dt * d + drift * dt**3 / 3, b + dt * d + drift * dt**2 / 2, d + drift * dt
+        miss, width = z - s, a + noise
+        if miss * miss / width > gate and run < 3:
+            return (s, v, a, b, d, t, run + 1), (s, 1)
+        gain, pull = a / width, b / width
+        s, v = s + gain * miss, max(0.0, v + pull * miss)
+        return (s, v, a - gain * a, b - gain * b, d - pull * b, t, 0), (s, 0)
+
+    return folded(rows, by, ["t", "event_id"], lambda: None, step, "estimate double, rejected int", ["t", "value"])

@@ -6,19 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {"LONG": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType()}
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (part.split(" ") for part in text.split(", "))])
-
-
-ARRIVALS = _struct(
+# Columns of the collector's files, by name and in order as in their headers.
+ARRIVALS = (
     "epoch LONG, ts_utc STRING, local_time STRING, dow INT, hour INT, minute_of_day INT, route_id STRING, route_name STRING, trip_id STRING, "
     "vehicle_id STRING, stop_id STRING, stop_name STRING, stop_address STRING, stop_lat DOUBLE, stop_lon DOUBLE, stop_index INT, prev_stop_id STRING, "
-    "dist_prev_m DOUBLE, prev_arrival_epoch LONG, segment_s LONG, speed_mps DOUBLE, dwell_s INT, feed_pred_epoch LONG, feed_pred_lead_s LONG, source STRING"
+    "dist_prev_m DOUBLE, prev_arrival_epoch LONG, segment_s LONG, speed_mps DOUBLE, dwell_s INT, passio_pred_epoch LONG, passio_pred_lead_s LONG, source STRING"
 )
-PREDICTIONS = _struct(
+PREDICTIONS = (
     "epoch LONG, local_time STRING, route_id STRING, route_name STRING, trip_id STRING, vehicle_id STRING, stop_id STRING, stop_name STRING, stop_index INT, "
     "lead_target_s INT, pred_epoch LONG, pred_made_epoch LONG, pred_lead_s INT, pred_minus_actual_s INT, pred_seen_epoch LONG"
 )
@@ -51,17 +45,38 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def csv_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def csv_rows(spark: SparkSession, path: str, columns: str) -> tuple[DataFrame, DataFrame]:
     """Well-formed rows, and the lines that are not (with their text); gzip is read by its extension.
 
-    Rows of an older, shorter schema are padded with nulls."""
+    The header must have these columns' names in their order; an older, shorter header and rows padded with nulls are fine.
+    Raises ValueError on any other header."""
+    schema = T.StructType.fromDDL(columns)
+    header = spark.read.text(path).first()
+    names = header.value.lstrip("\ufeff").strip().split(",") if header else []
+    if names != schema.names[: len(names)]:
+        raise ValueError(f"header of {path} is {names}, expected {schema.names}")
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.csv(path, schema=full, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
+    rows = spark.read.option("columnPruning", "false").csv(path, schema=full, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
     bad = F.col("_bad").isNotNull() & (F.size(F.split("_bad", ",")) > len(schema))
     key = F.col(schema.fields[0].name).isNull()
     return rows.where(~bad & ~key).drop("_bad"), rows.where(bad | key).select("_bad")
 
 
+def checked_feed(lines: DataFrame, schema: str, test: str) -> tuple[DataFrame, DataFrame]:
+    """Feeds (column feed) of JSON lines (column value) that have the shape and pass the test (SQL over the feed's fields), and all other lines."""
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    parsed = lines.select("value", F.from_json("value", schema).alias("feed"))
+    named = parsed.select("value", "feed", *[F.col(f"feed.{n}").alias(n) for n in fields]).withColumn("fine", F.coalesce(F.expr(test), F.lit(False)))
+    return named.where("fine").select("feed"), named.where("NOT fine").select("value")
+
+
+def rows_lost(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """by and lost for the families whose number of rows (n) fell, or that are gone, between two snapshots."""
+    now = after.select(*by, F.col("n").alias("now"))
+    lost = F.col("n") - F.coalesce("now", F.lit(0))
+    return before.join(now, by, "left").withColumn("lost", lost).where("lost > 0").select(*by, "lost")
+
+
 def raw_polls(spark: SparkSession, path: str) -> DataFrame:
     """One row for each vehicle report of poll lines {t, h, v: [[veh, trip, route, lat, lon, bearing, speed, q, stop, status, vt]]};
     lines that are no JSON are skipped, repeated reports (veh, vt) count once, at their first poll."""
@@ -92,5 +107,6 @@ def overwrite_days(rows: DataFrame, path: str, day: str = "service_day") -> None
 
 
 def content_id(value: Column, digits: int = 12) -> Column:
-    """The first digits of the SHA-1 of a value's JSON."""
-    return F.substring(F.sha1(F.to_json(value)), 1, digits)
+    """The first digits of the SHA-1 of a map's JSON, its keys in order, so that equal content has one id."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(value)))
+    return F.substring(F.sha1(F.to_json(ordered)), 1, digits)
