@@ -144,3 +144,32 @@ def test_sources_and_sinks(spark, tmp_path):
     feed = spark.createDataFrame([('{"entity": [{"id": "1"}], "header": {"timestamp": 5}}',), ('{"entity": 3}',), ("no json",)], "value string")
     fine, quarantine = tables.checked_feed(feed, "header STRUCT<timestamp: LONG>, entity ARRAY<STRUCT<id: STRING>>", "header.timestamp IS NOT NULL AND entity IS NOT NULL")
     assert [r.feed.header.timestamp for r in fine.collect()] == [5] and quarantine.count() == 2
+
+
+def test_streams_over_several_files_and_a_restart(spark, tmp_path):
+    """Arrivals and silences are the same in many micro-batches, over a restart, and late rows are dropped."""
+    from tramline.streaming import detect
+
+    kind = "event_id long, veh long, stop string, t long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        found = detect.replay(spark, detect.arrivals(stream), out, "arrivals").collect()
+        gone = detect.replay(spark, detect.silences(stream, "0 seconds"), out, "silences").collect()
+        return sorted((r.veh, r.stop, r.t) for r in found), sorted((r.veh, r.last_t) for r in gone)
+
+    put([(1, 1, "a", 0), (3, 1, "b", 200), (2, 1, "a", 100), (4, 2, "a", 50)])
+    assert run()[0] == [(1, "a", 0), (1, "b", 200), (2, "a", 50)]
+    put([(5, 1, "c", 150), (6, 1, "b", 300), (7, 1, "c", 400)])  # the first is late
+    put([(8, 2, "a", 2000), (9, 1, "c", 2000)])
+    put([(10, 3, "z", 2600)])
+    found, gone = run()
+    assert found == [(1, "a", 0), (1, "b", 200), (1, "c", 400), (1, "c", 2000), (2, "a", 50), (2, "a", 2000), (3, "z", 2600)]
+    assert gone == []  # both were back before the clock, which trails by a batch, had passed them
+    put([(11, 3, "z", 9000)])
+    put([(12, 3, "z", 9100)])
+    assert {(1, 2000), (2, 2000)} <= set(run()[1])

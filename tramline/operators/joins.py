@@ -31,8 +31,8 @@ def asof(
     return rows.withColumn("_r", F.when(ok, F.col("_r"))).select("*", *[F.col(f"_r.{c}").alias(c if c not in left.columns else f"r_{c}") for c in ("at", *keep)]).drop("_r")
 
 
-def near(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, before: int, after: int, how: str = "inner", prefix: str = "r_") -> DataFrame:
-    """Pairs with right.t in [left.t - before, left.t + after]; right columns get a prefix. Inner, semi or anti."""
+def near(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, before: int, after: int, how: str = "inner", prefix: str = "r_", id_: str = "event_id") -> DataFrame:
+    """Pairs with right.t in [left.t - before, left.t + after]; right columns get a prefix. Inner, or semi or anti by the left rows' id."""
     width = before + after + 1
     r = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
     low, high = F.floor((F.col(t) - before) / width), F.floor((F.col(t) + after) / width)
@@ -44,8 +44,8 @@ def near(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, before: i
         test = test & x
     if how == "inner":
         return bins.join(keyed, test).drop("_bin", "_rbin")
-    hit = bins.join(keyed, test, "left_semi").select(left.columns).distinct()
-    return hit if how == "left_semi" else left.join(hit.select(*[F.col(c).alias(f"_{c}") for c in left.columns]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns], "left_anti")
+    hit = bins.join(keyed, test, "left_semi").select(id_).distinct()
+    return left.join(hit, id_, how)
 
 
 def on_display(left: DataFrame, shown: DataFrame, by: Sequence[str], t: str, grace: int) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Structured Streaming: arrivals from stop changes, fleet drops, idle clocks; state is per key and bounded.
+"""Structured Streaming: arrivals from stop changes, vehicles that fall silent, hourly counts; state is per key and bounded.
 
-Each detector is one function of a key's sorted rows and its state, used by the stream (applyInPandasWithState)
-and, to replay a past day, by the same stream over stored files with the trigger availableNow."""
+The same functions serve a live stream and the replay of stored files with the trigger availableNow. Within a micro-batch a
+vehicle's rows are put in order; rows older than what its state has seen are late and dropped, so order holds across batches.
+A source should bound its micro-batches (maxFilesPerTrigger), as a vehicle's rows of one are in memory together."""
 
 from __future__ import annotations
 
@@ -10,22 +11,28 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A vehicle at the stop that it was last reported at within so many seconds has not arrived anew.
 SAME_VISIT = 900
+#: A vehicle without a report for so many seconds is gone.
+GONE_S = 900
 
 
 def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One row each time a vehicle is first reported at a stop; the state is its last stop and time."""
     rows = pd.concat(batches).sort_values(["t", "event_id"])
     stop, seen = state.get if state.exists else (None, None)
+    if seen is not None:
+        rows = rows[rows.t >= seen]
     out = []
     for event, t, at in zip(rows.event_id, rows.t, rows.stop, strict=True):
         if at != stop or t - seen > SAME_VISIT:
             out.append((key[0], event, at, t, stop))
-        stop, seen = at, max(t, seen) if seen is not None else t
-    state.update((stop, int(seen)))
+        stop, seen = at, t
+    if seen is not None:
+        state.update((stop, int(seen)))
     yield pd.DataFrame(out, columns=["veh", "event_id", "stop", "t", "from_stop"])
 
 
@@ -36,18 +43,41 @@ def arrivals(reports: DataFrame) -> DataFrame:
     )
 
 
+def _silence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A row when event time has passed a vehicle's last report by GONE_S; its state goes with it."""
+    if state.hasTimedOut:
+        last = state.get[0]
+        state.remove()
+        yield pd.DataFrame({"veh": [key[0]], "last_t": [last]})
+        return
+    last = max([int(b.t.max()) for b in batches] + ([state.get[0]] if state.exists else []))
+    state.update((last,))
+    due = (last + GONE_S) * 1000
+    if due > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(due)
+    else:  # The watermark is past it already: it ends with the next batch.
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+    yield pd.DataFrame({"veh": [], "last_t": []})
+
+
+def silences(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Stream of (veh, last_t): vehicles whose last report is GONE_S seconds old by the stream's own clock; reports have veh and t.
+
+    The clock is the watermark, so a halted feed makes nobody gone; a vehicle that comes back is watched anew."""
+    timed = reports.select("veh", "t", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("veh").applyInPandasWithState(_silence, "veh long, last_t long", "t long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def hourly_counts(reports: DataFrame, late: str = "1 hour") -> DataFrame:
     """Stream of counts by stop and hour of event time, closed by a watermark; `ts` is a timestamp."""
-    from pyspark.sql import functions as F
-
     return reports.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "stop").agg(F.count("*").alias("n"))
 
 
-def replay(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what its source has now, into a new table in `folder`, and read that table.
+def replay(spark: SparkSession, stream: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """Run a stream over what its source has now, into a table in `folder` (a new one, or that of a name), and read that table.
 
-    The checkpoint lies beside it, so an interrupted run goes on where it was."""
-    path = f"{folder.rstrip('/')}/tramline-stream-{uuid.uuid4().hex}"
+    The checkpoint lies beside it, so a run that is interrupted or called again goes on where it was."""
+    path = f"{folder.rstrip('/')}/tramline-stream-{name or uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
