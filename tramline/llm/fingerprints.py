@@ -117,7 +117,8 @@ def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     def at(values: list[int]) -> Column:
         return F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("_cut"))
 
-    width = (at(high).cast("double") - at(low)) / parts
+    # Large ids that differ may be equal as doubles, so a width may come out as 0.
+    width = F.greatest(F.lit(1.0), (at(high).cast("double") - at(low)) / parts)
     inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("_key").cast("double") - at(low)) / width)))
     dealt = lambda df: df.withColumn("_cut", cut).withColumn("_bucket", F.col("_cut").cast("long") * parts + inside)
     first = stored(dealt(ids).groupBy("_cut", "_bucket").agg(F.min("_key").alias("_key")), "firsts")
