@@ -146,4 +146,69 @@ MORE = {
         "c AS (SELECT veh, min(t) AS first_flagged FROM {e} WHERE k >= 80 AND value > 20 GROUP BY veh)",
         "SELECT coalesce(p.veh, c.veh) AS veh, coalesce(p.first_flagged, c.first_flagged) AS first_flagged, CASE WHEN c.veh IS NULL THEN 'resolved' WHEN p.veh IS NULL THEN 'new' ELSE 'open' END AS status FROM p FULL OUTER JOIN c ON p.veh = c.veh",
     ),
+    # Boards, options, places and models.
+    "delta_departures": Statement(
+        f"x AS (SELECT veh, {_DAY} AS day, t, event_id, t - lag(t) OVER (PARTITION BY veh, {_DAY} ORDER BY t, event_id) AS step, first_value(t) OVER (PARTITION BY veh, {_DAY} ORDER BY t, event_id) AS origin FROM {{e}}), "
+        "y AS (SELECT event_id, t, origin + sum(coalesce(step, 0)) OVER (PARTITION BY veh, day ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS decoded, step FROM x)",
+        "SELECT event_id, step, CASE WHEN decoded = t THEN 1 ELSE 0 END AS same FROM y",
+    ),
+    "stop_board": Statement(
+        "q AS (SELECT * FROM (VALUES (1704500000), (1705500000)) AS v(now)), a AS (SELECT now, stop, veh % 20 AS route, t, event_id FROM q JOIN {e} ON t >= now - 30 AND t <= now + 86400), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY now, stop ORDER BY t, route, event_id) AS place FROM a)",
+        "SELECT now, stop, route, t - now AS due, place FROM r WHERE place <= 8",
+    ),
+    "options_pruned": Statement(
+        "o AS (SELECT o_custkey AS trip, o_orderkey AS id, o_orderkey % 4 AS legs, CAST(round(o_totalprice / 1000) AS BIGINT) AS arrives, o_custkey % 17 AS walk FROM {orders}), "
+        "s AS (SELECT *, row_number() OVER (PARTITION BY trip, legs, arrives, walk ORDER BY id) AS copy FROM o), u AS (SELECT * FROM s WHERE copy = 1), "
+        "b AS (SELECT DISTINCT x.id FROM u x JOIN u y ON x.trip = y.trip AND y.legs <= x.legs AND y.arrives <= x.arrives AND y.walk <= x.walk AND (y.legs < x.legs OR y.arrives < x.arrives OR y.walk < x.walk)), "
+        "k AS (SELECT u.* FROM u LEFT JOIN b ON u.id = b.id WHERE b.id IS NULL)",
+        "SELECT trip, id, row_number() OVER (PARTITION BY trip ORDER BY arrives, legs, walk, id) AS place FROM k",
+    ),
+    "names_resolved": Statement(
+        "q AS (SELECT * FROM (VALUES ('red bolt'), ('12'), ('gizmo'), ('small r')) AS v(q)), n AS (SELECT DISTINCT lower(p_name) AS name FROM {part}), "
+        "m AS (SELECT q, name, CASE WHEN name = q THEN 0 WHEN {sw}(name, q) THEN 1 WHEN contains(name, q) THEN 2 END AS tier FROM q JOIN n ON contains(name, q)), "
+        "t AS (SELECT q, min(tier) AS tier FROM m GROUP BY q), c AS (SELECT m.q, count(*) AS n, min(name) AS name FROM m JOIN t ON m.q = t.q AND m.tier = t.tier GROUP BY m.q)",
+        "SELECT q.q, CASE WHEN n = 1 THEN name END AS found, coalesce(n, 0) AS matches FROM q LEFT JOIN c ON q.q = c.q",
+    ),
+    "covered_places": Statement(
+        "s AS (SELECT n_nationkey AS id, 100 * n_nationkey AS x, 40 * n_regionkey AS y FROM {nation}), p AS (SELECT c_custkey AS id, c_custkey * 37 % 3000 AS x, c_custkey * 11 % 400 AS y FROM {customer}), "
+        "d AS (SELECT p.id, s.id AS stop, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS m FROM p JOIN s ON s.x BETWEEN p.x - 150 AND p.x + 150), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, stop) AS o FROM d WHERE m <= 150)",
+        "SELECT p.id, stop, coalesce(CASE WHEN m <= 60 THEN 'at stop' ELSE 'near' END, 'away') AS zone FROM p LEFT JOIN r ON p.id = r.id AND o = 1",
+    ),
+    "spots": Statement(
+        f"x AS (SELECT CAST(floor(value / 10) AS BIGINT) AS cell, stop, value, t % 86400 AS clock, {_DAY} AS day FROM {{e}})",
+        "SELECT cell, count(*) AS n, count(DISTINCT day) AS days, round(avg(value), 4) AS centre, count_if(stop = 'error') AS errors, count_if(stop = 'view') AS views, round({p}(clock, 0.5), 1) AS usual FROM x GROUP BY cell HAVING count(DISTINCT day) >= 3",
+    ),
+    "listed_minutes_unseen": Statement(
+        "h AS (SELECT * FROM (VALUES (0, 28800, 30600), (1, 36000, 37800)) AS v(line, a, b)), m AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(i)), "
+        "g AS (SELECT line, a + 180 * i AS minute FROM h JOIN m ON a + 180 * i < b), "
+        f"d AS (SELECT DISTINCT veh % 2 AS line, {_DAY} AS day FROM {{e}}), r AS (SELECT veh % 2 AS line, {_DAY} AS day, CAST(floor((t % 86400) / 180) AS BIGINT) AS bin, t % 86400 AS clock FROM {{e}}), "
+        "q AS (SELECT d.line, day, minute, CAST(floor(minute / 180) AS BIGINT) AS bin FROM d JOIN g ON d.line = g.line), z AS (SELECT line, day, minute, bin FROM q UNION ALL SELECT line, day, minute, bin - 1 FROM q UNION ALL SELECT line, day, minute, bin + 1 FROM q), "
+        "f AS (SELECT DISTINCT z.line, z.day, minute FROM z JOIN r ON r.line = z.line AND r.day = z.day AND r.bin = z.bin AND abs(clock - minute) <= 180)",
+        "SELECT q.line, q.day, count(*) AS listed, count(*) - count(f.minute) AS unseen FROM q LEFT JOIN f ON f.line = q.line AND f.day = q.day AND f.minute = q.minute GROUP BY q.line, q.day",
+    ),
+    "collector_holes": Statement(
+        "r AS (SELECT CAST(floor(event_id / 500) AS BIGINT) AS run, min(t) AS a, max(t) AS b FROM {e} GROUP BY CAST(floor(event_id / 500) AS BIGINT)), "
+        "n AS (SELECT run, a, b, lead(a) OVER (ORDER BY a, run) AS next_a FROM r)",
+        "SELECT run, b - a AS length, next_a - b AS hole, CASE WHEN next_a IS NULL THEN 'edge' WHEN next_a <= b THEN 'overlap' WHEN next_a - b <= 600 THEN 'hand-over' ELSE 'hole' END AS kind FROM n",
+    ),
+    "shrinkage_k": Statement(
+        "x AS (SELECT l_suppkey AS s, l_orderkey % 4 AS fold, l_quantity AS y FROM {lineitem}), k AS (SELECT * FROM (VALUES (1), (5), (20), (80)) AS v(k)), g AS (SELECT fold, count(*) AS n, sum(y) AS y FROM x GROUP BY fold), "
+        "a AS (SELECT sum(n) AS n, sum(y) AS y FROM g), o AS (SELECT fold, (a.y - g.y) / (a.n - g.n) AS m0 FROM g JOIN a ON TRUE), "
+        "p AS (SELECT s, fold, count(*) AS n, sum(y) AS y FROM x GROUP BY s, fold), w AS (SELECT s, sum(n) AS n, sum(y) AS y FROM p GROUP BY s), "
+        "c AS (SELECT p.s, p.fold, w.n - p.n AS n, w.y - p.y AS y FROM p JOIN w ON p.s = w.s), "
+        "f AS (SELECT k, c.s, c.fold, (c.y + k * m0) / (c.n + k) AS guess FROM c JOIN o ON c.fold = o.fold JOIN k ON TRUE), "
+        "z AS (SELECT k, round(avg(abs(x.y - guess)), 6) AS mae FROM x JOIN f ON x.s = f.s AND x.fold = f.fold GROUP BY k), r AS (SELECT *, row_number() OVER (ORDER BY mae, k) AS o FROM z)",
+        "SELECT k, mae, CASE WHEN o = 1 THEN 1 ELSE 0 END AS chosen FROM r",
+    ),
+    "stop_hotspots": Statement(
+        "x AS (SELECT stop, veh % 20 AS line, CASE WHEN value > 60 THEN 1 ELSE 0 END AS miss FROM {e}), l AS (SELECT line, avg(miss) AS rate FROM x GROUP BY line)",
+        "SELECT stop, x.line, count(*) AS n, CAST(sum(miss) AS BIGINT) AS misses, round(sum(miss) - count(*) * max(rate), 4) AS excess FROM x JOIN l ON x.line = l.line GROUP BY stop, x.line HAVING count(*) >= 20 AND sum(miss) > 1.5 * count(*) * max(rate)",
+    ),
+    "grid_occupancy": Statement(
+        f"c AS (SELECT CAST(floor(value / 5) AS BIGINT) AS x, CAST(floor(k / 5) AS BIGINT) AS y, {_DAY} AS day, veh FROM {{e}}), d AS (SELECT * FROM (VALUES (-1), (0), (1)) AS v(d)), "
+        "n AS (SELECT DISTINCT x + a.d AS x, y + b.d AS y, day, veh FROM c JOIN d a ON TRUE JOIN d b ON TRUE)",
+        "SELECT x, y, count(*) AS seen FROM n GROUP BY x, y HAVING count(*) >= 20",
+    ),
 }
