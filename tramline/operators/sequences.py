@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.cuts import running
 from tramline.operators.tracks import folded
 
 
@@ -84,12 +85,15 @@ def islands(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) -> D
     return rows.withColumn("island", F.sum(new).over(w))
 
 
-def interval_unions(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Unions of touching intervals (a, b) of each key."""
-    w = Window.partitionBy(*by).orderBy("a", "b")
-    before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("a") > before, F.lit(True)).cast("int")
-    return rows.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy(*by, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_i")
+def interval_unions(rows: DataFrame, by: Sequence[str], width: int = 86_400) -> DataFrame:
+    """Unions of touching intervals (a, b) of each key, swept in blocks of `width` along a.
+
+    A union is named by its start, which is the latest start of a union so far."""
+    block = F.floor(F.col("a") / width)
+    met = running(rows.select(*by, "a", "b"), by, ["a", "b"], block, "max", F.col("b"), "_reach", inclusive=False)
+    start = F.when(F.coalesce(F.col("a") > F.col("_reach"), F.lit(True)), F.col("a"))
+    named = running(met, by, ["a", "b"], block, "max", start, "_start")
+    return named.groupBy(*by, "_start").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_start")
 
 
 def decayed(rows: DataFrame, by: Sequence[str], tau: float, alpha: float = 0.5) -> DataFrame:

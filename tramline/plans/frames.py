@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.scalars import ZONE, daypart, hour_of_week, local, metres, service_day, spelling
+from tramline.operators.cuts import running
 from tramline.operators.joins import asof, near, on_display, overlaps
 from tramline.operators.sequences import anchored, chained, decayed, interval_unions, ranked_merge, smoothed
 from tramline.plans.statements import LOG
@@ -221,7 +222,7 @@ def concurrency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = events(spark, sf_dir).select((F.col("veh") % 10).alias("line"), F.col("t").alias("a"), (F.col("t") + 60 * F.col("k") + 1).alias("b"))
     change = x.select("line", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("c"))
     g = change.groupBy("line", "c.t").agg(F.sum("c.d").alias("d"))
-    s = g.withColumn("n", F.sum("d").over(Window.partitionBy("line").orderBy("t")))
+    s = running(g, ["line"], ["t"], F.floor(F.col("t") / 86_400), "sum", F.col("d"), "n")
     return s.groupBy("line", F.floor(F.col("t") / 3600).cast("long").alias("hour")).agg(F.max("n").cast("long").alias("most"))
 
 
@@ -256,10 +257,10 @@ def conformal_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ceil(0.9 (n + 1))-th smallest absolute error of each stop, from counts of distinct errors."""
     r = table(spark, sf_dir, "lineitem").select("l_suppkey", F.abs(F.col("l_extendedprice") - 1000 * F.col("l_quantity")).alias("err"))
     g = r.groupBy("l_suppkey", "err").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("l_suppkey")
-    g = g.withColumns({"upto": F.sum("c").over(w.orderBy("err")), "n": F.sum("c").over(w)})
+    n = g.groupBy("l_suppkey").agg(F.sum("c").alias("n"))
+    upto = running(g, ["l_suppkey"], ["err"], F.floor(F.col("err") / 1000), "sum", F.col("c"), "upto").join(n, "l_suppkey")
     rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * 9 / 10))
-    return g.where(F.col("upto") >= rank).groupBy("l_suppkey").agg(F.max("n").alias("n"), F.round(F.min("err"), 4).alias("bound"))
+    return upto.where(F.col("upto") >= rank).groupBy("l_suppkey").agg(F.max("n").alias("n"), F.round(F.min("err"), 4).alias("bound"))
 
 
 @_add(
