@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.operators.cuts import numbered, quantiles, running
+from tramline.operators.joins import asof
 from tramline.operators.sequences import interval_unions
 
 SCHEMA = "k string, id long, v double"
@@ -90,3 +91,20 @@ def test_unions_do_not_depend_on_the_blocks(spark):
         want.add((k, lo, hi))
     for width in (10, 333, 86_400):
         assert {tuple(r) for r in interval_unions(rows, ["k"], width).collect()} == want
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_does_not_depend_on_the_blocks(spark, forward):
+    rng = random.Random(11)
+    left = [(rng.choice(["hot", "hot", "cold"]), i, rng.randint(0, 900)) for i in range(80)] + [("hot", 80, None), ("none", 81, 5)]
+    right = [(rng.choice(["hot", "hot", "cold"]), i, rng.randint(0, 900)) for i in range(60)] + [("hot", 60, None)]
+    lrows, rrows = (spark.createDataFrame(x, f"k string, {i} long, t long") for x, i in ((left, "id"), (right, "rid")))
+    want = {}
+    for k, i, t in left:
+        side = [(u, r) for key, r, u in right if key == k and u is not None and t is not None and (u >= t if forward else u <= t)]
+        best = (min if forward else max)(side, default=(None, None))
+        want[i] = best if side and abs(best[0] - t) <= 200 else (None, None)
+    for width in (7, 100, 86_400):
+        r = rrows.withColumn("id", F.col("rid"))
+        got = asof(lrows, r, ["k"], "t", "id", ["rid"], forward=forward, max_age=200, width=width).collect()
+        assert {x.id: (x.at, x.rid) for x in got} == want

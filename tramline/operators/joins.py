@@ -10,24 +10,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.tracks import another_near
+
 
 def asof(
-    left: DataFrame, right: DataFrame, by: Sequence[str], t: str, id_: str, keep: Sequence[str], forward: bool = False, max_age: int | None = None
+    left: DataFrame, right: DataFrame, by: Sequence[str], t: str, id_: str, keep: Sequence[str], forward: bool = False, max_age: int | None = None, width: int = 86_400
 ) -> DataFrame:
     """left with the columns `keep` (and `at`) of the latest right row at or before t (or the earliest at or after it).
 
     Rows of both sides have unique `id_`s within their side; of right rows at one time that with the larger
-    id counts (the smaller when looking forward). Rows older than max_age are dropped after the choice."""
-    r = right.select(*by, t, F.col(id_).alias("_rid"), F.struct(F.col(t).alias("at"), *keep).alias("_r"))
+    id counts (the smaller when looking forward). Rows older than max_age are dropped after the choice; a left row
+    without a time finds none. A key is cut into blocks of `width` along t, and each block's last (first) right
+    row is carried to the blocks after (before) it, so a key of any number of rows is spread over tasks."""
+    r = right.where(F.col(t).isNotNull()).select(*by, t, F.col(id_).alias("_rid"), F.struct(F.col(t).alias("at"), *keep).alias("_r"))
     both = left.withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    both = both.withColumn("_cut", F.struct(F.struct(F.lit(0).alias("_"), *by).alias("key"), F.floor(F.col(t) / width).alias("block")))
+    nearest, direction = (F.min_by, F.desc_nulls_last) if forward else (F.max_by, F.asc_nulls_first)
+    of_right = F.when(F.col("_side") == 0, F.struct(t, "_rid"))
+    ends = both.groupBy("_cut").agg(nearest("_r", of_right).alias("_end"))
+    blocks = Window.partitionBy("_cut.key").orderBy(direction("_cut.block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_cut", F.last("_end", ignorenulls=True).over(blocks).alias("_carried"))
     if forward:
-        order = Window.partitionBy(*by).orderBy(F.col(t).desc(), "_side", F.col("_rid").desc())
+        order = Window.partitionBy("_cut").orderBy(F.col(t).desc(), "_side", F.col("_rid").desc())
     else:
-        order = Window.partitionBy(*by).orderBy(t, "_side", "_rid")
-    found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("_r", found).where("_side = 1").drop("_side", "_rid")
+        order = Window.partitionBy("_cut").orderBy(t, "_side", "_rid")
+    here = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.join(carried, "_cut").withColumn("_r", F.coalesce(here, "_carried")).where("_side = 1").drop("_side", "_rid", "_cut", "_carried")
     age = F.abs(F.col(t) - F.col("_r.at"))
-    ok = F.lit(True) if max_age is None else age <= max_age
+    ok = F.col(t).isNotNull() if max_age is None else age <= max_age
     return rows.withColumn("_r", F.when(ok, F.col("_r"))).select("*", *[F.col(f"_r.{c}").alias(c if c not in left.columns else f"r_{c}") for c in ("at", *keep)]).drop("_r")
 
 
@@ -58,6 +68,21 @@ def on_display(left: DataFrame, shown: DataFrame, by: Sequence[str], t: str, gra
     return found.withColumns({"seen": F.when(alive, F.col("seen")), "last": F.when(alive, F.col("last"))}).drop("at")
 
 
+def shown_to_bus(left: DataFrame, shown: DataFrame, by: Sequence[str], t: str, grace: int, alone: int = 600) -> DataFrame:
+    """left (with veh) and the newest row shown for its key: the bus's own or, where no other bus of left has that key
+    within `alone` seconds, one that names no bus; the own one where both are as new.
+
+    As in on_display the newest is chosen first, and is then tested for being shown still at t - grace."""
+    rows = another_near(left, by, alone, alone, "_others", "veh", t)
+    dated = shown.withColumn(t, F.col("seen"))
+    own = asof(rows, dated.where(F.col("veh").isNotNull()), [*by, "veh"], t, "event_id", ["seen", "last"]).drop("at")
+    both = asof(own, dated.where(F.col("veh").isNull()).drop("veh"), by, t, "event_id", ["seen", "last"]).drop("at")
+    nameless = ~F.col("_others") & F.col("r_seen").isNotNull() & (F.col("seen").isNull() | (F.col("r_seen") > F.col("seen")))
+    both = both.withColumns({c: F.when(nameless, F.col(f"r_{c}")).otherwise(F.col(c)) for c in ("seen", "last")})
+    alive = F.col("last") >= F.col(t) - grace
+    return both.withColumns({c: F.when(alive, F.col(c)) for c in ("seen", "last")}).drop("r_seen", "r_last", "_others")
+
+
 def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], width: int) -> DataFrame:
     """Pairs of half-open intervals (a, b) and (ra, rb) that overlap, met once, on bins of `width` seconds."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.scalars import ZONE, daypart, hour_of_week, local, metres, service_day, spelling
 from tramline.operators.cuts import running
-from tramline.operators.joins import asof, near, on_display, overlaps
+from tramline.operators.joins import asof, near, on_display, overlaps, shown_to_bus
 from tramline.operators.sequences import anchored, chained, decayed, interval_unions, ranked_merge, smoothed
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, seconds, table
@@ -110,6 +110,19 @@ def shown_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_display(_of(e, "purchase").select("event_id", "veh", "t"), shown, ["veh"], "t", 90).select("event_id", "seen", "last")
 
 
+@_add(
+    "s AS (SELECT event_id AS sid, veh % 40 AS trip, CASE WHEN k % 3 > 0 THEN veh END AS veh, t // 100 AS seen, t // 100 + 10 * k AS last FROM e WHERE stop = 'view'), "
+    "q AS (SELECT event_id, veh % 40 AS trip, veh, t // 100 AS t FROM e WHERE stop = 'purchase'), "
+    "o AS (SELECT q.*, EXISTS (SELECT 1 FROM q x WHERE x.trip = q.trip AND x.veh <> q.veh AND abs(x.t - q.t) <= 600) AS shared FROM q), "
+    "j AS (SELECT o.event_id, t, seen, last, row_number() OVER (PARTITION BY o.event_id ORDER BY seen DESC, s.veh IS NULL, sid DESC) AS o FROM o LEFT JOIN s ON o.trip = s.trip AND seen <= t AND (s.veh = o.veh OR (s.veh IS NULL AND NOT shared))) "
+    "SELECT event_id, CASE WHEN last >= t - 90 THEN seen END AS seen, CASE WHEN last >= t - 90 THEN last END AS last FROM j WHERE o = 1"
+)
+def shown_without_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumns({"trip": F.col("veh") % 40, "t": F.expr("t div 100")})
+    shown = _of(e, "view").select("event_id", "trip", F.when(F.col("k") % 3 > 0, F.col("veh")).alias("veh"), F.col("t").alias("seen"), (F.col("t") + 10 * F.col("k")).alias("last"))
+    return shown_to_bus(_of(e, "purchase").select("event_id", "trip", "veh", "t"), shown, ["trip"], "t", 90).select("event_id", "seen", "last")
+
+
 @_add(
     "x AS (SELECT event_id, veh % 10 AS line, t AS a, t + 60 * k AS b FROM e WHERE stop = 'view' AND k > 0), y AS (SELECT event_id AS rid, veh % 10 AS line, t AS ra, t + 30 * k AS rb FROM e WHERE stop = 'error' AND k > 0) "
     "SELECT event_id, rid, least(b, rb) - greatest(a, ra) AS shared FROM x JOIN y ON x.line = y.line AND a < rb AND ra < b"
