@@ -7,6 +7,7 @@ import random
 import pytest
 
 from tramline.operators import matching
+from tramline.streaming import detect
 
 
 @pytest.mark.parametrize("most", [0, 7, 60, 5000])
@@ -73,3 +74,51 @@ def test_places_go_to_the_first_kept_one(spark):
             mine.append((i, y))
     out = matching.places_merged(spark.createDataFrame(rows, "id long, name string, rank int, y double, x double"), lambda a, b: abs(a[0] - b[0]))
     assert {r.id: r.kept_id for r in out.collect()} == want
+
+
+def test_off_route_needs_two_linked_reports(spark):
+    rows = [
+        (1, 1, 1, 0, 300.0, False, False), (2, 1, 1, 30, 300.0, False, False), (3, 1, 1, 45, 260.0, False, False),  # far for 45 s
+        (4, 2, 1, 0, 600.0, False, False), (5, 2, 1, 5, 600.0, False, False), (6, 2, 2, 9, 600.0, False, False),  # fast; then another route
+        (7, 3, 1, 0, 130.0, True, False), (8, 3, 1, 120, 130.0, True, False), (9, 3, 1, 130, 90.0, True, False), (10, 3, 1, 240, 130.0, True, False),
+        (11, 4, 1, 0, 600.0, False, True), (12, 4, 1, 5, 600.0, False, True), (13, 5, 1, 0, 900.0, False, False), (14, 5, 1, 601, 900.0, False, False),
+        (15, 6, 1, 0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, veh long, route long, t long, off double, corridor boolean, detour boolean")
+    assert {r.id for r in matching.off_route(df).where("hidden").collect()} == {3, 5, 8}
+
+
+def test_numbers_are_held_for_a_missing_vehicle(spark):
+    polls = {0: [1, 2, 3], 15: [1, 3], 30: [1, 3], 60: [1, 3], 61: [3], 75: [1, 3], 90: [2, 3]}
+    rows = [("f", t, v, 9) for t, vs in polls.items() for v in vs]
+    out = {}
+    for r in matching.held_numbers(spark.createDataFrame(rows, "feed string, t long, veh long, route long")).collect():
+        out.setdefault(r.t, {})[r.veh] = r.number
+    three = {1: 1, 2: 2, 3: 3}
+    # Vehicle 2 is first missing at 15, so it keeps its place until 60; vehicle 1 is held at 61 and again at 90.
+    assert out == {0: three, 15: three, 30: three, 60: three, 61: {1: 1, 3: 2}, 75: {1: 1, 3: 2}, 90: three}
+
+
+def test_replay_takes_only_what_it_disproves(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, t long, veh long")
+    live, again = rows((1, 100, 1), (2, 500, 1), (3, 900, 1)), rows((11, 130, 1), (12, 2000, 1))
+    disproved = spark.createDataFrame([(1,), (2,)], "id long")
+    out = matching.replay_applied(live, again, disproved, ["veh"], 60)
+    assert {(r.id, r.source) for r in out.collect()} == {(1, "live"), (3, "live"), (12, "replay")}
+
+
+def test_alert_versions_go_on_after_a_restart(spark, tmp_path):
+    def put(rows):
+        spark.createDataFrame(rows, "alert long, version string, t long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema("alert long, version string, t long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return {tuple(r) for r in detect.versions_seen(spark, stream, str(tmp_path), "alerts").collect()}
+
+    put([])
+    assert run() == set()
+    put([(1, "a", 5), (1, "b", 9)])
+    put([(1, "a", 2)])
+    assert run() == {(1, "a", 2, 5, 2), (1, "b", 9, 9, 1)}
+    put([(1, "a", 7)])
+    assert run() == run() == {(1, "a", 2, 7, 3), (1, "b", 9, 9, 1)}

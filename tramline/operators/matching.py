@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.joins import near
 from tramline.operators.tracks import folded
 
 # Seconds a forecast stays listed after its time, least seconds to the visit before, most seconds to the arrival.
@@ -23,6 +24,11 @@ SIDE_BIN_S, SIDE_BINS, SIDE_SKIP, SIDE_M = 30, 6, 1, 25.0
 LINGER_S, IDLE_S, PARKED_S, CLOCK_GAP_S = 180, 1800, 5400, 600
 # Seconds that one empty answer is bridged, metres between two places of one name that are the same.
 EMPTY_S, SAME_PLACE_M = 30, 150.0
+# Metres and seconds of a vehicle off its route; seconds that a missing vehicle keeps its number.
+OFF_FAR_M, OFF_FAR_S, OFF_FAST_M, OFF_NEAR_M, OFF_NEAR_S, OFF_DETOUR_M = 250.0, 45, 500.0, 120.0, 120, 3000.0
+NUMBER_HOLD_S = 45
+# Tiers of distance (km) and the cost of each, km a point and most km, most words beyond the query.
+TIER_KM, TIER_COST, KM_A_POINT, KM_MOST, BEYOND_MOST = (3, 20, 80), 8, 5, 20, 3
 
 
 def paired(left: DataFrame, right: DataFrame, by: Sequence[str], most: int) -> DataFrame:
@@ -151,3 +157,73 @@ def places_merged(places: DataFrame, distance: Callable[[tuple, tuple], float],
 
     rows = places.withColumn("key", F.lower(F.trim("name")))
     return folded(rows, ["key"], ["rank", "id"], list, step, "kept_id long", ["id", "y", "x"]).drop("key")
+
+
+def off_route(rows: DataFrame) -> DataFrame:
+    """rows (id, veh, route, t, off metres, corridor, detour) with hidden: whether the vehicle counts as off its route.
+
+    A clock runs over linked reports (same route, gap of CLOCK_GAP_S at most) that are farther than a limit. A vehicle is hidden by two reports
+    over OFF_FAR_M for OFF_FAR_S seconds, by two over OFF_FAST_M, or, where the corridor is known, by two over OFF_NEAR_M for OFF_NEAR_S;
+    never under an official detour within OFF_DETOUR_M. Of several reports of a vehicle at one time that of the least id counts, the others get its answer."""
+    order = Window.partitionBy("veh").orderBy("t")
+    one = rows.groupBy("veh", "t").agg(F.min_by(F.struct("route", "off", "corridor", "detour"), "id").alias("r")).select("veh", "t", "r.*")
+    linked = (F.lag("route").over(order) == F.col("route")) & (F.col("t") - F.lag("t").over(order) <= CLOCK_GAP_S)
+    one = one.withColumn("linked", F.coalesce(linked, F.lit(False)))
+    for name, limit in (("far", F.lit(OFF_FAR_M)), ("fast", F.lit(OFF_FAST_M)), ("near", F.lit(OFF_NEAR_M))):
+        over = F.coalesce(F.col("off") > limit, F.lit(False))
+        on = over & F.col("linked") & F.lag(over, 1, False).over(order)
+        one = one.withColumn(f"{name}_run", F.sum(F.when(on, 0).otherwise(1)).over(order)).withColumn(f"{name}_over", over)
+        run = Window.partitionBy("veh", f"{name}_run").orderBy("t")
+        one = one.withColumns({f"{name}_n": F.row_number().over(run), f"{name}_s": F.col("t") - F.first("t").over(run)})
+    far = F.col("far_over") & (F.col("far_n") >= 2) & (F.col("far_s") >= OFF_FAR_S)
+    near = F.col("corridor") & F.col("near_over") & (F.col("near_n") >= 2) & (F.col("near_s") >= OFF_NEAR_S)
+    detour = F.col("detour") & (F.col("off") <= OFF_DETOUR_M)
+    hidden = (far | (F.col("fast_over") & (F.col("fast_n") >= 2)) | F.coalesce(near, F.lit(False))) & ~F.coalesce(detour, F.lit(False))
+    return rows.join(one.select("veh", "t", hidden.alias("hidden")), ["veh", "t"])
+
+
+def held_numbers(sightings: DataFrame, hold: int = NUMBER_HOLD_S) -> DataFrame:
+    """feed, t, route, veh and number, from 1 by vehicle within a route and poll; sightings are feed, t, veh and route.
+
+    A vehicle that a poll lacks keeps its place on its route until `hold` seconds after the first poll without it. Polls that show nobody are not
+    in the table and number nobody. Polls meet the places held by an equi join on spans of `hold` seconds."""
+    seen = sightings.groupBy("feed", "t", "veh").agg(F.min("route").alias("route"))
+    polls = seen.select("feed", "t").distinct().withColumn("next", F.lead("t").over(Window.partitionBy("feed").orderBy("t")))
+    again = F.lead("t").over(Window.partitionBy("feed", "veh").orderBy("t"))
+    gone = seen.withColumn("again", again).join(polls, ["feed", "t"]).where("next IS NOT NULL AND (again IS NULL OR again > next)")
+    held = gone.select("feed", "veh", "route", F.col("next").alias("gone"), "again")
+    held = held.withColumn("bin", F.explode(F.sequence(F.floor(F.col("gone") / hold), F.floor((F.col("gone") + hold) / hold))))
+    binned = polls.select("feed", "t", F.floor(F.col("t") / hold).alias("bin"))
+    kept = binned.join(held, ["feed", "bin"]).where((F.col("t") >= F.col("gone")) & (F.col("t") <= F.col("gone") + hold) & (F.col("again").isNull() | (F.col("t") < F.col("again"))))
+    both = seen.select("feed", "t", "route", "veh").unionByName(kept.select("feed", "t", "route", "veh"))
+    return both.withColumn("number", F.row_number().over(Window.partitionBy("feed", "t", "route").orderBy("veh")).cast("long"))
+
+
+def closest_rows(rows: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
+    """by, id, t and away of the nearest report of each visit: a key's reports chained over at most `gap` seconds; of two as near the earlier."""
+    order = Window.partitionBy(*by).orderBy("t", "id")
+    new = F.when(F.col("t") - F.lag("t").over(order) <= gap, 0).otherwise(1)
+    visits = rows.withColumn("new", new).withColumn("visit", F.sum("new").over(order))
+    best = visits.groupBy(*by, "visit").agg(F.min_by(F.struct("id", "t", "away"), F.struct("away", "t", "id")).alias("r"))
+    return best.select(*by, "r.*")
+
+
+def place_score(i: Column, name: Column, kind: Column, km: Column, settlement: Column, query: Sequence[str]) -> Column:
+    """The score of a found place, the lower the better: its place i in the answer, tiers of distance, words beyond the query, a bonus or malus by kind
+    (major or minor). A settlement of exactly the queried name goes to the top."""
+    words = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
+    beyond = F.size(F.filter(words, lambda w: ~F.exists(F.array(*map(F.lit, query)), lambda q: F.startswith(w, q))))
+    tier = sum((F.when(km > limit, 1).otherwise(0) for limit in TIER_KM), F.lit(0))
+    score = i + TIER_COST * tier + F.least(km, F.lit(KM_MOST)) / KM_A_POINT + F.least(beyond, F.lit(BEYOND_MOST))
+    score = score + F.when(kind == "major", -2).when(kind == "minor", 3).otherwise(0)
+    return F.when(settlement & (F.array_join(words, " ") == " ".join(query)), -100.0).otherwise(score)
+
+
+def replay_applied(live: DataFrame, again: DataFrame, disproved: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """id, t, by and source of live rows and those a replay adds. A live row goes only if its id is disproved and no replayed row of its key lies within
+    `most` seconds; a replayed row is added only where no live row that stays does. Ids are unique on each side."""
+    kept = near(live, again, by, "t", most, most, "semi", id_="id").select("id").unionByName(live.join(disproved, "id", "left_anti").select("id")).distinct()
+    stays = live.join(kept, "id", "left_semi")
+    added = near(again, stays, by, "t", most, most, "anti", id_="id")
+    cols = ["id", "t", *by]
+    return stays.select(*cols, F.lit("live").alias("source")).unionByName(added.select(*cols, F.lit("replay").alias("source")))

@@ -247,14 +247,14 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful detector, replayed over the stored log as a stream."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
     reports = source.select("event_id", F.col("user_id").alias("veh"), F.col("event_type").alias("stop"), seconds(F.col("ts")).alias("t"))
-    return detect.replay(spark, detect.arrivals(reports), _folder(spark))
+    return detect.replay(spark, detect.arrivals(reports), shared_folder(spark))
 
 
 #: Misspelt names: a letter left out, neighbours swapped, a key beside, a letter doubled.
 MISSPELT = ("patr 333", "smlal ring", "red widgt", "bkue bolt", "hott gear")
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):

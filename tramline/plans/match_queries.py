@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.operators import matching
+from tramline.operators.joins import near
+from tramline.plans.frames import shared_folder
 from tramline.plans.statements import LOG
-from tramline.sources.tables import events, table
+from tramline.sources.tables import events, seconds, table
+from tramline.streaming import detect
 
 QUERIES, ORACLES = {}, {}
 
@@ -148,3 +151,82 @@ def ride_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     blended = w * F.col("mean") + (1 - w) * F.col("plan")
     out = rows.join(model, "seg").groupBy("trip").agg(F.count("*").alias("segments"), F.sum(blended).alias("ride"), F.sqrt(F.sum(F.coalesce("var", F.lit(0.0)))).alias("spread"))
     return out.select("trip", "segments", F.round("ride", 3).alias("ride"), F.round("spread", 3).alias("spread"))
+
+
+@_add(
+    "a AS (SELECT event_id, veh, t // 1200 AS t, veh % 2 AS route, value * 30 AS off, veh % 3 = 0 AS corridor, k % 10 = 0 AS detour FROM e), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY veh ORDER BY t) AS i FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY veh, t ORDER BY event_id) = 1)), "
+    "l AS (SELECT x.*, y.off AS before, coalesce(y.route = x.route AND x.t - y.t <= 600, FALSE) AS linked FROM o x LEFT JOIN o y ON y.veh = x.veh AND y.i = x.i - 1), "
+    "s AS (SELECT *, max(CASE WHEN off > 250 AND NOT (linked AND before > 250) THEN i END) OVER w AS f, max(CASE WHEN off > 500 AND NOT (linked AND before > 500) THEN i END) OVER w AS q, "
+    "max(CASE WHEN off > 120 AND NOT (linked AND before > 120) THEN i END) OVER w AS n FROM l WINDOW w AS (PARTITION BY veh ORDER BY i)), "
+    "h AS (SELECT s.veh, s.t, ((s.off > 250 AND s.i > s.f AND s.t - f.t >= 45) OR (s.off > 500 AND s.i > s.q) OR (s.corridor AND s.off > 120 AND s.i > s.n AND s.t - n.t >= 120)) AND NOT (s.detour AND s.off <= 3000) AS hidden "
+    "FROM s LEFT JOIN o f ON f.veh = s.veh AND f.i = s.f LEFT JOIN o n ON n.veh = s.veh AND n.i = s.n) "
+    "SELECT event_id, coalesce(hidden, FALSE) AS hidden FROM a JOIN h USING (veh, t)"
+)
+def off_route_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), "veh", F.expr("t div 1200").alias("t"), (F.col("veh") % 2).alias("route"), (F.col("value") * 30).alias("off"), (F.col("veh") % 3 == 0).alias("corridor"), (F.col("k") % 10 == 0).alias("detour")
+    )
+    return matching.off_route(rows).select(F.col("id").alias("event_id"), "hidden")
+
+
+@_add(
+    "s AS (SELECT stop AS feed, t // 1000 * 15 AS t, veh, min(k % 4) AS route FROM e GROUP BY 1, 2, 3), p AS (SELECT DISTINCT feed, t FROM s), "
+    "g AS (SELECT s.*, (SELECT min(p.t) FROM p WHERE p.feed = s.feed AND p.t > s.t) AS gone, (SELECT min(b.t) FROM s b WHERE b.feed = s.feed AND b.veh = s.veh AND b.t > s.t) AS again FROM s), "
+    "u AS (SELECT feed, t, route, veh FROM s UNION ALL SELECT p.feed, p.t, g.route, g.veh FROM p JOIN g ON p.feed = g.feed AND p.t BETWEEN g.gone AND g.gone + 45 AND (g.again IS NULL OR p.t < g.again)) "
+    "SELECT feed, t, route, veh, rank() OVER (PARTITION BY feed, t, route ORDER BY veh) AS number FROM u"
+)
+def held_bus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("stop").alias("feed"), F.expr("t div 1000 * 15").alias("t"), "veh", (F.col("k") % 4).alias("route"))
+    return matching.held_numbers(rows)
+
+
+@_add(
+    "a AS (SELECT event_id, veh, stop, t, abs(value - 10) AS away FROM e), "
+    "g AS (SELECT *, sum(CASE WHEN t - p <= 43200 THEN 0 ELSE 1 END) OVER (PARTITION BY veh, stop ORDER BY t, event_id) AS v FROM (SELECT *, lag(t) OVER (PARTITION BY veh, stop ORDER BY t, event_id) AS p FROM a)) "
+    "SELECT event_id, veh, stop, t, away FROM g QUALIFY row_number() OVER (PARTITION BY veh, stop, v ORDER BY away, t, event_id) = 1"
+)
+def closest_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), "veh", "stop", "t", F.abs(F.col("value") - 10).alias("away"))
+    return matching.closest_rows(rows, ["veh", "stop"], 43_200).select(F.col("id").alias("event_id"), "veh", "stop", "t", "away")
+
+
+@_add("SELECT event_id FROM e g WHERE stop = 'view' AND NOT EXISTS (SELECT 1 FROM e r WHERE r.stop = 'click' AND r.veh = g.veh AND r.t BETWEEN g.t - 36000 AND g.t + 36000)")
+def sweep_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swept rows that no row found by rule, of the same vehicle, lies near: what the sweep adds once its hold is over."""
+    rows = events(spark, sf_dir)
+    return near(rows.where("stop = 'view'"), rows.where("stop = 'click'"), ["veh"], "t", 36_000, 36_000, "anti").select("event_id")
+
+
+@_add(
+    "f AS (SELECT p_partkey AS id, p_name, p_partkey % 15 AS i, p_retailprice / 20 AS km, CASE p_size % 5 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' ELSE 'other' END AS kind, p_size % 2 = 0 AS town FROM part), "
+    "w AS (SELECT *, [w FOR w IN regexp_split_to_array(lower(p_name), '[^a-z0-9]+') IF w <> ''] AS words FROM f) "
+    "SELECT id, round(CASE WHEN town AND array_to_string(words, ' ') = 'red widget' THEN -100 ELSE i + 8 * ((km > 3)::INT + (km > 20)::INT + (km > 80)::INT) + least(km, 20) / 5 "
+    "+ least(3, len([w FOR w IN words IF NOT (starts_with(w, 'red') OR starts_with(w, 'widget'))])) + CASE kind WHEN 'major' THEN -2 WHEN 'minor' THEN 3 ELSE 0 END END, 4) AS score FROM w"
+)
+def places_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as places found for `red widget`."""
+    size = F.col("p_size") % 5
+    kind = F.when(size == 0, "major").when(size == 1, "minor").otherwise("other")
+    score = matching.place_score(F.col("p_partkey") % 15, F.col("p_name"), kind, F.col("p_retailprice") / 20, F.col("p_size") % 2 == 0, ["red", "widget"])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(score, 4).alias("score"))
+
+
+@_add(
+    "l AS (SELECT event_id AS id, t, veh, k FROM e WHERE stop = 'view'), a AS (SELECT event_id AS id, t, veh FROM e WHERE stop = 'click'), "
+    "s AS (SELECT * FROM l WHERE k >= 50 OR EXISTS (SELECT 1 FROM a WHERE a.veh = l.veh AND abs(a.t - l.t) <= 7200)) "
+    "SELECT id, t, veh, 'live' AS source FROM s UNION ALL SELECT id, t, veh, 'replay' FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.veh = a.veh AND abs(a.t - s.t) <= 7200)"
+)
+def replay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), "t", "veh", "stop", "k")
+    live = rows.where("stop = 'view'")
+    return matching.replay_applied(live, rows.where("stop = 'click'"), live.where("k < 50").select("id"), ["veh"], 7200)
+
+
+@_add("SELECT veh AS alert, sha256(CAST(k % 5 AS VARCHAR)) AS version, min(t) AS first_seen, max(t) AS last_seen, count(*) AS polls FROM e GROUP BY 1, 2")
+def stream_alert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of alerts, by content, over the stored log as a stream."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
+    content = F.get_json_object("props", "$.k").cast("int") % 5
+    reports = source.select(F.col("user_id").alias("alert"), F.sha2(content.cast("string"), 256).alias("version"), seconds(F.col("ts")).alias("t"))
+    return detect.versions_seen(spark, reports, shared_folder(spark))

@@ -73,6 +73,26 @@ def hourly_counts(reports: DataFrame, late: str = "1 hour") -> DataFrame:
     return reports.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "stop").agg(F.count("*").alias("n"))
 
 
+def versions_seen(spark: SparkSession, reports: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """alert, version, first_seen, last_seen and polls of all reports (alert, version, t) that the stream has now.
+
+    Each batch leaves its own small table of partial results under its number, so a batch that is run again replaces what it wrote;
+    a run under the same name goes on where the last one was."""
+    path = f"{folder.rstrip('/')}/tramline-versions-{name or uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        part = batch.groupBy("alert", "version").agg(F.min("t").alias("first_seen"), F.max("t").alias("last_seen"), F.count("*").alias("polls"))
+        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    kinds = {f.name: f.dataType.simpleString() for f in reports.schema.fields}
+    schema = f"alert {kinds['alert']}, version {kinds['version']}, first_seen {kinds['t']}, last_seen {kinds['t']}, polls long"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=none")
+    query = reports.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    parts = spark.read.schema(schema).parquet(f"{path}/batch=*")
+    return parts.groupBy("alert", "version").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("polls").alias("polls"))
+
+
 def replay(spark: SparkSession, stream: DataFrame, folder: str, name: str | None = None) -> DataFrame:
     """Run a stream over what its source has now, into a table in `folder` (a new one, or that of a name), and read that table.
 
