@@ -39,14 +39,14 @@ def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_add(
-    "r AS (SELECT l_suppkey AS route, l_quantity / 10 AS mu, 0.2 + l_discount AS sigma, l_linenumber AS dwell, l_extendedprice / 1000 + 1 AS y FROM lineitem), "
+    "r AS (SELECT l_suppkey AS route, 3.5 + l_tax AS mu, 0.2 + l_discount AS sigma, l_linenumber AS dwell, l_extendedprice / 1000 + 1 AS y FROM lineitem), "
     "c AS (SELECT route, CASE WHEN y > dwell THEN abs(ln(y - dwell) - mu) / (1.2815515655446008 * sigma) ELSE 1e9 END AS c FROM r), "
     "n AS (SELECT route, c, row_number() OVER (PARTITION BY route ORDER BY c) AS i, count(*) OVER (PARTITION BY route) AS n FROM c) "
     "SELECT route, n, round(least(greatest(c, 0.3), 6.0), 4) AS scale FROM n WHERE i = (4 * n + 4) // 5"
 )
 def interval_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("route"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("id"), (F.col("l_quantity") / 10).alias("mu"), (0.2 + F.col("l_discount")).alias("sigma"), F.col("l_linenumber").alias("dwell"), (F.col("l_extendedprice") / 1000 + 1).alias("y")
+        F.col("l_suppkey").alias("route"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("id"), (3.5 + F.col("l_tax")).alias("mu"), (0.2 + F.col("l_discount")).alias("sigma"), F.col("l_linenumber").alias("dwell"), (F.col("l_extendedprice") / 1000 + 1).alias("y")
     )
     return learned.interval_scale(rows, ["route"]).select("route", "n", F.round("scale", 4).alias("scale"))
 
