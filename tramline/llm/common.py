@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,19 @@ def _bytes(value: str) -> int:
     return int(value.removesuffix("b").removesuffix("B"))
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the memory that it freed goes back to the system: a worker stays alive while later stages use none."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def ids_as_text(df: DataFrame) -> DataFrame:
     """df with doc_id as text: pandas would turn whole numbers beside a null into floats, and lose their last digits."""
     return df.withColumn("doc_id", F.col("doc_id").cast("string"))

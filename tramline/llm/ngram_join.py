@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import forget, gathered, hashed_words, ids_as_text, lower_ascii, mix64, shingles, short_batches, stored, table
+from tramline.llm.common import forget, gathered, hashed_words, ids_as_text, lower_ascii, mix64, shingles, short_batches, stored, table, trimmed
 from tramline.llm.components import components
 
 #: Weight of one side of a block, about; a set weighs as many as it has members and OVERHEAD more. 4 MB of members.
@@ -144,7 +144,7 @@ def _sets(n: int, num: int, den: int) -> Callable:
                 out.append((doc_id, len(s), *_print(s), _sketch(s), *keys))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "sketch", "probes", "offers"])
 
-    return run
+    return trimmed(run)
 
 
 def _texts(n: int) -> Callable:
@@ -155,7 +155,7 @@ def _texts(n: int) -> Callable:
             names = [_print(shingles(hashed_words(lower_ascii(t))[0], n))[0] for t in batch.text]
             yield pd.DataFrame({"id": names, "text": batch.text})
 
-    return run
+    return trimmed(run)
 
 
 class _Block:
@@ -244,7 +244,7 @@ def _edges(n: int, num: int, den: int, exact: bool) -> Callable:
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(closed(held) if held else [], columns=["a", "b"], dtype="int64")
 
-    return run
+    return trimmed(run)
 
 
 def _only(rows: DataFrame, ids: DataFrame, columns: list[str], how: str) -> DataFrame:
