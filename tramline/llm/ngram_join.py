@@ -18,8 +18,10 @@ of different groups, is compared in blocks of bounded size: by sketches (a parit
 modulo a power of two; two sketches differ in no more places than the sets do) that leave clusters of sets
 that may link; and within those clusters, again in blocks, by the members themselves. Blocks hold the pairs of
 the largest group with the others, and of the others among themselves, so a large group is sent once to few others.
-A block gives just a forest of its links, as sets already joined need no second one. There is one round of
-exact comparison for pivots and one for clusters, whatever the number of near misses.
+A block gives just a forest of its links, as sets already joined need no second one. Its walk passes freely from a set
+to those of its group, so a cluster takes in the whole of every group it meets: a set of that group may link where the
+one that was found does not. There is one round of exact comparison for pivots and one for clusters, whatever the
+number of near misses.
 
 Sets equal as a whole (128 bits) are one set from the start. Members are 64-bit hashes of n-grams.
 
@@ -260,9 +262,11 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
         F.transform("offers", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
     )
     rows = sets.select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.probe")
-    own = Window.partitionBy("key")
-    rows = rows.withColumns({"low": F.min("id").over(own), "high": F.max("id").over(own), "pivot": F.min(F.when(F.col("probe"), F.col("id"))).over(own)})
-    return stored(rows.where("low < high AND pivot IS NOT NULL").select("key", "id", "pivot"), "keys")
+    pivot = F.min(F.when(F.col("probe"), F.col("id")))
+    held = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), pivot.alias("pivot")).where("low < high AND pivot IS NOT NULL")
+    # A key of very many sets is aggregated before its shuffle, and the join can be split by adaptive execution.
+    held = stored(held.select("key", "pivot"), "shared")
+    return stored(rows.select("id", "key").join(held, "key").select("key", "id", "pivot"), "keys")
 
 
 def _forests(blocks: DataFrame, facts: DataFrame, label: str, n: int, num: int, den: int) -> DataFrame:
@@ -315,6 +319,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("key", "b.kind", "b.i", "b.j").alias("block"), "b.side", "id", "label")
 
 
+def _with_groups(near: DataFrame, untested: DataFrame, groups: DataFrame) -> DataFrame:
+    """near, and a link from each untested set to the label of its group, where a pair of near has a set of that group."""
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups.select("id", "label"), "id")
+    met = stored(ends.select("label").distinct(), "met")
+    own = _only(untested.select("id", "label"), met, ["label"], "semi").distinct()
+    return stored(near.unionByName(own.select(F.col("label").alias("a"), F.col("id").alias("b"))), "reach")
+
+
 def _grouped(ids: DataFrame, groups: DataFrame, to: str) -> DataFrame:
     """ids with the component of each, or itself."""
     return ids.join(groups.withColumnRenamed("component", to), "id", "left").withColumn(to, F.coalesce(to, "id"))
@@ -356,8 +368,9 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
     stars = _stars(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), weighed)
     links = _forests(stars, texts(ends(near)), "links", n, num, den)
     groups = stored(_grouped(needed, components(links), "label").join(weighed, "id"), "groups")
-    near = _forests(_blocks(_untested(shared, groups)), facts, "near", n, num, den)
-    clusters = components(near).withColumnRenamed("component", "key")
+    untested = stored(_untested(shared, groups), "untested")
+    near = _forests(_blocks(untested), facts, "near", n, num, den)
+    clusters = components(_with_groups(near, untested, groups)).withColumnRenamed("component", "key")
     blocks = stored(_blocks(clusters.join(groups, "id")), "blocks")
     more = _forests(blocks, texts(blocks), "links", n, num, den)
     # A document whose texts differ is in the groups of all of them.
@@ -374,10 +387,19 @@ def linked_sets(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> D
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the documents whose component has one of a smaller id; all rows without an id stay."""
-    dropped = stored(linked_sets(docs, n, num, den).where("component_id < doc_id").select("doc_id"), "dropped")
-    named = _only(docs.where("doc_id IS NOT NULL"), dropped, ["doc_id"], "anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs without the documents whose component has one of a smaller id; all rows without an id stay.
+
+    Of rows that repeat an id, one stays for each distinct text: the least by its other columns, in their order."""
+    links = stored(linked_sets(docs, n, num, den).select("doc_id", "component_id"), "linked")
+    dropped = stored(links.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    repeated = stored(links.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"), "repeated")
+    named = _only(docs.where("doc_id IS NOT NULL"), dropped, ["doc_id"], "anti").select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_"))
+    copies = _only(named, repeated, ["doc_id"], "semi").groupBy("doc_id", "text").agg(F.min(rest).alias("r"))
+    copies = copies.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"r.`{c}`") for c in docs.columns])
+    single = _only(named, repeated, ["doc_id"], "anti").select(docs.columns)
+    return single.unionByName(copies).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
