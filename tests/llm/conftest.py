@@ -37,6 +37,7 @@ def sf_dir(spark, tmp_path_factory):
     urls = [
         None, "", "no scheme", "http://net/", "https://a.b.NET/x?y#z", "http://example.net/en/1", "http://www.example.net/de/", "ftp://Example.COM/de/x", "http://example.com",
         "http://x.org/fr/a", "http://x.org/en", "http://spam-farm.org/", "http://a//b://c", "http://.net/", "http://net?x", "http://xexample.com/de/", "http://a..net/",
+        "http://net\x01evil/", "http://evil\x01.net/a", "http://net\x02evil/", "http://a\x02.net/", "http://\x00.example.com/de/", "http://\U0010ffff\U0010ffff.org/fr/",
     ] * 2
     spark.createDataFrame([(i // 2, u, "h", "x") for i, u in enumerate(urls)], "page_id long, url string, html string, host string").write.parquet(f"{folder}/pages.parquet")
     return folder

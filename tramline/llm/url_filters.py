@@ -1,10 +1,12 @@
 """URL filters: a sort-merge range join of urls with rules.
 
-Host labels are reversed (a.example.net becomes net.example.a.), so all subdomains of a rule's host lie in
+Host labels are reversed (a.example.net becomes net, example, a, each with a closing mark), so all subdomains of a rule's host lie in
 one interval of the sorted keys (host, then path). Urls and rules are cut at quantiles of the keys; within a cut, a sweep in
 key order keeps a stack of the rules whose interval is open. Such intervals nest or are apart, so the stack
 holds just the rules of the current host's ancestors. A rule that spans cuts is sent to each of them.
 
+Cuts grow with the number of distinct urls, URLS each. A cut of one host with more urls than that is still one task, but of short rows.
+
 Only distinct (host, path) pairs are swept, after partial aggregation, so one url on a third of all rows
 is one row here; the verdicts go back to the rows by an equi join, which adaptive execution can split.
 
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import table
+from tramline.llm.common import let, stored, table
 
 # The base rules (host, path, verdict).
 RULES = (
@@ -32,8 +34,8 @@ RULES = (
 )
 # Labels of hosts that the method itself blocks where no rule fits.
 BAD_LABELS = ("spam", "pills", "casino", "porn", "viagra", "payday", "lottery")
-#: Keys above any host of a subtree: no host character sorts after it.
-TOP = "\U0010ffff"
+#: Distinct urls of a cut, about; most cuts; keys sampled for each.
+URLS, MOST_CUTS, SAMPLED = 200_000, 4096, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,8 +48,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    """Labels from the top domain down, each with a closing mark that sorts below every label character."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
+    """Labels from the top domain down, each with a closing mark that sorts below every label character.
+
+    A mark that is part of a host is written as two other characters, so that no label is taken for two."""
+    plain = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02\x02")), F.lit("\x01"), F.lit("\x02\x03"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\x01"), F.lit("\x01"))
+
+
+def _above(key: Column) -> Column:
+    """The least key above the subtree of a host's key: its last closing mark raised by one."""
+    return F.concat(F.substring(key, F.lit(1), F.length(key) - 1), F.lit("\x02"))
 
 
 def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,41 +79,50 @@ def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
 
 
-def matched(urls: DataFrame, rules: DataFrame, cuts: int = 64) -> DataFrame:
-    """host, path, rule and verdict for each row of urls (distinct host, path); null where no rule fits."""
+def matched(urls: DataFrame, rules: DataFrame, each: int = URLS) -> DataFrame:
+    """host, path, rule and verdict for each row of urls (distinct host, path; a stored table, as it is read three times); null where no rule fits."""
+    cuts = max(1, min(MOST_CUTS, -(-urls.count() // each)))
     keyed = urls.withColumn("key", F.concat(host_key(F.col("host")), "path"))
     bounds = _quantiles(keyed, cuts)
-    cut = _cut(F.col("key"), bounds)
     ruled = rules.withColumn("key", host_key(F.col("host")))
-    low, high = _cut(F.col("key"), bounds), _cut(F.concat("key", F.lit(TOP)), bounds)
+    low, high = _cut(F.col("key"), bounds), _cut(_above(F.col("key")), bounds)
     spread = ruled.select("key", F.lit(0).alias("kind"), "host", "path", "verdict", F.explode(F.sequence(low, high)).alias("cut"))
-    rows = keyed.select("key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"), cut.alias("cut"))
+    rows = keyed.select("key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"), _cut(F.col("key"), bounds).alias("cut"))
     return (
         rows.unionByName(spread)
-        .repartition(cuts, "cut")
-        .sortWithinPartitions("cut", "key", "kind", "path")
+        .repartitionById(len(bounds) + 1, F.col("cut"))
+        .sortWithinPartitions("key", "kind", "path")
         .mapInPandas(_swept, "host string, path string, rule string, verdict string")
     )
 
 
 def _quantiles(keyed: DataFrame, cuts: int) -> list[str]:
-    """At most `cuts` keys that share the urls out evenly; any bounds give the same result.
+    """At most `cuts` - 1 sorted keys that share the urls out evenly; any bounds give the same result.
 
     They come from a sample whose size is a parameter's multiple, not the table's."""
-    sample = keyed.select("key").withColumn("o", F.xxhash64("key")).orderBy("o").limit(64 * cuts)
+    if cuts == 1:
+        return []
+    sample = keyed.select("key").withColumn("o", F.xxhash64("key")).orderBy("o").limit(SAMPLED * cuts)
     keys = sorted({r.key for r in sample.select("key").collect()}, key=lambda k: k.encode())
-    return keys[:: max(1, len(keys) // cuts)][1:cuts]
+    return keys[:: max(1, -(-len(keys) // cuts))][1:cuts]
 
 
-def _cut(key: Column, bounds: Sequence[str]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= key))
+def _cut(key: Column, bounds: Sequence[str], wide: int = 64) -> Column:
+    """How many of the sorted bounds are at most the key: counted over every `wide`-th of them, then within one stretch."""
+    parts = [list(bounds[k : k + wide]) for k in range(0, len(bounds), wide)]
+    if not parts:
+        return F.lit(0)
+    count = lambda held: F.size(F.filter(held, lambda b: b <= key))
+    heads = F.array(*[F.lit(p[0]) for p in parts])
+    stretches = F.array(*[F.array(*map(F.lit, p)) for p in parts])
+    return let(count(heads), lambda h: F.when(h == 0, 0).otherwise((h - 1) * wide + count(F.get(stretches, h - 1))))
 
 
 def judge(pages: DataFrame, rules: DataFrame, bad_labels: Sequence[str] = BAD_LABELS) -> DataFrame:
     """pages with host, path, rule (host + path of the winner or null) and verdict (allow or block)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = matched(rows.select("host", "path").distinct(), rules)
+    found = matched(stored(rows.select("host", "path").distinct(), "urls"), rules)
     bad = F.exists(F.split("host", r"[.-]"), lambda x: x.isin(*bad_labels)) if bad_labels else F.lit(False)
     own = F.when(bad, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(found, ["host", "path"], "left").select(
