@@ -35,11 +35,14 @@ PART = 256
 #: Code points before a span that the gazetteers look at.
 NEAR = 24
 
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: A run of an address's characters can only match from its first one, or from where the match before ended in mid-run:
+#: all later places meet the same end of the run. So a long run is read once, not once from each of its characters.
+BEGINS = r"(?:\G|(?<![A-Za-z0-9._%+-]))"
+EMAIL = BEGINS + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = "[0-9][0-9\x01]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SPELLED = r"[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
+SPELLED = BEGINS + r"[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
 NATIONAL = r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
 # Words that, shortly before a span, speak for its kind, and against its being personal.
@@ -118,6 +121,7 @@ def _shaped(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(10, 12)
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,votes:int,traits:int>>"
 #: Traits of a span that the classifier sees, as bits in this order.
 TRAITS = ("valid", "short", "long", "grouped", "bracketed", "begins", "labelled", "speaks_for", "speaks_against", "joined", "closes")
 
@@ -130,12 +134,16 @@ def _spans(text: Column, kind: str, pattern: str, loose: bool = False, shown: Co
     """Candidates of a kind as structs: start, kind number, end, base, votes (one bit for each labeler) and traits (one bit each).
 
     shown: the text as the reader sees it, where `text` has marks in it."""
-    shown = text if shown is None else shown
+    # Four bytes a code point: what stands beside a span is then cut out without a walk from the text's start.
+    wide = F.encode(text if shown is None else shown, "UTF-32")
 
-    def judged(x: Column) -> Column:
+    def cut(bytes_: Column, first: Column, count: Column) -> Column:
+        return F.decode(F.substring(bytes_, first * 4 + 1, count * 4), "UTF-32")
+
+    def judged(bytes_: Column, x: Column) -> Column:
         base = F.lit(False) if loose else _strict(kind, x["m"])
-        before = F.substring(shown, F.greatest(F.lit(1), x["start"] - NEAR + 1), F.least(x["start"], F.lit(NEAR)))
-        after = F.substring(shown, x["end"] + 1, F.lit(1))
+        before = cut(bytes_, F.greatest(F.lit(0), x["start"] - NEAR), F.least(x["start"], F.lit(NEAR)))
+        after = cut(bytes_, x["end"], F.lit(1))
 
         def described(b: Column, before: Column) -> Column:
             left_free, right_free = ~before.rlike(r"[\p{L}\p{N}_@-]$"), ~after.rlike(r"[\p{L}\p{N}_@]")
@@ -143,7 +151,7 @@ def _spans(text: Column, kind: str, pattern: str, loose: bool = False, shown: Co
             votes = _bits((b, _shaped(kind, x["m"]), speaks, ~against, left_free & right_free, F.lit(loose)))
             size = F.length(x["m"])
             traits = _bits((
-                b, size < 12, size > 18, x["m"].rlike("[0-9][\x01\x20-][0-9]+[\x01\x20.-][0-9]|[A-Za-z][._][A-Za-z]+.*[@\\])]"), x["m"].rlike(r"[()\[\]]"),
+                b, size < 12, size > 18, x["m"].rlike("[0-9][\x01\x20-][0-9]+[\x01\x20.-][0-9]|^[^@\\[(]*?[A-Za-z][._][A-Za-z]"), x["m"].rlike(r"[()\[\]]"),
                 x["m"].rlike("^[+A-Za-z]"), before.rlike(r"[:=]\s*$"), speaks, against, ~left_free, after.rlike(r"^[.,;\s]?$"),
             ))
             return F.struct(
@@ -152,7 +160,7 @@ def _spans(text: Column, kind: str, pattern: str, loose: bool = False, shown: Co
 
         return let(F.struct(base.alias("b"), before.alias("t")), lambda d: described(d["b"], d["t"]))
 
-    return F.transform(_places(text, pattern), judged)
+    return let(_places(text, pattern), lambda found: F.when(F.size(found) > 0, let(wide, lambda b: F.transform(found, lambda x: judged(b, x)))).otherwise(F.array().cast(SPANS)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -160,7 +168,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,votes:int,traits:int>>")
+    none = F.array().cast(SPANS)
     some = lambda test, spans: F.when(test, spans).otherwise(none)
     found = F.concat(
         some(F.contains(text, F.lit("@")), _spans(text, "email", EMAIL)),
