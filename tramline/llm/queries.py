@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm import (
     bpe,
+    conversations,
+    decontamination,
     fingerprints,
+    infilling,
     lm_scoring,
     mixing,
     ngram_join,
@@ -33,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_bpe": bpe.op9_bpe,
         "op10_pii": pii.op10_pii,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_infilling": infilling.op12_infilling,
+        "op13_decontamination": decontamination.op13_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -41,6 +47,9 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op8_url_filters": url_filters.ORACLE_SQL,
+        "op11_conversation_repair": conversations.ORACLE_SQL,
+        "op12_infilling": infilling.ORACLE_SQL,
+        "op13_decontamination": decontamination.ORACLE_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in found.items() if sql}
