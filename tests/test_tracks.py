@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.functions.scalars import spelling_cost
+from tramline.functions.spelling import spelling_cost
 from tramline.operators import sequences, tracks
 from tramline.sources import tables
 

@@ -1,11 +1,9 @@
-"""Column builders: local time, distances, tolerances and spelling distance."""
+"""Column builders: local time, distances and tolerances."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 ZONE = "America/Chicago"
 
@@ -41,48 +39,3 @@ def metres(lat: Column, lon: Column, lat2: Column, lon2: Column, radius: float =
 def allowed_error(lead: Column) -> Column:
     """Seconds a forecast may be off: 180 from half an hour ahead, 120 from twenty minutes, else 60."""
     return F.when(lead >= 1800, 180).when(lead >= 1200, 120).otherwise(60)
-
-
-# Rows of a keyboard (each half a key right of the one above), vowels, and what slips cost.
-_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-_VOWELS = frozenset("aeiouy")
-SWAP, NEAR_KEY, VOWEL, DOUBLE, DIGIT = 0.6, 0.6, 0.7, 0.5, 1.5
-_KEYS = {c: (x + y / 2, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
-
-
-def _changed(a: str, b: str) -> float:
-    if a == b:
-        return 0.0
-    if a in _KEYS and b in _KEYS and all(abs(p - q) <= 1 for p, q in zip(_KEYS[a], _KEYS[b], strict=True)):
-        return NEAR_KEY
-    if a in _VOWELS and b in _VOWELS:
-        return VOWEL
-    return DIGIT if a.isdigit() or b.isdigit() else 1.0
-
-
-def _single(word: str) -> list[float]:
-    """Cost of adding or dropping each letter: less for one that stands beside its like."""
-    return [DOUBLE if c in (word[k - 1 : k], word[k + 1 : k + 2]) else 1.0 for k, c in enumerate(word)]
-
-
-def spelling_cost(a: str, b: str) -> float:
-    """Edit cost of two words with cheaper slips: swapped neighbours, a key beside, another vowel, a doubled letter; digits cost more."""
-    drop, add = _single(a), _single(b)
-    older: list[float] = []
-    last = [0.0]
-    for x in add:
-        last.append(last[-1] + x)
-    for i, x in enumerate(a):
-        row = [last[0] + drop[i]]
-        for j, y in enumerate(b):
-            best = min(last[j] + _changed(x, y), last[j + 1] + drop[i], row[j] + add[j])
-            if i and j and x != y and x == b[j - 1] and y == a[i - 1]:
-                best = min(best, older[j - 1] + SWAP)
-            row.append(best)
-        older, last = last, row
-    return last[-1]
-
-
-@F.pandas_udf(DoubleType())
-def spelling(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else spelling_cost(x, y) for x, y in zip(a, b, strict=True)])

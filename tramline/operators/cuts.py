@@ -102,3 +102,35 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], block: Col
     else:
         value = F.greatest("_here", "_earlier")
     return both.withColumn(name, value).drop("_x", "_cut", "_here", "_earlier")
+
+
+def expanding_median(rows: DataFrame, by: Sequence[str], step: str, value: str, name: str, bins: int = BINS) -> DataFrame:
+    """by, step, n and the exact median of the values of all earlier steps of the key, for each step of a key with rows before it.
+
+    Values are counted by step and bin, and the counts added up along the steps; only the bins that then hold a step's middle are looked into, with the values counted there."""
+    g, _ = _binned(rows.where(F.col(step).isNotNull()), [*by, step], value, None, 1)
+    g = g.select(*[F.col("_key")[c].alias(c) for c in (*by, step)], "_v", "_c")
+    key = _key(by)
+    g = g.withColumn("_k", key)
+    span = g.groupBy("_k").agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+    wide = F.col("_hi") - F.col("_lo")
+    share = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(wide, F.lit(0.0))
+    g = g.join(span, "_k").withColumn("_bin", F.when((wide > 0) & (wide < float("inf")), F.least(F.lit(bins - 1).cast("long"), F.floor(share * bins))).otherwise(F.lit(0).cast("long")))
+    g = g.select("_k", step, "_v", "_c", "_bin")
+    totals = g.groupBy("_k", "_bin", step).agg(F.sum("_c").alias("_c"))
+    steps = rows.where(F.col(step).isNotNull()).select(key.alias("_k"), step).distinct()
+    # Every bin of a key against every step of the key: counts, at most `bins` a step.
+    grid = totals.select("_k", "_bin").distinct().join(steps, "_k").join(totals, ["_k", "_bin", step], "left")
+    upto = F.coalesce(F.sum("_c").over(Window.partitionBy("_k", "_bin").orderBy(step).rowsBetween(_START, -1)), F.lit(0))
+    cells = grid.select("_k", step, "_bin", upto.alias("_held")).where("_held > 0")
+    along = Window.partitionBy("_k", step)
+    cells = cells.withColumns({"n": F.sum("_held").over(along), "_before": F.coalesce(F.sum("_held").over(along.orderBy("_bin").rowsBetween(_START, -1)), F.lit(0))})
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    holds = lambda r, at, many: (r >= F.col(at)) & (r < F.col(at) + F.col(many))
+    wanted = cells.where(holds(low, "_before", "_held") | holds(high, "_before", "_held")).withColumnRenamed(step, "_to")
+    inside = wanted.join(g, ["_k", "_bin"]).where(F.col(step) < F.col("_to")).groupBy("_k", "_to", "_bin", "n", "_before", "_v").agg(F.sum("_c").alias("_c"))
+    smaller = F.coalesce(F.sum("_c").over(Window.partitionBy("_k", "_to", "_bin").orderBy("_v").rowsBetween(_START, -1)), F.lit(0))
+    placed = inside.withColumn("_at", F.col("_before") + smaller)
+    pick = lambda r: F.max(F.when(holds(r, "_at", "_c"), F.col("_v"))).cast("double")
+    out = placed.groupBy("_k", "_to").agg(F.max("n").alias("n"), ((pick(low) + pick(high)) / 2).alias(name))
+    return out.select(*[F.col("_k")[c].alias(c) for c in by], F.col("_to").alias(step), "n", name)

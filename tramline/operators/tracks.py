@@ -1,7 +1,7 @@
 """Vehicle tracks: cleaned segments, stale links, shared trips, bunching, standing, frozen and jumping positions, fleet changes.
 
-All but the ordered fold are windows and equi joins. Range tests over one key look at a frame of seconds and never
-pair rows: another vehicle is near in time exactly if the frame's least and greatest vehicle differ."""
+All but the ordered fold are windows, running values and equi joins. Whether another vehicle is near in time is read off the nearest point of
+another one on each side, and how many run on a route off a running sum: rows of a key are never paired."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.cuts import running
+from tramline.operators.lineage import written
+
 # Limits of a usable segment (seconds, metres, metres a second).
 MAX_SEGMENT_S, MIN_RUN_S, MAX_SPEED, CITY_M, MAX_SPEED_CITY = 1800, 3, 30.0, 2000, 20.0
 # A shared trip, a bunch, a frozen run, a jump, a lasting change (seconds, metres, metres a second).
@@ -68,10 +71,29 @@ def stale_links(rows: DataFrame) -> DataFrame:
     return rows.join(per.select("id", between.alias("between")), "id", "left")
 
 
-def another_near(rows: DataFrame, by: Sequence[str], before: int, after: int, name: str = "near", veh: str = "veh", t: str = "t") -> DataFrame:
-    """rows with a boolean: whether a row of the same key and another vehicle lies from `before` seconds earlier to `after` later."""
-    frame = within(*by, t=t, before=before, after=after)
-    return rows.withColumn(name, F.coalesce(F.min(veh).over(frame) < F.max(veh).over(frame), F.lit(False)))
+def another_near(rows: DataFrame, by: Sequence[str], before: int, after: int, name: str = "near", veh: str = "veh", t: str = "t", width: int = 86_400) -> DataFrame:
+    """rows with a boolean: whether a row of the same key and another vehicle lies from `before` seconds earlier to `after` later.
+
+    A key's rows at one second are one point, of one vehicle or of several. The latest earlier point of another vehicle is the one before the run of points of the same vehicle that
+    holds a point; so it is carried along as a running maximum, and so is the earliest later one from the other end, in blocks of `width` seconds. Rows without vehicle or time have none near."""
+    key = F.struct(F.lit(0).alias("_"), *by)
+    points = rows.where(F.col(veh).isNotNull() & F.col(t).isNotNull()).groupBy(key.alias("_k"), F.col(t).cast("long").alias("_t")).agg(F.min(veh).alias("_lo"), F.max(veh).alias("_hi"))
+
+    def other(points: DataFrame, sign: int, out: str) -> DataFrame:
+        """points with the time of the nearest point of another vehicle on one side."""
+        turned = points.withColumn("_at", sign * F.col("_t"))
+        block = F.floor(F.col("_at") / width)
+        seen = running(turned, ["_k"], ["_at"], block, "max", F.struct("_at", "_lo", "_hi"), "_last", inclusive=False)
+        same = (F.col("_last._lo") == F.col("_last._hi")) & (F.col("_last._lo") == F.col("_lo"))
+        begun = F.when(F.col("_last").isNotNull() & ~same, F.col("_last._at"))
+        return running(seen, ["_k"], ["_at"], block, "max", begun, out).drop("_at", "_last")
+
+    both = other(written(other(written(points), 1, "_before")), -1, "_after")
+    near = (F.col("_lo") != F.col("_hi")) | (F.col("_t") - F.col("_before") <= before) | (-F.col("_after") - F.col("_t") <= after)
+    marked = both.select("_k", "_t", F.coalesce(near, F.lit(False)).alias(name))
+    own = F.when(F.col(veh).isNotNull(), F.col(t).cast("long"))
+    found = rows.withColumns({"_k": key, "_t": own}).join(marked, ["_k", "_t"], "left").drop("_k", "_t")
+    return found.select(*rows.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 def frozen_runs(rows: DataFrame, by: Sequence[str] = ("veh",)) -> DataFrame:
@@ -119,21 +141,27 @@ def drops(sightings: DataFrame, end: int | Column, gone: int = 600) -> DataFrame
 
     sightings have route, veh and t. A vehicle leaves at its last sighting if none follows for `gone` seconds. Others run if they were
     seen in the `gone` seconds before the leave is certain. lasting is 1 if it stays away for LASTING_S seconds, 0 if it comes back
-    sooner, and null (unknown) as long as the log, which ends at `end`, does not reach so far."""
+    sooner, and null (unknown) as long as the log, which ends at `end`, does not reach so far.
+
+    A vehicle counts from a sighting until `gone` seconds after the last one that follows closely: a change of +1 and one of -1. Changes are summed by route and second, and
+    their running sum, cut into days, is read where a leave is certain. So a route's sightings never meet each other."""
     order = Window.partitionBy("route", "veh").orderBy("t")
     end = F.lit(end) if isinstance(end, int) else end
-    rows = sightings.select("route", "veh", "t").distinct().withColumn("next", F.lead("t").over(order)).withColumn("log_end", end)
-    left = rows.where((F.coalesce("next", "log_end") - F.col("t") >= gone))
-    left = left.withColumn("sure", F.col("t") + gone)
-    # A vehicle runs at `sure` if it was sighted in (sure - gone, sure]; both sides meet on bins of `gone` seconds.
-    seen = sightings.select("route", F.col("veh").alias("other"), "t").distinct()
-    bins = left.withColumn("bin", F.explode(F.sequence(F.floor((F.col("sure") - gone) / gone), F.floor(F.col("sure") / gone))))
-    binned = seen.withColumn("bin", F.floor(F.col("t") / gone)).withColumnRenamed("t", "seen")
-    near = bins.join(binned, ["route", "bin"]).where((F.col("seen") > F.col("t")) & (F.col("seen") <= F.col("sure")) & (F.col("other") != F.col("veh")))
-    alive = near.groupBy("route", "veh", "t").agg(F.count_distinct("other").alias("after"))
+    rows = sightings.select("route", "veh", "t").where("veh IS NOT NULL AND t IS NOT NULL").distinct()
+    rows = rows.withColumns({"next": F.lead("t").over(order), "last": F.lag("t").over(order), "log_end": end})
+    opens, closes = F.coalesce(F.col("t") - F.col("last") >= gone, F.lit(True)), F.coalesce(F.col("next") - F.col("t") >= gone, F.lit(True))
+    leaves = F.coalesce("next", "log_end") - F.col("t") >= gone
+    change = lambda when, at, d: F.when(when, F.struct(at.alias("at"), F.lit(d).alias("d")))
+    sure = F.col("t") + gone
+    steps = rows.select("route", F.explode(F.array(change(opens, F.col("t"), 1), change(closes, sure, -1), change(leaves, sure, 0))).alias("c")).where("c IS NOT NULL")
+    steps = steps.groupBy("route", "c.at").agg(F.sum("c.d").alias("d"))
+    alive = running(steps, ["route"], ["at"], F.floor(F.col("at") / 86_400), "sum", F.col("d"), "n").select("route", F.col("at").alias("sure"), "n")
+    left = rows.where(leaves).withColumn("sure", sure)
+    # A vehicle that is back at that very second is no other.
+    after = F.col("n") - F.coalesce(F.col("next") == F.col("sure"), F.lit(False)).cast("int")
     away = F.col("next") - F.col("t")
     lasting = F.when(away < LASTING_S, 0).when((away >= LASTING_S) | (F.col("log_end") - F.col("t") >= LASTING_S), 1)
-    out = left.join(alive, ["route", "veh", "t"]).withColumn("lasting", lasting)
+    out = left.join(alive, ["route", "sure"]).withColumns({"after": after, "lasting": lasting}).where("after > 0")
     return out.select("route", "veh", "t", (F.col("after") + 1).alias("before"), "after", "lasting", away.alias("returned_s"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators.cuts import numbered, quantiles, running
+from tramline.operators.cuts import expanding_median, numbered, quantiles, running
 from tramline.operators.sequences import interval_unions
 from tramline.plans.statements import STATEMENTS
 from tramline.sources.tables import events, table
@@ -145,3 +145,21 @@ def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {name: STATEMENTS[name].oracle() for name in QUERIES}
+
+
+@_add
+def rolling_origin_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each week's median of all weeks before, from counts by week and value."""
+    f = events(spark, sf_dir).select(F.floor(F.col("t") / 604_800).alias("wk"), "stop", "value")
+    return expanding_median(f, ["stop"], "wk", "value", "bias").where("n >= 5").select("wk", "stop", "n", F.round("bias", 4).alias("bias"))
+
+
+@_add
+def numeric_aware_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of ids in natural order, as a running count over blocks of ids that begin alike."""
+    name = F.when(F.col("veh") % 3 == 0, F.concat(F.lit("R"), F.col("veh").cast("string"))).otherwise(F.col("veh").cast("string"))
+    x = events(spark, sf_dir).select(name.alias("id")).distinct()
+    x = x.withColumns({"lettered": F.startswith("id", F.lit("R")).cast("int"), "number": F.when(F.startswith("id", F.lit("R")), F.lit(0)).otherwise(F.col("id").try_cast("long"))})
+    digits = F.col("number").cast("string")
+    block = F.struct("lettered", F.length(digits).alias("size"), F.substring(digits, 1, 2).alias("head"), F.when(F.col("lettered") == 1, F.substring("id", 1, 3)).alias("begin"))
+    return running(x, [], ["lettered", "number", "id"], block, "sum", F.lit(1), "o").select("id", "o")

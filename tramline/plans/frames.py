@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.scalars import ZONE, daypart, hour_of_week, local, metres, service_day, spelling
+from tramline.functions.scalars import ZONE, daypart, hour_of_week, local, metres, service_day
+from tramline.functions.spelling import spelling
+from tramline.operators import geometry
 from tramline.operators.cuts import running
 from tramline.operators.joins import asof, near, on_display, overlaps, shown_to_bus
+from tramline.operators.lineage import shared_folder
 from tramline.operators.sequences import anchored, chained, decayed, interval_unions, ranked_merge, smoothed
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, seconds, table
@@ -200,17 +202,14 @@ _METRES = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(q.lat - p.lat) /
     "o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, other) AS r FROM d) SELECT id, other, CAST(r AS INTEGER) AS r, round(m, 3) AS m FROM o WHERE r <= 3"
 )
 def nearest_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest stops of each stop; stops meet those of their own and neighbouring cells of a grid
-    that is as wide as a network (the table of stops is a small dimension)."""
+    """The three nearest stops of each stop on the globe; those that may be are found on a plane, over a pyramid of cells."""
     at = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("id"), (41.7 + F.lit(0.01) * F.col("n_nationkey")).alias("lat"), (-87.6 - F.lit(0.02) * F.col("n_regionkey")).alias("lon")
     )
-    size = 0.5
-    cell = at.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lon") / size)})
-    around = cell.withColumn("cy", F.explode(F.expr("sequence(cy - 1, cy + 1)"))).withColumn("cx", F.explode(F.expr("sequence(cx - 1, cx + 1)")))
-    others = cell.select("cy", "cx", F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = around.join(others, ["cy", "cx"]).where("id <> other").withColumn("m", metres(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("m", "other"))).where("r <= 3").select("id", "other", "r", F.round("m", 3).alias("m"))
+    x, y = geometry.flat(F.col("lat"), F.col("lon"), 41.8)
+    places = at.withColumns({"x": x, "y": y})
+    m = metres(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
+    return geometry.nearest(places, places, 3, self_=True, first=500.0, measure=m).select("id", "other", "r", F.round("m", 3).alias("m"))
 
 
 @_add(
@@ -250,16 +249,22 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.replay(spark, detect.arrivals(reports), shared_folder(spark))
 
 
-#: Misspelt names: a letter left out, neighbours swapped, a key beside, a letter doubled.
-MISSPELT = ("patr 333", "smlal ring", "red widgt", "bkue bolt", "hott gear")
+@_add(
+    "s AS (SELECT event_id AS sid, veh, t AS seen, t + 1000 * k AS last FROM e WHERE stop = 'view'), q AS (SELECT event_id, veh, t FROM e WHERE stop = 'purchase'), "
+    "n AS (SELECT q.event_id, q.veh, q.t, max(struct_pack(seen := seen, sid := sid, last := last)) AS top FROM q LEFT JOIN s ON s.veh = q.veh AND s.seen <= q.t GROUP BY ALL) "
+    "SELECT veh, event_id, t, CASE WHEN top.last >= t - 90 THEN top.seen END AS seen, CASE WHEN top.last >= t - 90 THEN top.last END AS last FROM n"
+)
+def stream_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ring of newest forecasts kept by a stream, replayed over the stored log; each question is answered as by the batch join."""
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
+    log = source.select("event_id", F.col("user_id").alias("veh"), F.col("event_type").alias("stop"), seconds(F.col("ts")).alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rows = log.where("stop IN ('view', 'purchase')").select("veh", "event_id", "t", (F.col("stop") == "purchase").alias("asks"), (F.col("t") + 1000 * F.col("k")).alias("last"))
+    return detect.replay(spark, detect.displays(rows), shared_folder(spark))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or tempfile.mkdtemp(prefix="tramline-")
+#: Misspelt names: a letter left out, neighbours swapped, a key beside, a letter doubled.
+MISSPELT = ("patr 333", "smlal ring", "red widgt", "bkue bolt", "hott gear")
 
 
 @_add(

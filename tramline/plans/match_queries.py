@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import matching
 from tramline.operators.joins import near
-from tramline.plans.frames import shared_folder
+from tramline.operators.lineage import shared_folder
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, seconds, table
 from tramline.streaming import detect

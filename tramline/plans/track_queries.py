@@ -124,5 +124,4 @@ def filler_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fleet_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fast(spark, sf_dir, 144).select(F.col("stop").alias("route"), "veh", "t")
-    end = rows.agg(F.coalesce(F.max("t"), F.lit(0))).first()[0]
-    return tracks.drops(rows, end)
+    return tracks.drops(rows, rows.agg(F.max("t")).scalar())

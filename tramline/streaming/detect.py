@@ -68,6 +68,45 @@ def silences(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.groupBy("veh").applyInPandasWithState(_silence, "veh long, last_t long", "t long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Shown forecasts that a key's state holds at most, and how old (event time, seconds) they may grow; a forecast still shown so long after its poll counts.
+RING, RING_S, GRACE_S = 400, 7200, 90
+
+
+def _displays(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """For each question the newest forecast seen by then, if it was still shown GRACE_S before; the state is a ring of the newest ones."""
+    names = ["veh", "event_id", "t", "seen", "last"]
+    rows = pd.concat(batches).sort_values(["t", "asks", "event_id"])
+    ring = list(zip(*state.get, strict=True)) if state.exists else []
+    newest = ring[-1][0] if ring else None
+    out = []
+    for event, t, asks, last in zip(rows.event_id.tolist(), rows.t.tolist(), rows.asks.tolist(), rows["last"].tolist(), strict=True):
+        newest = t if newest is None else max(newest, t)
+        if not asks:
+            ring.append((t, event, int(last)))
+            if len(ring) > 1 and ring[-2][:2] > ring[-1][:2]:  # a late one takes its place in the order
+                ring.sort()
+            continue
+        shown = next((r for r in reversed(ring) if r[0] <= t), None)
+        alive = shown is not None and shown[2] >= t - GRACE_S
+        out.append((key[0], event, t, shown[0] if alive else None, shown[2] if alive else None))
+    # The newest one never grows old: whether it counts is tested when it is asked for.
+    ring = [r for r in ring[:-1] if r[0] >= newest - RING_S][-RING + 1 :] + ring[-1:] if newest is not None else ring
+    if ring:
+        state.update(tuple(list(c) for c in zip(*ring, strict=True)))
+    yield pd.DataFrame(out, columns=names).astype({"seen": "Int64", "last": "Int64"})
+
+
+def displays(rows: DataFrame) -> DataFrame:
+    """Stream of (veh, event_id, t, seen, last): for each question the newest forecast of its vehicle that was on display.
+
+    rows is one stream of both: forecasts (asks false; seen at t, shown until last) and questions (asks true). A key's state holds RING forecasts at
+    most. Questions that come after later ones are answered as of their own time, as far as the ring reaches back."""
+    kept = rows.select("veh", "event_id", "t", "asks", F.coalesce(F.col("last").cast("long"), F.lit(0)).alias("last"))
+    return kept.groupBy("veh").applyInPandasWithState(
+        _displays, "veh long, event_id long, t long, seen long, last long", "seen array<long>, ids array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def hourly_counts(reports: DataFrame, late: str = "1 hour") -> DataFrame:
     """Stream of counts by stop and hour of event time, closed by a watermark; `ts` is a timestamp."""
     return reports.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "stop").agg(F.count("*").alias("n"))
