@@ -454,8 +454,8 @@ def test_network_learns_and_is_calibrated():
 def test_vectors_of_words_in_like_contexts_are_alike(spark):
     rng = np.random.default_rng(1)
     texts = [(" ".join(f"{rng.choice(['red', 'blue'])} {rng.choice(['paint', 'car', 'door'])} {rng.choice(['seven', 'eight'])} {rng.choice(['apples', 'miles', 'years'])}" for _ in range(60)),) for _ in range(60)]
-    v = quality_classifier.word_vectors(spark.createDataFrame(texts, "text string"))
-    at = {w: v[quality_classifier.word_rows(w)[0][0]] for w in ("red", "blue", "seven", "eight")}
+    held = {r.h: np.frombuffer(r.v, np.float32) for r in quality_classifier.word_vectors(spark.createDataFrame(texts, "text string")).collect()}
+    at = {w: held[int(hashed_words(w.encode())[0].view(np.int64)[0])] for w in ("red", "blue", "seven", "eight")}
     like = lambda a, b: float(at[a] @ at[b] / np.linalg.norm(at[a]) / np.linalg.norm(at[b]))
     assert min(like("red", "blue"), like("seven", "eight")) > 0.9 > max(like("red", "seven"), like("blue", "eight"))
 
