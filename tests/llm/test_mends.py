@@ -13,7 +13,6 @@ import pytest
 
 from test_operators import WORD, plain_spans, union_find
 from tramline.llm import ngram_join, pii, quality_classifier, url_filters
-from tramline.llm.common import hashed_words
 from tramline.llm.labelled import labelled_sample, unlabelled_sample
 
 
@@ -160,41 +159,22 @@ def test_urls_over_many_cuts(spark):
         assert found[host, path] == (max(fits)[2] if fits else None), (host, path)
 
 
-def plain_vectors(texts):
-    """Sum of the index vectors of the two words on either side of each place of a word."""
-    out, count = {}, Counter()
-    for t in texts:
-        w = (t or "").split()
-        index = quality_classifier.index_vectors(np.array([hashed_words(x.encode())[0][0] for x in w], np.uint64)).astype(int)
-        for i, x in enumerate(w):
-            near = [index[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(w)]
-            out[x] = out.get(x, 0) + sum(near, np.zeros(quality_classifier.DIM, int))
-            count[x] += 1
-    return out, count
-
-
-def test_word_vectors_and_pooling_are_those_of_a_plain_version(spark, monkeypatch):
-    """Every word has its own vector, added up over groups, flushes and tasks; frequent or not, it counts alike in a document."""
-    monkeypatch.setattr(quality_classifier, "WORDS", 50)
-    monkeypatch.setattr(quality_classifier, "HELD", 40)
+def test_word_vectors_are_those_of_a_plain_version(spark):
+    """Each row of words, and of endings, adds up the index vectors of its words' neighbours, none of them of another text."""
     rng = random.Random(7)
     texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(40))) for _ in range(80)] + [None, "", "alone"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    vectors = quality_classifier.word_vectors(df)
-    want, count = plain_vectors(texts)
-    found = {r.h: (r.n, np.frombuffer(r.v, np.float32)) for r in vectors.collect()}
-    named = {int(hashed_words(w.encode())[0].view(np.int64)[0]): w for w in want}
-    assert found.keys() == named.keys()
-    unit = {w: v / max(1e-9, np.linalg.norm(v)) for w, v in want.items()}
-    for h, w in named.items():
-        assert found[h][0] == count[w] and np.allclose(found[h][1], unit[w], atol=1e-6)
-    for most in (0, 7, 10_000):
-        rows = quality_classifier.pooled(df, vectors, quality_classifier._common(vectors, most), "p").toPandas()
-        x = quality_classifier.features(rows)
-        for d, row in zip(rows.doc_id, x, strict=True):
-            w = (texts[d] or "").split()
-            assert np.allclose(row[: quality_classifier.DIM], sum((unit[k] for k in w), np.zeros(quality_classifier.DIM)) / max(1, len(w)), atol=1e-6)
-            assert abs(row[quality_classifier.DIM] - np.log1p(len(w))) < 1e-9
+    got = quality_classifier.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    want = np.zeros((quality_classifier.BUCKETS, quality_classifier.DIM))
+    for t in texts:
+        whole, ends, h = quality_classifier.word_rows(t)
+        index = quality_classifier.index_vectors(h).astype(int)
+        for i in range(len(h)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(h):
+                    want[whole[i]] += index[j]
+                    want[ends[i]] += index[j]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(got, want - want.mean(0), atol=1e-6) and (np.abs(want).sum(1) > 0).sum() > 300
 
 
 def test_word_pattern_is_the_contracts():

@@ -1,13 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Every word has a sparse random index vector that follows from its hash alone, and a word vector: the sum of the index vectors of its
-neighbours (two words on either side) over all its places in the corpus, scaled to length 1. Tasks add up the words of many texts before anything
-is shuffled; the partial sums meet by word, in sorted streams, and the table of all words' vectors is written.
+Every word has a sparse random index vector that follows from its hash alone. Word vectors are kept for BUCKETS rows, half of them for hashes of whole words and
+half for those of their last three bytes (which tell shape and script): a row's vector is the sum of the index vectors of the neighbouring words (two on either
+side) over all places of its words in the corpus. The sums are taken in Spark: each task adds up its own table of fixed size, tables are cut into CHUNKS and added chunk by
+chunk as they stream in, so neither memory nor what reaches the driver (one table) grows with the corpus. A row for each word was built and measured; see the README.
 
-A document is the mean of its words' vectors and four measures of the text (words, distinct share, letters' case, marks). The vectors of the COMMON most frequent words go to the
-tasks, which add them up as they read the texts; every other word is joined with the table by its hash, and what it adds is summed by document. So each word counts with
-its own vector whatever the vocabulary, and the bound changes cost and not scores. A network of two layers learns from a bounded sample of
-MOST labelled rows; a fifth of it sets the temperature that calibrates its probabilities.
+A document is the mean of its words' unit vectors, for whole words and endings, and four measures of the text
+(words, distinct share, letters' case, marks). A network of two layers learns from a bounded sample of
+MOST labelled rows; a fifth of it sets the temperature that calibrates its probabilities. Two scans.
 
 Defined cases: null and empty texts pool to zero and are scored as such; a null id counts as an empty text where crc32 deals
 rows to folds; repeated rows score alike, and rows that repeat an id each by their own text; empty
@@ -24,192 +24,102 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import hashed_words, ids_as_text, mix64, remainder, short_batches, stored, table, trimmed
+from tramline.llm.common import hashed_words, ids_as_text, mix64, remainder, short_batches, table
 from tramline.llm.labelled import labelled_sample
 
-#: Width of a vector; words whose vectors go to the tasks; labelled rows; hidden units.
-DIM, COMMON, MOST, HIDDEN, SEED = 32, 50_000, 20_000, 32, 20
-#: Words handled at once, and distinct words that a task holds before it hands their sums on.
-WORDS, HELD = 150_000, 250_000
-MEASURES = 4
-_U = np.uint64
+BUCKETS, DIM, CHUNKS, MOST, HIDDEN, SEED = 8192, 32, 64, 20_000, 32, 20
+_PAD = b"  "
 
 
 def index_vectors(h: np.ndarray) -> np.ndarray:
     """A sparse row for each word's hash: four places (which may coincide) are raised or lowered by 1."""
     out = np.zeros((len(h), DIM), np.int16)
-    each, bits = np.arange(len(h)), mix64(h ^ _U(SEED))
+    each, bits = np.arange(len(h)), mix64(h ^ np.uint64(SEED))
     for k in range(4):
-        part = bits >> _U(16 * k)
-        out[each, (part & _U(DIM - 1)).astype(np.int64)] += np.where(part & _U(1 << 10), 1, -1).astype(np.int16)
+        part = bits >> np.uint64(16 * k)
+        out[each, (part & np.uint64(DIM - 1)).astype(np.int64)] += np.where(part & np.uint64(1 << 10), 1, -1).astype(np.int16)
     return out
 
 
-def _summed(h: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of equal hashes added up, in the order of hashes."""
-    if not len(h):
-        return h, n, v
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(n[order], first), np.add.reduceat(v[order], first, axis=0)
-
-
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and sums of the neighbours' index vectors of the words of some texts (their words' hashes in order)."""
-    whole = np.concatenate(texts) if texts else np.empty(0, _U)
-    uniq, at = np.unique(whole, return_inverse=True)
-    rows = np.concatenate((index_vectors(uniq), np.zeros((1, DIM), np.int16)))
-    # Two empty places after each text, and before the first, so that no word is a neighbour of another text's.
-    sizes = np.array([len(t) for t in texts], np.int64)
-    place = np.arange(len(whole)) + 2 + 2 * np.repeat(np.arange(len(texts)), sizes)
-    line = np.full(len(whole) + 2 * len(texts) + 4, len(uniq))
-    line[place] = at
-    v = rows[line]
-    near = v[place - 2] + v[place - 1] + v[place + 1] + v[place + 2]
-    return _summed(whole, np.ones(len(whole), np.int64), near.astype(np.int32))
-
-
-def _groups(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
-    """Words' hashes of texts, in groups of about WORDS words."""
-    held, size = [], 0
-    for text in texts:
-        held.append(hashed_words((text or "").encode("utf-8", "surrogatepass"))[0])
-        size += len(held[-1])
-        if size > WORDS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-_SUMS = "h long, n long, v binary"
-
-
-def _rows(h: np.ndarray, n: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"h": h.view(np.int64), "n": n, "v": [x.tobytes() for x in v]})
-
-
-def _partial(h: np.ndarray, n: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """Sums of one task, in 32 bits: it would take half a billion places of one word to pass them."""
-    return _rows(h, n, v.astype(np.int32))
-
-
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def word_rows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the words (first half of the table) and of their last three bytes (second half), and the words' hashes."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    h, _ = hashed_words(raw)
+    half = np.uint64(BUCKETS // 2)
+    whole = (h % half).astype(np.int64)
+    b = np.frombuffer(_PAD + raw + b" ", np.uint8).astype(np.int64)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    last = np.flatnonzero(~space[:-1] & space[1:])
+    code = b[last] | np.where(space[last - 1], 0, b[last - 1]) << 8 | np.where(space[last - 1] | space[last - 2], 0, b[last - 2]) << 16
+    ends = (mix64(code.astype(np.uint64)) % half).astype(np.int64) + BUCKETS // 2
+    return whole, ends, h
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros((BUCKETS, DIM))
+
+    def add(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        gap = np.full(2, BUCKETS)
+        whole, ends = (np.concatenate([x for r in rows for x in (r[k], gap)]) for k in (0, 1))
+        words, at = np.unique(np.concatenate([h for _, _, h in rows]), return_inverse=True)
+        index = np.concatenate((index_vectors(words), np.zeros((1, DIM), np.int16)))
+        line = np.full(len(whole) + 2, len(words))
+        line[2:][whole < BUCKETS] = at
+        v = index[line]
+        near = v[:-4] + v[1:-3] + v[3:-1] + v[4:]
+        n = len(near)
+        for place in (whole[:n], ends[:n]):
+            for d in range(DIM):
+                total[:, d] += np.bincount(place, near[:, d], minlength=BUCKETS + 1)[:BUCKETS]
 
     for batch in batches:
-        for group in _groups(batch.text):
-            held.append(contexts(group))
-            if sum(len(h) for h, _, _ in held) > HELD:
-                held = [joined()]
-                if len(held[0][0]) > HELD // 2:
-                    yield _partial(*held.pop())
-    if held:
-        yield _partial(*joined())
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        rows, size = [], 0
+        for text in batch.text:
+            rows.append(word_rows(text))
+            size += len(rows[-1][0])
+            if size > 200_000:
+                add(rows)
+                rows, size = [], 0
+        if rows:
+            add(rows)
+    step = BUCKETS // CHUNKS
+    yield pd.DataFrame({"chunk": range(CHUNKS), "sums": [total[k * step : (k + 1) * step].tobytes() for k in range(CHUNKS)]})
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums in the order of hashes; the last hash of a batch may go on in the next."""
-    last: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, _U), np.empty(0, np.int64), np.empty((0, DIM), np.int64))
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        if not len(batch):
-            continue
-        v = np.frombuffer(b"".join(batch.v), np.int32).reshape(-1, DIM).astype(np.int64)
-        new = (batch.h.to_numpy(np.int64).view(_U), batch.n.to_numpy(np.int64), v)
-        h, n, v = (np.concatenate(x) for x in zip(last, new, strict=True))
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        n, v, h = np.add.reduceat(n, first), np.add.reduceat(v, first, axis=0), h[first]
-        last = (h[-1:], n[-1:], v[-1:])
-        yield _rows(h[:-1], n[:-1], _unit(v[:-1]))
-    yield _rows(last[0], last[1], _unit(last[2]))
-
-
-def word_vectors(docs: DataFrame) -> DataFrame:
-    """Stored h (the word's hash), n (its places in the corpus) and v (its unit vector, DIM numbers of 32 bits) of every word."""
-    parts = short_batches(docs.select("text")).mapInPandas(trimmed(_counted), _SUMS)
-    return stored(parts.repartition("h").sortWithinPartitions("h").mapInPandas(trimmed(_added), _SUMS), "vectors")
-
-
-def measures(text: str, words: np.ndarray) -> tuple[float, float, float, float]:
-    """Logarithm of the number of words, share of distinct ones, of capitals, and of marks; zeros without words."""
-    if not len(words):
-        return 0.0, 0.0, 0.0, 0.0
+        for chunk, raw in zip(batch.chunk, batch.sums, strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, np.float64)
+    yield pd.DataFrame({"chunk": list(sums), "sums": [v.tobytes() for v in sums.values()]})
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit word vectors of all rows, centred, from the contexts in all texts."""
+    kind = "chunk int, sums binary"
+    parts = short_batches(docs.select("text")).mapInPandas(_contexts, kind)
+    sums = parts.repartition(CHUNKS, "chunk").mapInPandas(_added, kind).collect()
+    table_ = np.zeros((BUCKETS, DIM))
+    step = BUCKETS // CHUNKS
+    for r in sums:
+        table_[r.chunk * step : (r.chunk + 1) * step] += np.frombuffer(r.sums, np.float64).reshape(step, DIM)
+    table_ /= np.maximum(np.linalg.norm(table_, axis=1, keepdims=True), 1e-9)
+    return (table_ - table_.mean(0)).astype(np.float32)
+
+
+def features(text: str | None, vectors: np.ndarray) -> np.ndarray:
+    whole, ends, _ = word_rows(text)
+    out = np.zeros(2 * DIM + 4, np.float32)
+    if not len(whole):
+        return out
+    share = len(np.unique(whole)) / min(len(whole), BUCKETS // 2)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     upper = ((b >= 65) & (b <= 90)).mean()
     marks = (((b > 32) & (b < 48)) | ((b > 57) & (b < 65)) | ((b > 122) & (b < 127))).mean()
-    return float(np.log1p(len(words))), len(np.unique(words)) / len(words), float(upper), float(marks)
-
-
-def _pooled(common: tuple[np.ndarray, np.ndarray]) -> Callable:
-    """What the frequent words of a text add up to, how many words it has, its measures, and its other words' hashes with their counts."""
-    hashes, vectors = common
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch.text:
-                h = hashed_words((text or "").encode("utf-8", "surrogatepass"))[0]
-                spot = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                known = hashes[spot] == h if len(hashes) else np.zeros(len(h), bool)
-                total = vectors[spot[known]].sum(0, dtype=np.float64) if known.any() else np.zeros(DIM)
-                rare, many = np.unique(h[~known], return_counts=True)
-                out.append((total.tobytes(), len(h), list(measures(text or "", h)), rare.view(np.int64), many))
-            made = pd.DataFrame(out, columns=["total", "size", "traits", "rare", "many"])
-            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), made], axis=1)
-
-    return trimmed(run)
-
-
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of the vectors of rare words by document, in the order of documents; the last one of a batch may go on in the next."""
-    last, total = None, np.zeros(DIM)
-    for batch in batches:
-        out = []
-        for key, many, raw in zip(batch["key"], batch["many"], batch["v"], strict=True):
-            if key != last:
-                out += [(last, total.tobytes())] if last is not None else []
-                last, total = key, np.zeros(DIM)
-            total = total + many * np.frombuffer(raw, np.float32)
-        yield pd.DataFrame(out, columns=["key", "more"])
-    yield pd.DataFrame([(last, total.tobytes())] if last is not None else [], columns=["key", "more"])
-
-
-def _common(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and vectors of the `most` most frequent words."""
-    rows = vectors.orderBy(F.desc("n"), "h").limit(most).select("h", "v").toPandas()
-    h = rows["h"].to_numpy(np.int64).view(_U)
-    order = np.argsort(h)
-    return h[order], np.frombuffer(b"".join(rows["v"]), np.float32).reshape(-1, DIM)[order]
-
-
-def pooled(rows: DataFrame, vectors: DataFrame, common: tuple[np.ndarray, np.ndarray], label: str) -> DataFrame:
-    """rows without their text, and total and more (sums over frequent and other words; null where there are none), size and traits."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    made = short_batches(rows).mapInPandas(_pooled(common), f"{kinds}, total binary, size long, traits array<double>, rare array<long>, many array<long>")
-    # Keys are of the written rows, so they stay what they are when a task runs again.
-    held = stored(made.withColumn("key", F.monotonically_increasing_id()), label)
-    rare = held.select("key", F.explode(F.arrays_zip("rare", "many")).alias("r")).select("key", F.col("r.rare").alias("h"), F.col("r.many").alias("many"))
-    met = rare.join(vectors.select("h", "v"), "h").select("key", "many", "v")
-    sums = met.repartition("key").sortWithinPartitions("key").mapInPandas(trimmed(_gathered), "key long, more binary")
-    return held.drop("rare", "many").join(sums, "key", "left")
-
-
-def features(batch: pd.DataFrame) -> np.ndarray:
-    """Mean vector and measures of each row of pooled()."""
-    x = np.zeros((len(batch), DIM + MEASURES))
-    for k, (total, more, size, traits) in enumerate(zip(batch.total, batch.more, batch["size"], batch.traits, strict=True)):
-        both = np.frombuffer(total, np.float64) + (np.frombuffer(more, np.float64) if more is not None else 0)
-        x[k, :DIM] = both / max(1, size)
-        x[k, DIM:] = traits
-    return x
+    out[:DIM] = np.bincount(whole, minlength=BUCKETS // 2) @ vectors[: BUCKETS // 2] / len(whole)
+    out[DIM : 2 * DIM] = np.bincount(ends - BUCKETS // 2, minlength=BUCKETS // 2) @ vectors[BUCKETS // 2 :] / len(ends)
+    out[2 * DIM :] = np.log1p(len(whole)), share, upper, marks
+    return out
 
 
 class Network:
@@ -251,24 +161,31 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.heat, -50, 50)))
 
 
-def _scorer(network: Network) -> Callable:
+def _pooled(vectors: np.ndarray) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"x": [features(t, vectors).tobytes() for t in batch.text], "label": batch.label.to_numpy()})
+
+    return run
+
+
+def _scorer(vectors: np.ndarray, network: Network) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "score": network.scores(features(batch)) if len(batch) else []})
+            x = np.array([features(t, vectors) for t in batch.text]).reshape(len(batch), -1)
+            yield pd.DataFrame({"doc_id": batch.doc_id, "score": network.scores(x) if len(x) else []})
 
-    return trimmed(run)
+    return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, usable: Callable, common: int = COMMON) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, usable: Callable) -> DataFrame:
     """doc_id and score of every document: 0 to 1, higher for likelier good."""
     vectors = word_vectors(docs)
-    frequent = _common(vectors, common)
     sample = labelled_sample(docs, labels, "quality", usable, MOST)
-    # MOST rows of a bounded size: this is what the network learns from.
-    rows = pooled(sample.select("text", "label"), vectors, frequent, "sample").toPandas()
-    network = Network(features(rows), rows["label"].to_numpy(np.float64))
-    held = pooled(ids_as_text(docs.select("doc_id", "text")), vectors, frequent, "pooled")
-    made = held.mapInPandas(_scorer(network), "doc_id string, score double")
+    rows = short_batches(sample).select("text", "label").mapInPandas(_pooled(vectors), "x binary, label int").collect()
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM + 4)
+    network = Network(x, np.array([r.label for r in rows], np.float64))
+    made = short_batches(ids_as_text(docs.select("doc_id", "text"))).mapInPandas(_scorer(vectors, network), "doc_id string, score double")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
