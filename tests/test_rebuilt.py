@@ -7,7 +7,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tramline.operators import cuts, tracks
+from tramline.operators import bootstrap, cuts, tracks
 from tramline.operators.joins import on_display
 from tramline.streaming import detect
 
@@ -71,3 +71,92 @@ def test_displays_equal_the_batch_join(spark, tmp_path, monkeypatch):
     shown = table.where("NOT asks").select("veh", "event_id", F.col("t").alias("seen"), "last")
     batch = on_display(table.where("asks").select("veh", "event_id", "t"), shown, ["veh"], "t", detect.GRACE_S)
     assert found == {(r.event_id, r.seen, r["last"]) for r in batch.collect()} and len({f[1] for f in found}) > 50
+
+
+def test_day_shares(spark):
+    rng = random.Random(8)
+    rows = [(key, 100 + d, rng.choice((0, 1, 5, 40)), 0) for key in range(5) for d in range((1, 2, 7, 30, 3)[key])] + [(9, 1, 0, 0), (9, 2, 0, 0)]
+    rows = [(k, d, n, rng.randrange(n + 1)) for k, d, n, _ in rows]
+    found = {r.key: (r.share, r.low, r.high) for r in bootstrap.day_shares(spark.createDataFrame(rows, "key long, day long, n long, hit long").repartition(3), ["key"], 60).collect()}
+    slots = spark.range(60).selectExpr("CAST(id AS INT) AS b", "explode(sequence(1, 30)) AS s")
+    place = {(r.b, r.s, r.d): r.p for r in slots.select("b", "s", F.explode(F.sequence(F.lit(2), F.lit(30))).alias("d")).withColumn("p", bootstrap.drawn(F.col("b"), F.col("s"), F.col("d"))).collect()}
+    assert {place[b, s, 7] for b in range(60) for s in range(1, 8)} == set(range(1, 8))
+    for key in {r[0] for r in rows}:
+        days = sorted(r[1:] for r in rows if r[0] == key)
+        n = sum(d[1] for d in days)
+        sims = []
+        for b in range(60 if len(days) > 1 else 0):
+            pick = [days[place[b, s, len(days)] - 1] for s in range(1, len(days) + 1)]
+            if sum(p[1] for p in pick):
+                sims.append(sum(p[2] for p in pick) / sum(p[1] for p in pick))
+        sims.sort()
+        ends = (sims[int(0.025 * len(sims))], sims[max(0, int(0.975 * len(sims)) - 1)]) if sims else (None, None)
+        assert found[key] == (sum(d[2] for d in days) / n if n else None, *ends)
+
+
+def fleet_log(seed, seconds=9000):
+    """Reports of three routes every 30 seconds or so, with vehicles that pause, leave and come."""
+    rng, rows = random.Random(seed), []
+    for route in ("a", "b", "c"):
+        for veh in range(5):
+            t = rng.randrange(0, 3000)
+            while t < seconds:
+                until = t + rng.randrange(100, 2500)
+                while t < min(until, seconds):
+                    rows.append((route, veh, t // 10 * 10))
+                    t += rng.choice((20, 30, 60, 200))
+                t += rng.choice((300, 590, 600, 900, 2500))
+    return sorted(rows, key=lambda r: r[2])
+
+
+def plain_changes(rows):
+    """Second by second, from the whole past of the log."""
+    out = set()
+    for route in {r[0] for r in rows}:
+        times = {}
+        for r, veh, t in rows:
+            if r == route:
+                times.setdefault(veh, []).append(t)
+        since = min(t for ts in times.values() for t in ts)
+        stays = {}  # veh: (first, last, when it counts) of each stay
+        for veh, ts in times.items():
+            ts = sorted(ts)
+            cuts = [0, *[i for i in range(1, len(ts)) if ts[i] - ts[i - 1] >= detect.LEFT_S], len(ts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                stay = ts[a:b]
+                counts = next((t for i, t in enumerate(stay) if t - stay[0] >= detect.ADD_S and i + 1 >= detect.ADD_REPORTS), None)
+                stays.setdefault(veh, []).append((stay, counts))
+
+        def running(veh, at, strictly):
+            """Others that count and were seen within LEFT_S; of stays that begin to count at that second those of lesser vehicles."""
+            many = 0
+            for other, held in stays.items():  # noqa: B023
+                for stay, counts in held:
+                    seen = [t for t in stay if t <= at]
+                    started = counts is not None and (counts < at or (counts == at and not strictly and other < veh))
+                    many += other != veh and started and bool(seen) and at - seen[-1] < detect.LEFT_S
+            return many
+
+        for veh, held in stays.items():
+            for stay, counts in held:
+                if counts is None:
+                    continue
+                many = running(veh, counts, False)
+                if many and stay[0] >= since + detect.ADD_S:
+                    out.add((route, "add", veh, stay[0], many, many + 1))
+                many = running(veh, stay[-1] + detect.LEFT_S, True)
+                if many:
+                    out.add((route, "drop", veh, stay[-1], many + 1, many))
+    return out
+
+
+def test_fleet_changes_of_a_stream(spark, tmp_path):
+    rows = fleet_log(4)
+    for part in range(5):
+        spark.createDataFrame(rows[part * len(rows) // 5 : (part + 1) * len(rows) // 5], "route string, veh long, t long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("route string, veh long, t long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = {tuple(r) for r in detect.replay(spark, detect.fleet_changes(source), str(tmp_path)).collect()}
+    sure = max(r[2] for r in rows) - 1500
+    want = {w for w in plain_changes(rows) if w[3] < sure}
+    assert {f for f in found if f[3] < sure} == want
+    assert {w[1] for w in want} == {"add", "drop"} and len(want) > 12

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tramline.functions.scalars import ZONE, daypart, hour_of_week, local, metres, service_day
 from tramline.functions.spelling import spelling
 from tramline.operators import geometry
+from tramline.operators.bootstrap import day_shares
 from tramline.operators.cuts import running
 from tramline.operators.joins import asof, near, on_display, overlaps, shown_to_bus
 from tramline.operators.lineage import shared_folder
@@ -263,6 +264,14 @@ def stream_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.replay(spark, detect.displays(rows), shared_folder(spark))
 
 
+@_add()
+def stream_fleet_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles that come to a route or leave it while others run there, from a stream replayed over the stored log."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
+    reports = source.select(F.col("event_type").alias("route"), F.col("user_id").alias("veh"), seconds(F.col("ts")).alias("s"))
+    return detect.replay(spark, detect.fleet_changes(reports.select("route", "veh", F.expr("s div 144").alias("t"))), shared_folder(spark))
+
+
 #: Misspelt names: a letter left out, neighbours swapped, a key beside, a letter doubled.
 MISSPELT = ("patr 333", "smlal ring", "red widgt", "bkue bolt", "hott gear")
 
@@ -303,16 +312,10 @@ def ridge_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add()
 def day_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of high values by line with an interval over resampled whole days (Poisson weights from hashes, 200 draws)."""
+    """Share of high values by line, with an interval over whole days drawn with replacement (200 draws)."""
     e = events(spark, sf_dir)
     days = e.groupBy((F.col("veh") % 10).alias("line"), F.floor(F.col("t") / 86400).alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("hit"))
-    draw = days.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    u = (F.xxhash64("day", "b").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    each = draw.withColumn("w", weight).groupBy("line", "b").agg((F.sum(F.col("w") * F.col("hit")) / F.sum(F.col("w") * F.col("n"))).alias("share"))
-    ends = each.groupBy("line").agg(F.round(F.percentile("share", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("share", F.lit(0.975)), 6).alias("high"))
-    point = days.groupBy("line").agg(F.round(F.sum("hit") / F.sum("n"), 6).alias("share"))
-    return point.join(ends, "line")
+    return day_shares(days, ["line"]).select("line", *[F.round(c, 6).alias(c) for c in ("share", "low", "high")])
 
 
 @_add()

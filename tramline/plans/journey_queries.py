@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import alignment, clusters, corrections, forecasts, geometry, planning
+from tramline.operators import alignment, clusters, corrections, forecasts, geometry, planning, rebuilt
 from tramline.operators.cuts import numbered
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, table
@@ -239,3 +239,22 @@ def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select("route").distinct().select("route", order).withColumn("stop", F.when(ends, 0).otherwise(F.col("idx")))
     found = forecasts.forecast_table(arrivals, shown, lines, 300, 3600)
     return found.select("id", "t", "rank", "next_trip", "stops_away", "lead", "status", "error")
+
+
+@_add(
+    "p AS (SELECT event_id AS id, veh, k % 2 AS trip, stop, t // 40 AS seen, t // 40 + k * 10 AS last, (t // 40 + k * 10 + 90) // 30 * 30 AS lapse FROM e), "
+    "q AS (SELECT *, CASE WHEN seen % 30 = 0 THEN seen ELSE (seen // 30 + 1) * 30 END AS a FROM p), "
+    "n AS (SELECT *, lead(a) OVER (PARTITION BY veh, trip, stop ORDER BY seen, id) AS nxt FROM q), s AS (SELECT veh, trip, stop, a, least(lapse, coalesce(nxt - 30, lapse)) AS b, id FROM n), "
+    "v AS (SELECT * FROM s WHERE b >= a), g AS (SELECT DISTINCT (CASE WHEN (t // 40) % 30 = 0 THEN t // 40 ELSE (t // 40 // 30 + 1) * 30 END) AS t FROM e WHERE stop = 'error') "
+    "SELECT g.t, veh, trip, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM g JOIN v ON g.t BETWEEN a AND b GROUP BY g.t, veh, trip"
+)
+def feeds_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries each vehicle's trip showed at the poll after every error in the log, from the spans of all entries."""
+    at = F.expr("t div 40")
+    log = events(spark, sf_dir).select(F.col("event_id").alias("id"), "veh", (F.col("k") % 2).alias("trip"), "stop", at.alias("seen"), (at + F.col("k") * 10).alias("last"), at.alias("made"), F.col("event_id").alias("entry"), F.lit(1).alias("seq"))
+    held = rebuilt.spans(log, ["veh", "trip", "stop"], ["entry", "seq"])
+    snaps = rebuilt.snapshots(held, ["veh", "trip"], "seq", ["stop", "entry"])
+    polls = events(spark, sf_dir).where("stop = 'error'").select((F.ceil(F.expr("t div 40") / 30) * 30).alias("t")).distinct()
+    shown = rebuilt.shown_at_polls(polls, snaps)
+    ids = F.aggregate("entries", F.lit(0).cast("long"), lambda n, x: n + x["entry"])
+    return shown.select("t", "veh", "trip", F.size("entries").cast("long").alias("n"), ids.alias("ids"))

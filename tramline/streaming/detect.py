@@ -68,6 +68,84 @@ def silences(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.groupBy("veh").applyInPandasWithState(_silence, "veh long, last_t long", "t long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: A new vehicle counts on a route after so many seconds and reports there; one without a report for LEFT_S has left it.
+ADD_S, ADD_REPORTS, LEFT_S = 300, 3, 600
+
+
+class Fleet:
+    """The vehicles of one route: when each was first and last seen there, how often, and whether it counts.
+
+    Seconds are taken in order. A vehicle is due to leave LEFT_S after its last report; what is due by a second is settled before that second's reports. Changes are rows (kind, veh, t, before, after): t is the last report of one that left, the first of one that came."""
+
+    def __init__(self, held: dict[int, list] | None = None, now: int | None = None, since: int | None = None) -> None:
+        self.held, self.now, self.since = held or {}, now, since
+        self.out: list[tuple[str, int, int, int, int]] = []
+
+    def others(self, veh: int, at: int) -> int:
+        """Counted vehicles but this one that were seen in the LEFT_S seconds up to a time."""
+        return sum(member and v != veh and at - last < LEFT_S for v, (_, last, _, member) in self.held.items())
+
+    def settle(self, until: int) -> None:
+        """All that is due by a time."""
+        for due, veh in sorted((last + LEFT_S, v) for v, (_, last, _, _) in self.held.items() if last + LEFT_S <= until):
+            many = self.others(veh, due)
+            if self.held[veh][3] and many:
+                self.out.append(("drop", veh, due - LEFT_S, many + 1, many))
+            self.held[veh][3] = False
+        self.held = {v: x for v, x in self.held.items() if x[1] + LEFT_S > until}
+
+    def report(self, at: int, vehicles: list[int]) -> None:
+        """The reports of one second."""
+        if self.now is not None and at < self.now:
+            return
+        self.settle(at)
+        self.now = at
+        for veh in sorted(vehicles):
+            first, _, n, member = self.held.get(veh, (at, at, 0, False))
+            self.held[veh] = [first, at, n + 1, member]
+        for veh in sorted(set(vehicles)):
+            first, last, n, member = self.held[veh]
+            if not member and last - first >= ADD_S and n >= ADD_REPORTS:
+                many = self.others(veh, at)
+                self.held[veh][3] = True
+                if many and (self.since is None or first >= self.since + ADD_S):
+                    self.out.append(("add", veh, first, many, many + 1))
+
+
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held, now, since = None, None, None
+    if state.exists:
+        vehicles, first, last, n, member, now, since = state.get
+        held = {v: list(x) for v, *x in zip(vehicles, first, last, n, member, strict=True)}
+    fleet = Fleet(held, now, since)
+    if state.hasTimedOut:
+        fleet.settle(state.getCurrentWatermarkMs() // 1000 - 1)
+    else:
+        rows = pd.concat(batches)
+        for at, group in rows.sort_values(["t", "veh"]).groupby("t")["veh"]:
+            if fleet.since is None:
+                fleet.since = int(at)
+            fleet.report(int(at), group.tolist())
+    if fleet.held:
+        columns = list(zip(*((v, *x) for v, x in sorted(fleet.held.items())), strict=True))
+        state.update((*[list(c) for c in columns], fleet.now, fleet.since))
+        due = (min(x[1] for x in fleet.held.values()) + LEFT_S + 1) * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.update(([], [], [], [], [], fleet.now, fleet.since))
+    yield pd.DataFrame([(key[0], *x) for x in fleet.out], columns=["route", "kind", "veh", "t", "before", "after"])
+
+
+def fleet_changes(reports: DataFrame, late: str = "2 minutes") -> DataFrame:
+    """Stream of (route, kind, veh, t, before, after): vehicles that come to a route or leave it while others run there; reports have route, veh and t.
+
+    Vehicles seen in the first ADD_S seconds of a route's stream count as already there. A leave is known when the route's own later reports, or the stream's
+    clock (a watermark), have passed it; a route that falls silent as a whole has no leaves. The state is a route's vehicles of the last LEFT_S seconds."""
+    timed = reports.where("veh IS NOT NULL AND t IS NOT NULL").select("route", "veh", "t", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", late)
+    state = "vehicles array<long>, first array<long>, last array<long>, n array<long>, member array<boolean>, now long, since long"
+    return timed.groupBy("route").applyInPandasWithState(_changes, "route string, kind string, veh long, t long, before long, after long", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 #: Shown forecasts that a key's state holds at most, and how old (event time, seconds) they may grow; a forecast still shown so long after its poll counts.
 RING, RING_S, GRACE_S = 400, 7200, 90
 
