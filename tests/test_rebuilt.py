@@ -160,3 +160,60 @@ def test_fleet_changes_of_a_stream(spark, tmp_path):
     want = {w for w in plain_changes(rows) if w[3] < sure}
     assert {f for f in found if f[3] < sure} == want
     assert {w[1] for w in want} == {"add", "drop"} and len(want) > 12
+
+
+def visit_log(seed):
+    rng, rows, t = random.Random(seed), [], 0
+    for veh in range(6):
+        t, trip = rng.randrange(50), 1
+        while t < 8000:
+            stop = rng.choice([None, 1, 2, 3])
+            for _ in range(rng.randrange(1, 5)):
+                trip += rng.random() < 0.1
+                rows.append((veh, len(rows), trip if rng.random() < 0.9 else None, stop, t))
+                t += rng.choice((0, 20, 40, 120, 121, 400))
+    return sorted(rows, key=lambda r: (r[4], r[1]))
+
+
+def plain_visits(rows):
+    """Stretches of reports at one stop without a gap over two minutes."""
+    out = set()
+    for veh in {r[0] for r in rows}:
+        own, k = [r for r in rows if r[0] == veh], 0
+        while k < len(own):
+            j = k
+            while j + 1 < len(own) and own[j + 1][3] == own[k][3] and own[j + 1][4] - own[j][4] <= detect.SILENT_S:
+                j += 1
+            if own[k][3] is not None:
+                silent = j + 1 == len(own) or own[j + 1][4] - own[j][4] > detect.SILENT_S
+                out.add((veh, own[k][3], own[k][2], own[k][4], own[j][4] - own[k][4], not silent, own[j][2] != own[k][2]))
+            k = j + 1
+    return out
+
+
+def test_visits_of_a_stream(spark, tmp_path):
+    rows = visit_log(5)
+    kind = "veh long, event_id long, trip long, stop long, t long"
+    for part in range(5):
+        spark.createDataFrame(rows[part * len(rows) // 5 : (part + 1) * len(rows) // 5], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = [tuple(r) for r in detect.replay(spark, detect.visits(source), str(tmp_path)).collect()]
+    sure = max(r[4] for r in rows) - 1000
+    want = plain_visits(rows)
+    assert len(found) == len(set(found)) and set(found) <= want
+    assert {f for f in found if f[3] + f[4] < sure} == {w for w in want if w[3] + w[4] < sure}
+    assert any(w[6] for w in want) and {w[5] for w in want} == {True, False}
+
+
+def test_reports_at_stops(spark):
+    rng = random.Random(4)
+    stops = [(i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(20)]
+    lines = [(i % 3, i) for i in range(20)] + [(0, 1), (0, 1)]
+    reports = [(1, i, 1, rng.randrange(4), rng.uniform(-50, 950), rng.uniform(-50, 950), rng.choice([0.0, 0.5, None, 9.0]), i) for i in range(300)] + [(1, 300, 1, 0, None, 1.0, 0.0, 1)]
+    df = spark.createDataFrame(reports, "veh long, event_id long, trip long, route long, x double, y double, speed double, t long")
+    out = detect.at_stops(df, spark.createDataFrame(stops, "id long, x double, y double"), spark.createDataFrame(lines, "route long, stop long"))
+    want = {}
+    for _, i, _, route, x, y, speed, _ in reports:
+        near = [] if x is None or (speed or 0) > 1 else sorted((((x - sx) ** 2 + (y - sy) ** 2) ** 0.5, s) for s, sx, sy in stops if (route, s) in lines and (x - sx) ** 2 + (y - sy) ** 2 <= 3600)
+        want[i] = near[0][1] if near else None
+    assert {r.event_id: r.stop for r in out.collect()} == want and sum(s is not None for s in want.values()) > 5

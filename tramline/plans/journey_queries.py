@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import alignment, clusters, corrections, forecasts, geometry, planning, rebuilt
+from tramline.operators import alignment, clusters, corrections, forecasts, geometry, planning, rebuilt, service
 from tramline.operators.cuts import numbered
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, table
@@ -258,3 +258,56 @@ def feeds_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = rebuilt.shown_at_polls(polls, snaps)
     ids = F.aggregate("entries", F.lit(0).cast("long"), lambda n, x: n + x["entry"])
     return shown.select("t", "veh", "trip", F.size("entries").cast("long").alias("n"), ids.alias("ids"))
+
+
+_SPANS = "sp AS (SELECT veh % 12 AS route, t // 3600 * 3600 AS a, t // 3600 * 3600 + 1800 + k * 30 AS b FROM e WHERE stop = 'click' AND veh % 12 < 10)"
+
+
+def _spans(log: DataFrame) -> DataFrame:
+    start = F.expr("t div 3600 * 3600")
+    return log.where("stop = 'click'").select((F.col("veh") % 12).alias("route"), start.alias("a"), (start + 1800 + F.col("k") * 30).alias("b")).where("route < 10")
+
+
+@_add(
+    f"{_SPANS}, bu AS (SELECT event_id AS id, veh, k % 4 AS trip, veh % 13 AS route, t - k * 6 AS t, t AS now FROM e WHERE stop = 'view'), "
+    "pr AS (SELECT k % 4 AS trip, CASE WHEN k % 3 > 0 THEN veh END AS veh, t AS at FROM e WHERE stop = 'error' AND veh < 20) "
+    "SELECT id FROM bu WHERE now - t <= 300 AND route < 12 AND (EXISTS (SELECT 1 FROM sp WHERE sp.route = bu.route AND a <= now AND now < b) OR NOT EXISTS (SELECT 1 FROM sp WHERE sp.route = bu.route) "
+    "OR EXISTS (SELECT 1 FROM pr WHERE pr.trip = bu.trip AND (pr.veh IS NULL OR pr.veh = bu.veh) AND pr.at >= now - 60))"
+)
+def operating_buses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of the log whose vehicle is in service: reporting, on a known line, and scheduled or still forecast."""
+    log = events(spark, sf_dir)
+    k = F.col("k")
+    buses = log.where("stop = 'view'").select(F.col("event_id").alias("id"), "veh", (k % 4).alias("trip"), (F.col("veh") % 13).alias("route"), (F.col("t") - k * 6).alias("t"), F.col("t").alias("now"))
+    predictions = log.where("stop = 'error' AND veh < 20").select((k % 4).alias("trip"), F.when(k % 3 > 0, F.col("veh")).alias("veh"), F.col("t").alias("at"))
+    return service.operating(buses, log.select((F.col("veh") % 12).alias("route")), _spans(log), predictions).select("id")
+
+
+@_add(
+    f"{_SPANS}, q AS (SELECT event_id AS ask, t AS now, CASE WHEN k % 5 > 0 THEN t - k * 60 END AS last_seen, k % 3 > 0 AS feed_ok, CASE WHEN k > 95 THEN 1 ELSE 0 END AS buses FROM e WHERE stop = 'purchase'), "
+    "v AS (SELECT DISTINCT a, b FROM sp WHERE b > a AND route = 3), w AS (SELECT q.*, CASE WHEN buses > 0 THEN 'live' WHEN now - last_seen < 1800 THEN 'seen' WHEN EXISTS (SELECT 1 FROM v WHERE a - 2700 <= now AND now < a + 1800) THEN 'starts' "
+    "WHEN NOT feed_ok AND EXISTS (SELECT 1 FROM v WHERE a - 2700 <= now AND now < b + 1800) THEN 'feed_down' ELSE 'idle' END AS why FROM q) "
+    "SELECT ask, why <> 'idle' AS collect, why, CASE WHEN why = 'idle' THEN (SELECT min(a) FROM v WHERE a - 2700 > now) - 2700 END AS wake FROM w"
+)
+def collection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether to collect at each purchase of the log, by the spans of one line, and when to look again."""
+    log, k = events(spark, sf_dir), F.col("k")
+    asks = log.where("stop = 'purchase'").select(
+        F.col("event_id").alias("ask"), F.col("t").alias("now"), F.when(k % 5 > 0, F.col("t") - k * 60).alias("last_seen"), (k % 3 > 0).alias("feed_ok"), F.when(k > 95, 1).otherwise(0).alias("buses")
+    )
+    return service.gate(asks, _spans(log).where("route = 3"))
+
+
+@_add(
+    "ln AS (SELECT r AS route, i AS idx, CASE WHEN i = 6 AND r % 2 = 0 THEN r * 10 ELSE r * 10 + i END AS stop FROM range(8) AS a(r), range(7) AS b(i)), "
+    "bu AS (SELECT event_id AS id, veh % 8 AS route, veh % 8 * 10 + k % 8 AS nxt FROM e), o AS (SELECT route, stop, min(idx) AS idx FROM ln GROUP BY route, stop) "
+    "SELECT id, o.stop, CASE WHEN o.idx >= x.idx THEN o.idx - x.idx ELSE o.idx - x.idx + 6 END AS away FROM bu JOIN o x ON x.route = bu.route AND x.stop = nxt JOIN o ON o.route = bu.route WHERE o.idx >= x.idx OR bu.route % 2 = 0"
+)
+def buses_stops_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stops each vehicle is from every stop of its line; four of eight lines are loops."""
+    log = events(spark, sf_dir)
+    order = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("idx")
+    lines = log.select((F.col("veh") % 8).alias("route")).distinct().select("route", order)
+    stop = F.col("route") * 10 + F.when((F.col("idx") == 6) & (F.col("route") % 2 == 0), 0).otherwise(F.col("idx"))
+    buses = log.select(F.col("event_id").alias("id"), (F.col("veh") % 8).alias("route"), (F.col("veh") % 8 * 10 + F.col("k") % 8).alias("next"))
+    return service.stops_away(buses, lines.withColumn("stop", stop))

@@ -68,6 +68,79 @@ def silences(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.groupBy("veh").applyInPandasWithState(_silence, "veh long, last_t long", "t long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: An arrival whose vehicle is silent for so many seconds ends with its last report there; near a stop, metres; speed of a vehicle that stands, metres a second.
+SILENT_S, RADIUS_M, STANDS = 120, 60.0, 1.0
+
+
+class Visit:
+    """A vehicle's arrival at a stop, held back until its dwell is known."""
+
+    def __init__(self, held: tuple | None = None) -> None:
+        self.stop, self.trip, self.since, self.last, self.named = held or (None, None, None, None, None)
+        self.out: list[tuple] = []
+
+    def close(self, moved: bool) -> None:
+        """Give the arrival that is held, if any: its dwell runs to the last report at the stop."""
+        if self.stop is not None:
+            self.out.append((self.stop, self.trip, self.since, self.last - self.since, moved, self.named != self.trip))
+        self.stop = None
+
+    def report(self, t: int, trip: int | None, stop: int | None) -> None:
+        """A report at a stop, or (null) between stops. The trip that the bus was on when it came keeps the visit, whatever the feed calls it later."""
+        if self.last is not None and t < self.last:
+            return
+        if self.stop is not None and t - self.last > SILENT_S:
+            self.close(False)
+        if stop != self.stop:
+            self.close(True)
+            if stop is not None:
+                self.stop, self.trip, self.since = stop, trip, t
+        self.last, self.named = t, trip
+
+
+def _visits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    visit = Visit(state.get if state.exists else None)
+    if state.hasTimedOut:
+        visit.close(False)
+        state.remove()
+    else:
+        rows = pd.concat(batches).sort_values(["t", "event_id"])
+        for t, trip, stop in zip(rows["t"].tolist(), rows["trip"].tolist(), rows["stop"].tolist(), strict=True):
+            visit.report(int(t), None if pd.isna(trip) else int(trip), None if pd.isna(stop) else int(stop))
+        if visit.last is not None:
+            state.update((visit.stop, visit.trip, visit.since, visit.last, visit.named))
+            state.setTimeoutTimestamp(max((visit.last + SILENT_S + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+    out = pd.DataFrame([(key[0], *x) for x in visit.out], columns=["veh", "stop", "trip", "t", "dwell", "moved", "renamed"])
+    yield out.astype({"trip": "Int64"})
+
+
+def visits(reports: DataFrame, late: str = "2 minutes") -> DataFrame:
+    """Stream of (veh, stop, trip, t, dwell, moved, renamed): arrivals with the seconds that the vehicle then stood there.
+
+    reports: veh, event_id, trip, stop (null between stops), t. An arrival is held until its vehicle reports somewhere else (moved) or the stream's clock has passed its last report by
+    SILENT_S; so none is given without its dwell. State is per vehicle, so a feed that renames the trip in mid-visit (renamed) hands the visit on. Reports older than the last one are late and dropped."""
+    timed = reports.select("veh", "event_id", F.col("trip").cast("long").alias("trip"), F.col("stop").cast("long").alias("stop"), "t", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("veh").applyInPandasWithState(
+        _visits, "veh long, stop long, trip long, t long, dwell long, moved boolean, renamed boolean", "stop long, trip long, since long, last long, named long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def at_stops(reports: DataFrame, stops: DataFrame, lines: DataFrame) -> DataFrame:
+    """reports (veh, event_id, trip, route, x, y, speed, t) with stop: the nearest stop (id, x, y) of their route within RADIUS_M at which they stand, null elsewhere.
+
+    lines (route, stop) says which stops a route serves; its stops are few, so a report meets those in its cell of RADIUS_M and the eight around it."""
+    cell = lambda c: F.floor(F.col(c) / RADIUS_M)
+    step = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(c) + d))
+    places = stops.join(lines, stops["id"] == lines["stop"]).select("route", "stop", F.col("x").alias("sx"), F.col("y").alias("sy"), step("x").alias("_cx"), "y")
+    places = places.select("route", "stop", "sx", "sy", "_cx", step("y").alias("_cy")).distinct()
+    far = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    stands = F.coalesce(F.col("speed") <= STANDS, F.lit(True))
+    slow = reports.where(stands).withColumns({"_cx": cell("x"), "_cy": cell("y")})
+    near = slow.join(places, ["route", "_cx", "_cy"]).withColumn("far", far).where(F.col("far") <= RADIUS_M)
+    best = near.groupBy("event_id").agg(F.min_by("stop", F.struct("far", "stop")).alias("stop"))
+    return reports.join(best, "event_id", "left")
+
+
 #: A new vehicle counts on a route after so many seconds and reports there; one without a report for LEFT_S has left it.
 ADD_S, ADD_REPORTS, LEFT_S = 300, 3, 600
 
