@@ -173,3 +173,14 @@ def test_streams_over_several_files_and_a_restart(spark, tmp_path):
     put([(11, 3, "z", 9000)])
     put([(12, 3, "z", 9100)])
     assert {(1, 2000), (2, 2000)} <= set(run()[1])
+
+
+def test_jumps_at_the_limit_count_by_the_difference_itself(spark, tmp_path):
+    from tramline.plans import registry
+
+    pairs = [(i / 100, (i + 500) / 100) for i in range(0, 6000, 7)]
+    rows = [(2 * u + j, f"2024-01-01 00:0{j}:00", u, "view", v, '{"k": 1}') for u, pair in enumerate(pairs) for j, v in enumerate(pair)]
+    made = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string, value double, props string")
+    made.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["position_jumps"](spark, str(tmp_path))
+    assert {r.veh for r in found.collect()} == {u for u, (a, b) in enumerate(pairs) if (b - a) * 100 >= 500}

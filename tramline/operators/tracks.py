@@ -115,7 +115,7 @@ def jumps(rows: DataFrame, metres: Callable[[Column, Column], Column], by: Seque
     here, last = F.struct("*"), F.lag(F.struct("*")).over(order)
     steps = rows.select(*by, "id", "t", here.alias("r"), last.alias("l")).where("l IS NOT NULL")
     steps = steps.select(*by, "id", "t", metres(F.col("r"), F.col("l")).alias("far"), (F.col("r.t") - F.col("l.t")).alias("took"))
-    hit = steps.where((F.col("far") >= JUMP_M) & (F.col("took") > 0) & (F.col("far") > JUMP_MPS * F.col("took")))
+    hit = steps.where((F.col("far") >= JUMP_M) & (F.col("took") > 0) & (F.col("far") / F.col("took") > JUMP_MPS))
     new = F.when(F.col("t") - F.lag("t").over(order) <= JUMP_MERGE_S, 0).otherwise(1)
     hit = hit.withColumn("new", new).withColumn("episode", F.sum("new").over(order))
     return hit.groupBy(*by, "episode").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"), F.max("far").alias("far")).drop("episode")

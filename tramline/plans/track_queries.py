@@ -94,8 +94,9 @@ def frozen_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT veh, min(t) AS a, max(t) AS b, count(*) AS n, round(max(far), 4) AS far FROM g GROUP BY veh, g"
 )
 def position_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fast(spark, sf_dir, 60).select(F.col("event_id").alias("id"), "veh", "t", (F.col("value") * 100).alias("x"))
-    return tracks.jumps(rows, lambda r, l: F.abs(r["x"] - l["x"])).select("veh", "a", "b", "n", F.round("far", 4).alias("far"))
+    rows = _fast(spark, sf_dir, 60).select(F.col("event_id").alias("id"), "veh", "t", "value")
+    # Scaled after the difference: values a step of exactly JUMP_M apart would differ in the last bit otherwise.
+    return tracks.jumps(rows, lambda r, l: F.abs(r["value"] - l["value"]) * 100).select("veh", "a", "b", "n", F.round("far", 4).alias("far"))
 
 
 @_add(
