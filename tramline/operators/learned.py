@@ -61,11 +61,9 @@ def interval_scale(rows: DataFrame, by: Sequence[str], target: float = 0.8) -> D
     miss = F.abs(F.ln(moved) - F.col("mu"))
     own = F.when(moved <= 0, float("inf")).when(miss == 0, 0.0).when(F.col("sigma") > 0, miss / (z * F.col("sigma"))).otherwise(float("inf"))
     # A row beyond the upper bound only has to rank there.
-    each = rows.select(*by, "id", F.least(own, F.lit(2 * SCALES[1])).alias("own"))
-    ranked = cuts.numbered(each, by, "own", "id", "place")
-    sizes = each.groupBy(*by).agg(F.count("own").alias("n"))
-    found = ranked.join(sizes, [*by]).where(F.col("place") == F.ceil(F.round(target * F.col("n"), 9)))
-    return found.select(*by, "n", F.greatest(F.least("own", F.lit(SCALES[1])), F.lit(SCALES[0])).alias("scale"))
+    each = rows.select(*by, F.least(own, F.lit(2 * SCALES[1])).alias("own"))
+    found = cuts.at_ranks(each, by, "own", {"own": lambda n: F.ceil(F.round(target * n, 9)) - 1})
+    return found.select(*[F.col("_key")[c].alias(c) for c in by], "n", F.greatest(F.least("own", F.lit(SCALES[1])), F.lit(SCALES[0])).alias("scale"))
 
 
 def label_clashes(labels: DataFrame) -> DataFrame:
