@@ -108,3 +108,18 @@ def test_asof_does_not_depend_on_the_blocks(spark, forward):
         r = rrows.withColumn("id", F.col("rid"))
         got = asof(lrows, r, ["k"], "t", "id", ["rid"], forward=forward, max_age=200, width=width).collect()
         assert {x.id: (x.at, x.rid) for x in got} == want
+
+
+def test_bins_are_as_many_as_the_rows_of_a_key_fill(spark):
+    """Small keys have one bin; crowded bins are cut by value and tie, or counted."""
+    from tramline.operators import cuts
+
+    rows = spark.range(400_000).selectExpr("id", "id % 50 AS k", "CASE WHEN id % 4 = 0 THEN id ELSE 7 END AS v")
+    assert cuts._spread(rows, ["k"], "v", None, cuts.BINS).where("_bin > 0").count() == 0
+    found = cuts.numbered(rows, [], "v", "id", "o")
+    want = sorted((i if i % 4 == 0 else 7, i) for i in range(400_000))
+    assert [(r.v, r.id) for r in found.orderBy("o").collect()] == want
+    assert found.agg({"o": "max"}).collect()[0][0] == 400_000
+    q = cuts.quantiles(rows, [], "v", {"mid": 0.5, "high": 0.9}).collect()[0]
+    values = [v for v, _ in want]
+    assert q.n == 400_000 and q.mid == (values[199_999] + values[200_000]) / 2 and q.high == pytest.approx(values[359_999] + 0.1 * (values[360_000] - values[359_999]))

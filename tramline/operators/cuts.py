@@ -2,19 +2,22 @@
 
 A key is cut along its order: values into bins of equal width between its least and greatest value, times into
 blocks. The bins' or blocks' totals are few and carry over to the next ones, so a task holds one bin or block
-and never a whole key. Values are counted before they are cut, so a value of many rows is one row. Where most of
+and never a whole key. A bin that a value of many rows fills is counted by value before it is sorted. Where most of
 a key's distinct values lie in one bin (a far outlier), that bin is sorted by one task, spilling to disk; results are the same.
 Keys may be null, and count as one key."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: Bins of a key at most, and rows that a bin is meant to hold.
+BINS, BIN_ROWS = 1024, 8192
+#: A bin of so many times its rows is crowded.
+CROWDED = 16
 _START = Window.unboundedPreceding
 
 
@@ -23,65 +26,69 @@ def _key(by: Sequence[str], *more: Column) -> Column:
     return F.struct(F.lit(0).alias("_"), *by, *more)
 
 
-def _binned(rows: DataFrame, by: Sequence[str], value: str, weight: str | None, bins: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with counts and bins, and the bins with the rows held and those before them."""
-    count = F.sum(weight) if weight else F.count("*")
-    g = rows.where(F.col(value).isNotNull()).groupBy(_key(by).alias("_key"), F.col(value).alias("_v")).agg(count.alias("_c"))
+def _spread(rows: DataFrame, by: Sequence[str], value: str, weight: str | None, bins: int, more: Mapping[str, str] | None = None) -> DataFrame:
+    """_key, _v, _c, _n, _bin and the columns `more` (by their new names) of the rows with a value. A key has as many bins as its rows fill, `bins` at most, so small keys have one."""
+    count, more = F.col(weight) if weight else F.lit(1), more or {}
+    g = rows.where(F.col(value).isNotNull()).select(_key(by).alias("_key"), F.col(value).alias("_v"), count.cast("long").alias("_c"), *[F.col(c).alias(n) for n, c in more.items()])
     span = g.groupBy("_key").agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"), F.sum("_c").alias("_n"))
+    span = span.withColumn("_bins", F.least(F.lit(bins).cast("long"), F.ceil(F.col("_n") / BIN_ROWS)))
     wide = F.col("_hi") - F.col("_lo")
     share = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(wide, F.lit(0.0))
-    bin_ = F.when((wide > 0) & (wide < float("inf")), F.least(F.lit(bins - 1).cast("long"), F.floor(share * bins))).otherwise(F.lit(0))
-    g = g.join(span, "_key").select("_key", "_v", "_c", "_n", bin_.alias("_bin"))
+    bin_ = F.when((wide > 0) & (wide < float("inf")), F.least(F.col("_bins") - 1, F.floor(share * F.col("_bins")))).otherwise(F.lit(0).cast("long"))
+    return g.join(span, "_key").select("_key", "_v", "_c", *more, "_n", bin_.alias("_bin"))
+
+
+def at_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]], weight: str | None = None, bins: int = BINS) -> DataFrame:
+    """_key, n and a column for each of ranks: the value at a rank (from 0) of the key's n rows in ascending order, ranks being given n.
+
+    weight, where given, is how many rows a row stands for. Nulls of value are left out, n too; a key without a value has no row. Only the bins that hold a
+    wanted rank are sorted; values of bins far fuller than meant are counted before."""
+    g = _spread(rows, by, value, weight, bins)
     totals = g.groupBy("_key", "_bin").agg(F.sum("_c").alias("_held"), F.max("_n").alias("_n"))
     before = F.sum("_held").over(Window.partitionBy("_key").orderBy("_bin").rowsBetween(_START, -1))
-    return g.drop("_n"), totals.withColumn("_before", F.coalesce(before, F.lit(0)))
+    totals = totals.withColumn("_before", F.coalesce(before, F.lit(0)))
+    at = {name: rank(F.col("_n")) for name, rank in ranks.items()}
 
+    def holds(rank: Column, at: str, count: str) -> Column:
+        return (rank >= F.col(at)) & (rank < F.col(at) + F.col(count))
 
-def _placed(g: DataFrame, totals: DataFrame) -> DataFrame:
-    """Distinct values of the bins in totals with `_at`, the number of the key's rows of smaller values."""
+    wanted = totals.where(reduce(Column.__or__, [holds(r, "_before", "_held") for r in at.values()])).select("_key", "_bin", "_before", "_held")
+    crowded = F.col("_held") > CROWDED * BIN_ROWS
+    columns = ["_key", "_bin", "_n", "_before", "_v", "_c"]
+    inside = g.join(wanted if weight else wanted.where(~crowded), ["_key", "_bin"]).select(columns)
+    if not weight:
+        # Bins that a value of many rows fills are few.
+        counted = g.join(F.broadcast(wanted.where(crowded)), ["_key", "_bin"]).groupBy(columns[:-1]).agg(F.sum("_c").alias("_c"))
+        inside = inside.unionByName(counted)
     smaller = F.sum("_c").over(Window.partitionBy("_key", "_bin").orderBy("_v").rowsBetween(_START, -1))
-    return g.join(totals, ["_key", "_bin"]).withColumn("_at", F.col("_before") + F.coalesce(smaller, F.lit(0)))
+    placed = inside.withColumn("_at", F.col("_before") + F.coalesce(smaller, F.lit(0)))
+    return placed.groupBy("_key").agg(F.max("_n").alias("n"), *[F.max(F.when(holds(r, "_at", "_c"), F.col("_v"))).alias(name) for name, r in at.items()])
 
 
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, float], weight: str | None = None, bins: int = BINS) -> DataFrame:
-    """by, n and a column for each of qs: exact quantiles between the two nearest values, by linear interpolation.
-
-    weight, where given, is how many rows a row stands for. Nulls of value are left out, n too; a key without a
-    value has no row. Only the bins that hold a wanted rank are sorted."""
-    g, totals = _binned(rows, by, value, weight, bins)
-
-    def ranks(last: Column, q: float) -> tuple[Column, Column]:
-        return F.floor(last * q), F.ceil(last * q)
-
-    def holds(rank: Column, at: str, count: str) -> Column:
-        return (rank >= F.col(at)) & (rank < F.col(at) + F.col(count))
-
-    pairs = {name: ranks(F.col("_n") - 1, q) for name, q in qs.items()}
-    wanted = reduce(Column.__or__, [holds(r, "_before", "_held") for pair in pairs.values() for r in pair])
-    picks = [
-        F.max(F.when(holds(r, "_at", "_c"), F.col("_v"))).cast("double").alias(f"_{side}_{name}")
-        for name, pair in pairs.items()
-        for side, r in zip("ab", pair, strict=True)
-    ]
-    out = _placed(g, totals.where(wanted)).groupBy("_key").agg(F.max("_n").alias("n"), *picks)
+    """by, n and a column for each of qs: exact quantiles between the two nearest values, by linear interpolation (rows and weight as for `at_ranks`)."""
+    ranks = {f"_a_{name}": lambda n, q=q: F.floor((n - 1) * q) for name, q in qs.items()} | {f"_b_{name}": lambda n, q=q: F.ceil((n - 1) * q) for name, q in qs.items()}
+    out = at_ranks(rows, by, value, ranks, weight, bins)
     last = F.col("n") - 1
-    between = [
-        (F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (last * q - F.floor(last * q))).alias(name) for name, q in qs.items()
-    ]
+    low, high = (lambda name, side=side: F.col(f"_{side}_{name}").cast("double") for side in "ab")
+    between = [(low(name) + (high(name) - low(name)) * (last * q - F.floor(last * q))).alias(name) for name, q in qs.items()]
     return out.select(*[F.col("_key")[c].alias(c) for c in by], "n", *between)
 
 
 def numbered(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str, bins: int = BINS) -> DataFrame:
     """by, value, tie and the row's number (from 1) in ascending order of value, then of tie.
 
-    tie is a number, unique among the rows of a key and value. Rows without value or tie are left out."""
-    inner = [*by, value]
-    ties = _placed(*_binned(rows.where(F.col(value).isNotNull()), inner, tie, None, bins))
-    ties = ties.select(*[F.col("_key")[c].alias(c) for c in inner], F.col("_v").alias(tie), F.col("_at").alias("_among"))
-    above = _placed(*_binned(rows.where(F.col(tie).isNotNull()), by, value, None, bins))
-    above = above.select(_key([], F.col("_key"), F.col("_v")).alias("_at_key"), "_at")
-    ties = ties.withColumn("_at_key", _key([], _key(by).alias("_key"), F.col(value).alias("_v")))
-    return ties.join(above, "_at_key").select(*inner, tie, (F.col("_at") + F.col("_among") + 1).alias(name))
+    tie is a number, unique among the rows of a key and value. Rows without value or tie are left out. A bin that equal or crowded values make far
+    fuller than the others is cut by value, and each value by tie."""
+    g = _spread(rows.where(F.col(tie).isNotNull()), by, value, None, bins, {"_tie": tie})
+    full = g.groupBy("_key", "_bin").agg(F.count("*").alias("_held"), F.min("_tie").alias("_lo"), F.max("_tie").alias("_hi"), F.max("_n").alias("_n"))
+    full = full.where(F.col("_held") > CROWDED * F.greatest(F.lit(BIN_ROWS), F.ceil(F.col("_n") / bins)))
+    slices = F.ceil(F.col("_held") / BIN_ROWS)
+    g = g.drop("_n", "_c").join(full.select("_key", "_bin", "_lo", ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_wide")), ["_key", "_bin"], "left")
+    crowded = F.col("_wide").isNotNull()
+    block = F.struct("_bin", F.when(crowded, F.col("_v")).alias("v"), F.when(crowded, F.floor((F.col("_tie") - F.col("_lo")) / F.col("_wide"))).alias("t"))
+    placed = running(g.withColumn("_block", block), ["_key"], ["_v", "_tie"], F.col("_block"), "sum", F.lit(1), name)
+    return placed.select(*[F.col("_key")[c].alias(c) for c in by], F.col("_v").alias(value), F.col("_tie").alias(tie), name)
 
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], block: Column, fold: str, x: Column, name: str, inclusive: bool = True) -> DataFrame:
@@ -108,8 +115,7 @@ def expanding_median(rows: DataFrame, by: Sequence[str], step: str, value: str,
     """by, step, n and the exact median of the values of all earlier steps of the key, for each step of a key with rows before it.
 
     Values are counted by step and bin, and the counts added up along the steps; only the bins that then hold a step's middle are looked into, with the values counted there."""
-    g, _ = _binned(rows.where(F.col(step).isNotNull()), [*by, step], value, None, 1)
-    g = g.select(*[F.col("_key")[c].alias(c) for c in (*by, step)], "_v", "_c")
+    g = rows.where(F.col(step).isNotNull() & F.col(value).isNotNull()).groupBy(*by, step, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     key = _key(by)
     g = g.withColumn("_k", key)
     span = g.groupBy("_k").agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
