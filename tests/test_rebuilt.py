@@ -217,3 +217,26 @@ def test_reports_at_stops(spark):
         near = [] if x is None or (speed or 0) > 1 else sorted((((x - sx) ** 2 + (y - sy) ** 2) ** 0.5, s) for s, sx, sy in stops if (route, s) in lines and (x - sx) ** 2 + (y - sy) ** 2 <= 3600)
         want[i] = near[0][1] if near else None
     assert {r.event_id: r.stop for r in out.collect()} == want and sum(s is not None for s in want.values()) > 5
+
+
+def test_a_second_of_a_fleet_costs_its_reports_and_not_its_vehicles():
+    from tramline.streaming import detect
+
+    class Watched(dict):
+        """Counts the vehicles that are looked at."""
+
+        seen = 0
+
+        def items(self):
+            for x in super().items():
+                Watched.seen += 1
+                yield x
+
+    fleet = detect.Fleet()
+    fleet.held = Watched()
+    fleet.since = 0
+    for at in range(1200):
+        fleet.report(at, [at % 600, 600 + at % 600])
+        if not isinstance(fleet.held, Watched):
+            break
+    assert isinstance(fleet.held, Watched) and Watched.seen <= 4 * 2400 and len(fleet.held) == 1200

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -148,24 +149,31 @@ ADD_S, ADD_REPORTS, LEFT_S = 300, 3, 600
 class Fleet:
     """The vehicles of one route: when each was first and last seen there, how often, and whether it counts.
 
-    Seconds are taken in order. A vehicle is due to leave LEFT_S after its last report; what is due by a second is settled before that second's reports. Changes are rows (kind, veh, t, before, after): t is the last report of one that left, the first of one that came."""
+    Seconds are taken in order. A vehicle is due to leave LEFT_S after its last report; what is due by a second is settled before that second's reports. Vehicles are held in order of
+    their last report and those that count are counted, so a second costs as much as it has reports and leaves, however many vehicles run. Changes are rows (kind, veh, t, before, after): t is the last report of one that left, the first of one that came."""
 
     def __init__(self, held: dict[int, list] | None = None, now: int | None = None, since: int | None = None) -> None:
-        self.held, self.now, self.since = held or {}, now, since
+        self.held = dict(sorted((held or {}).items(), key=lambda x: (x[1][1], x[0])))
+        self.now, self.since = now, since
+        self.members = sum(x[3] for x in self.held.values())
         self.out: list[tuple[str, int, int, int, int]] = []
 
-    def others(self, veh: int, at: int) -> int:
-        """Counted vehicles but this one that were seen in the LEFT_S seconds up to a time."""
-        return sum(member and v != veh and at - last < LEFT_S for v, (_, last, _, member) in self.held.items())
-
     def settle(self, until: int) -> None:
-        """All that is due by a time."""
-        for due, veh in sorted((last + LEFT_S, v) for v, (_, last, _, _) in self.held.items() if last + LEFT_S <= until):
-            many = self.others(veh, due)
-            if self.held[veh][3] and many:
-                self.out.append(("drop", veh, due - LEFT_S, many + 1, many))
-            self.held[veh][3] = False
-        self.held = {v: x for v, x in self.held.items() if x[1] + LEFT_S > until}
+        """All that is due by a time. Vehicles due at one second are no longer seen by each other."""
+        while self.held:
+            last = next(iter(self.held.values()))[1]
+            if last + LEFT_S > until:
+                return
+            due = []
+            for veh, x in self.held.items():
+                if x[1] != last:
+                    break
+                due.append((veh, x[3]))
+            for veh, _ in due:
+                del self.held[veh]
+            self.members -= sum(member for _, member in due)
+            if self.members:
+                self.out += [("drop", veh, last, self.members + 1, self.members) for veh, member in sorted(due) if member]
 
     def report(self, at: int, vehicles: list[int]) -> None:
         """The reports of one second."""
@@ -174,13 +182,14 @@ class Fleet:
         self.settle(at)
         self.now = at
         for veh in sorted(vehicles):
-            first, _, n, member = self.held.get(veh, (at, at, 0, False))
+            first, _, n, member = self.held.pop(veh, (at, at, 0, False))
             self.held[veh] = [first, at, n + 1, member]
         for veh in sorted(set(vehicles)):
             first, last, n, member = self.held[veh]
             if not member and last - first >= ADD_S and n >= ADD_REPORTS:
-                many = self.others(veh, at)
+                many = self.members
                 self.held[veh][3] = True
+                self.members += 1
                 if many and (self.since is None or first >= self.since + ADD_S):
                     self.out.append(("add", veh, first, many, many + 1))
 
@@ -195,10 +204,11 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         fleet.settle(state.getCurrentWatermarkMs() // 1000 - 1)
     else:
         rows = pd.concat(batches)
-        for at, group in rows.sort_values(["t", "veh"]).groupby("t")["veh"]:
+        rows = rows.sort_values(["t", "veh"])
+        for at, group in groupby(zip(rows["t"].tolist(), rows["veh"].tolist(), strict=True), key=lambda r: r[0]):
             if fleet.since is None:
-                fleet.since = int(at)
-            fleet.report(int(at), group.tolist())
+                fleet.since = at
+            fleet.report(at, [veh for _, veh in group])
     if fleet.held:
         columns = list(zip(*((v, *x) for v, x in sorted(fleet.held.items())), strict=True))
         state.update((*[list(c) for c in columns], fleet.now, fleet.since))
