@@ -123,3 +123,21 @@ def test_bins_are_as_many_as_the_rows_of_a_key_fill(spark):
     q = cuts.quantiles(rows, [], "v", {"mid": 0.5, "high": 0.9}).collect()[0]
     values = [v for v, _ in want]
     assert q.n == 400_000 and q.mid == (values[199_999] + values[200_000]) / 2 and q.high == pytest.approx(values[359_999] + 0.1 * (values[360_000] - values[359_999]))
+
+
+def test_trailing_median_equals_pairing(spark):
+    from tramline.operators.cuts import trailing_median
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 1, 2]), rng.randrange(-500, 3000), rng.choice([None, float(rng.randrange(30))])) for i in range(700)]
+    frame = spark.createDataFrame(rows, "id long, k long, t long, v double").repartition(5)
+    want = {}
+    for i, k, t, _ in rows:
+        near = [x for _, b, at, x in rows if b == k and t - 60 <= at < t]
+        known = [x for x in near if x is not None]
+        if near:
+            want[i] = (len(near), float(np.median(known)) if known else None)
+    found = trailing_median(frame, ["k"], "t", "v", "id", 60, "mid", spans=2)
+    assert {r.id: (r.n, r.mid) for r in found.collect()} == want
+    # A row goes to two blocks at most, and rows never meet each other.
+    assert "Join" not in found._jdf.queryExecution().toString()

@@ -8,9 +8,12 @@ Keys may be null, and count as one key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +114,45 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], block: Col
     return both.withColumn(name, value).drop("_x", "_cut", "_here", "_earlier")
 
 
+def trailing_median(rows: DataFrame, by: Sequence[str], t: str, value: str, id_: str, width: int, name: str, spans: int = 8) -> DataFrame:
+    """id_, n and the exact median of the values of the key's rows in the `width` seconds before each row, the row's own second left out; rows with none before them have no row.
+
+    A key is cut into blocks of `spans` widths, and the last rows of a block stand before the next one too. Blocks stream through in order of time; a task holds the values of
+    one width, sorted, however many rows a key or block has. n counts rows without a value too."""
+    long = spans * width
+    last = F.floor(F.col(t) / long)
+    blocks = F.array_distinct(F.array(last, F.floor((F.col(t) + width) / long)))
+    cut = rows.where(F.col(t).isNotNull()).select(F.to_json(_key(by), {"ignoreNullFields": "false"}).alias("_key"), F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("v"), F.col(id_).cast("long").alias("id"), last.alias("_own"), F.explode(blocks).alias("_block"))
+    cut = cut.select("_key", "_block", "t", "v", "id", (F.col("_own") == F.col("_block")).alias("asks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, now, fresh, window, values = None, None, [], deque(), []
+        for batch in batches:
+            out = []
+            for *at, t, v, i, asks in zip(*[batch[c].tolist() for c in ("_key", "_block", "t", "v", "id", "asks")], strict=True):
+                if at != block:
+                    block, now, fresh, window, values = at, None, [], deque(), []
+                if t != now:
+                    for x in fresh:
+                        window.append((now, x))
+                        if x == x:
+                            insort(values, x)
+                    now, fresh = t, []
+                    while window and window[0][0] < t - width:
+                        x = window.popleft()[1]
+                        if x == x:
+                            del values[bisect_left(values, x)]
+                fresh.append(v)
+                if asks and window:
+                    many = len(values)
+                    low, high = (values[(many - 1) // 2], values[many // 2]) if many else (None, None)
+                    out.append((i, len(window), low + (high - low) * 0.5 if many else None))
+            yield pd.DataFrame(out, columns=["id", "n", "mid"])
+
+    found = cut.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "t").mapInPandas(run, "id long, n long, mid double")
+    return found.select(F.col("id").alias(id_), "n", F.col("mid").alias(name))
+
+
 def expanding_median(rows: DataFrame, by: Sequence[str], step: str, value: str, name: str, bins: int = BINS) -> DataFrame:
     """by, step, n and the exact median of the values of all earlier steps of the key, for each step of a key with rows before it.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators.cuts import expanding_median, numbered, quantiles, running
+from tramline.operators.cuts import expanding_median, numbered, quantiles, running, trailing_median
 from tramline.operators.sequences import interval_unions
 from tramline.plans.statements import STATEMENTS
 from tramline.sources.tables import events, table
@@ -144,6 +144,13 @@ def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places[0].union(places[1]).union(places[2]).groupBy("veh").agg(F.sum("place").alias("ranks"))
 
 
+@_add
+def trailing_30m_log_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of a line's log values in the half hour before each row, from a window that slides along the line."""
+    rows = events(spark, sf_dir).select("event_id", (F.col("veh") % 20).alias("line"), "t", F.log(F.col("value") + 1).alias("y"))
+    return trailing_median(rows, ["line"], "t", "y", "event_id", 1800, "mid").select("event_id", "n", *[F.round("mid", 6).alias("med")])
+
+
 ORACLES = {name: STATEMENTS[name].oracle() for name in QUERIES}
 
 
