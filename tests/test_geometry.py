@@ -121,3 +121,11 @@ def test_flat(spark):
     x, y = geometry.flat(F.lit(41.8), F.lit(-87.6), 41.8)
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(r.y - 41.8 * 111320) < 1e-6 and abs(r.x + 87.6 * 111320 * math.cos(math.radians(41.8))) < 1e-6
+
+
+def test_cells_of_all_levels_are_never_broadcast(spark):
+    """Rows of 21 levels outgrow what Spark expects of their table, and with it the driver."""
+    at = spark.range(300).selectExpr("id", "CAST(id * 7919 % 1003 AS DOUBLE) AS x", "CAST(id * 104729 % 997 AS DOUBLE) AS y")
+    found = geometry.nearest(at, at, 3, self_=True)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    assert found.count() == 900

@@ -45,7 +45,7 @@ def _met(points: DataFrame, others: DataFrame, by: Sequence[str], enough: int, e
     raised = held.select(*cell, "_n", levels).select("*", *up(F.col("_l")))
     counts = raised.groupBy(*by, "_l", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
     asked = p.select(*cell).distinct().select(*cell, levels).select("*", *up(F.col("_l")))
-    own = asked.join(counts, [*by, "_l", "_cx", "_cy"], "left").groupBy(*cell).agg(F.coalesce(F.min(F.when(F.col("_n") >= enough, F.col("_l"))), F.lit(LEVELS)).alias("_l"))
+    own = asked.join(counts.hint("merge"), [*by, "_l", "_cx", "_cy"], "left").groupBy(*cell).agg(F.coalesce(F.min(F.when(F.col("_n") >= enough, F.col("_l"))), F.lit(LEVELS)).alias("_l"))
     # All that counts has its place within `bound`; at level _s a cell is at least that wide.
     bound = math.sqrt(2) * stretch * stretch * first * F.pow(2.0, F.col("_l")) + extra + wide
     own = own.withColumn("_bound", bound).withColumn("_s", F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bound") / first)).cast("int"))))
@@ -53,10 +53,10 @@ def _met(points: DataFrame, others: DataFrame, by: Sequence[str], enough: int, e
     search = own.select(*by, F.col("_fx").alias("_px"), F.col("_fy").alias("_py"), "_bound", F.col("_s").alias("_l"), *up(F.col("_s")))
     search = search.withColumn("_dx", beside).withColumn("_dy", beside).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
     gap = lambda a, b: F.greatest(F.lit(0), F.abs(F.col(a) - F.col(b)) - 1) * first
-    pairs = search.join(raised, [*by, "_l", "_cx", "_cy"]).where(F.pow(gap("_px", "_fx"), 2) + F.pow(gap("_py", "_fy"), 2) <= F.pow("_bound", 2))
+    pairs = search.join(raised.hint("merge"), [*by, "_l", "_cx", "_cy"]).where(F.pow(gap("_px", "_fx"), 2) + F.pow(gap("_py", "_fy"), 2) <= F.pow("_bound", 2))
     pairs = pairs.select(*by, "_px", "_py", "_fx", "_fy")
     left = p.withColumnsRenamed({"_fx": "_px", "_fy": "_py"})
-    return left.join(pairs, [*by, "_px", "_py"]).join(o, [*by, "_fx", "_fy"]).drop("_px", "_py", "_fx", "_fy")
+    return left.join(pairs.hint("merge"), [*by, "_px", "_py"]).join(o.hint("merge"), [*by, "_fx", "_fy"]).drop("_px", "_py", "_fx", "_fy")
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int = 3, by: Sequence[str] = (), self_: bool = False, first: float = FIRST, measure: Column | None = None, stretch: float = 1.05) -> DataFrame:
