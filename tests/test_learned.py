@@ -46,3 +46,13 @@ def test_labels_clash_by_place_or_name(spark):
     rows = [(1, "Hall", 0.0, 0.0, None), (2, "North", 14.0, 0.0, None), (3, "hall", 500.0, 0.0, None), (4, "Group", 1.0, 1.0, 15), (5, "South", 15.0, 0.0, None)]
     out = learned.label_clashes(spark.createDataFrame(rows, "id long, label string, x double, y double, until int"))
     assert {tuple(r) for r in out.collect()} == {(1, 2, "near"), (2, 5, "near"), (3, 1, "name")}
+
+
+def test_crowded_labels_meet_in_many_tasks(spark):
+    """Pairs of 900 labels in a few cells equal all pairs; they are dealt to a number of tasks that does not hang on the labels' bytes."""
+    rows = [(i, f"n{i}", (i * 37 % 450) / 5.0 - 45, (i * 91 % 300) / 5.0 - 30, None) for i in range(900)]
+    found = learned.label_clashes(spark.createDataFrame(rows, "id long, label string, x double, y double, until int"))
+    want = {(a[0], b[0], "near") for a in rows for b in rows if a[0] < b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 < 225}
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert f"{learned.LABEL_TASKS}), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()

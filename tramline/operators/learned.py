@@ -15,6 +15,8 @@ CELL_M, STEP_M, PASS_S, PASS_M, OFF_M = 25.0, 10.0, 40, 400.0, 40.0
 LEAST_DAYS, DAY_SHARE, LAP_SHARE, LINE_M = 5, 2 / 3, 0.05, (80.0, 400.0)
 # Bounds of the scale of intervals, and metres under which two labels clash.
 SCALES, LABEL_M = (0.3, 6.0), 15.0
+#: Tasks that the pairs of cells of labels are dealt to.
+LABEL_TASKS = 256
 
 
 def _around(rows: DataFrame) -> DataFrame:
@@ -71,9 +73,15 @@ def label_clashes(labels: DataFrame) -> DataFrame:
 
     labels: id, label, x, y (metres) and until (null: never hides). Of `name`, other is the first label of the name."""
     always = labels.where("until IS NULL").select("id", "x", "y", F.floor(F.col("x") / LABEL_M).alias("cx"), F.floor(F.col("y") / LABEL_M).alias("cy"))
-    wide = _around(always.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy"))
+    # Each two cells meet once. The pairs grow with the square of the labels' density, so they are dealt to a fixed number of tasks and not by the labels' bytes.
+    ahead = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    wide = always.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(ahead).alias("d"))
+    wide = wide.select("id2", "x2", "y2", (F.col("cx") + F.col("d.x")).alias("cx"), (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("d.x") + F.col("d.y") == 0) & (F.col("d.x") == 0))
+    wide = wide.toDF("id2", "x2", "y2", "cx", "cy", "same")
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    near = always.join(wide, ["cx", "cy"]).where((F.col("id") < F.col("other")) & (dx * dx + dy * dy < LABEL_M**2)).select("id", "other", F.lit("near").alias("kind"))
+    met = always.repartition(LABEL_TASKS, "cx", "cy").join(wide.repartition(LABEL_TASKS, "cx", "cy").hint("merge"), ["cx", "cy"])
+    met = met.where((~F.col("same") | (F.col("id") < F.col("id2"))) & (dx * dx + dy * dy < LABEL_M**2))
+    near = met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("other"), F.lit("near").alias("kind"))
     named = labels.select(F.lower("label").alias("name"), "id")
     first = named.groupBy("name").agg(F.min("id").alias("other"))
     return near.unionByName(named.join(first, "name").where("id > other").select("id", "other", F.lit("name").alias("kind")))
