@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.lineage import written
 from tramline.operators.tracks import folded
 
 #: Metres of a degree of latitude.
@@ -38,21 +39,23 @@ def _met(points: DataFrame, others: DataFrame, by: Sequence[str], enough: int, e
     fine = lambda x, y: {"_fx": F.floor(F.col(x) / first).cast("long"), "_fy": F.floor(F.col(y) / first).cast("long")}
     p = points.where("x IS NOT NULL AND y IS NOT NULL").withColumns(fine("x", "y"))
     o = others.where("o_x IS NOT NULL AND o_y IS NOT NULL").withColumns(fine("o_x", "o_y"))
-    cell = [*by, "_fx", "_fy"]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_l")
+    cell, top = [*by, "_fx", "_fy"], LEVELS + max(0, math.ceil(math.log2(FIRST / first)))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top - 1))).alias("_l")
     up = lambda level: [F.call_function("shiftright", F.col(c), level).alias(n) for c, n in (("_fx", "_cx"), ("_fy", "_cy"))]
     held = o.groupBy(*cell).agg(F.count("*").alias("_n"))
     raised = held.select(*cell, "_n", levels).select("*", *up(F.col("_l")))
     counts = raised.groupBy(*by, "_l", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
     asked = p.select(*cell).distinct().select(*cell, levels).select("*", *up(F.col("_l")))
-    own = asked.join(counts.hint("merge"), [*by, "_l", "_cx", "_cy"], "left").groupBy(*cell).agg(F.coalesce(F.min(F.when(F.col("_n") >= enough, F.col("_l"))), F.lit(LEVELS)).alias("_l"))
+    own = asked.join(counts.hint("merge"), [*by, "_l", "_cx", "_cy"], "left").groupBy(*cell).agg(F.coalesce(F.min(F.when(F.col("_n") >= enough, F.col("_l"))), F.lit(top)).alias("_l"))
     # All that counts has its place within `bound`; at level _s a cell is at least that wide.
     bound = math.sqrt(2) * stretch * stretch * first * F.pow(2.0, F.col("_l")) + extra + wide
-    own = own.withColumn("_bound", bound).withColumn("_s", F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bound") / first)).cast("int"))))
+    own = own.withColumn("_bound", bound).withColumn("_s", F.least(F.lit(top - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bound") / first)).cast("int"))))
     beside = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     search = own.select(*by, F.col("_fx").alias("_px"), F.col("_fy").alias("_py"), "_bound", F.col("_s").alias("_l"), *up(F.col("_s")))
     search = search.withColumn("_dx", beside).withColumn("_dy", beside).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
     gap = lambda a, b: F.greatest(F.lit(0), F.abs(F.col(a) - F.col(b)) - 1) * first
+    # Only levels that are looked at.
+    raised = raised.join(F.broadcast(own.select(F.col("_s").alias("_l")).distinct()), "_l")
     pairs = search.join(raised.hint("merge"), [*by, "_l", "_cx", "_cy"]).where(F.pow(gap("_px", "_fx"), 2) + F.pow(gap("_py", "_fy"), 2) <= F.pow("_bound", 2))
     pairs = pairs.select(*by, "_px", "_py", "_fx", "_fy")
     left = p.withColumnsRenamed({"_fx": "_px", "_fy": "_py"})
@@ -81,8 +84,26 @@ def segments(vertices: DataFrame, by: Sequence[str]) -> DataFrame:
     return ends.where("length IS NOT NULL").withColumn("start", F.coalesce(upto, F.lit(0.0)))
 
 
-def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float = 0.0, first: float = FIRST) -> DataFrame:
-    """points (id, x, y and others) with seg, d and along for every segment of the same key that is at most `slack` farther than the nearest one."""
+def _fit(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float) -> float:
+    """The width of first cells, FIRST or a part of it, by which segments in pieces and pairs of points and pieces are fewest: lines that lie close want small cells.
+
+    It is guessed from the segments' number, length and extent, and changes cost alone."""
+    sizes = [FIRST / 2**i for i in range(8)]
+    wide = lambda a, b: F.greatest(F.max(a), F.max(b)) - F.least(F.min(a), F.min(b))
+    lines = segs.groupBy(*by).agg(F.count("*").alias("_n"), F.sum("length").alias("_long"), wide("ax", "bx").alias("_w"), wide("ay", "by_").alias("_h"))
+    held = lines.join(points.groupBy(*by).agg(F.count("*").alias("_p")), [*by])
+
+    def cost(first: float) -> Column:
+        pieces = F.col("_n") + F.col("_long") / first
+        area = F.greatest("_w", F.lit(first)) * F.greatest("_h", F.lit(first))
+        return F.sum(3 * pieces + F.col("_p") * pieces * (4 * first + 2 * slack) ** 2 / area)
+
+    found = held.agg(*[cost(first).alias(str(i)) for i, first in enumerate(sizes)]).first()
+    return min(zip(found, sizes, strict=True), key=lambda x: (x[0], -x[1]))[1] if found[0] is not None else FIRST
+
+
+def _distances(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float, first: float) -> DataFrame:
+    """points with seg, d and along of at least all segments of the same key that are at most `slack` farther than the nearest one; a segment of several pieces may come several times."""
     parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by_") - F.col("ay"))) / first)).cast("int")
     pieces = segs.withColumn("_parts", parts).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     middle = (F.col("_i") + 0.5) / F.col("_parts")
@@ -93,28 +114,42 @@ def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float =
     met = met.withColumn("_t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), at)))
     d = F.sqrt(F.pow(F.col("ax") + F.col("_t") * dx - F.col("x"), 2) + F.pow(F.col("ay") + F.col("_t") * dy - F.col("y"), 2))
     met = met.withColumns({"d": d, "along": F.col("start") + F.col("_t") * F.col("length")})
-    keep = [*points.columns, "seg", "d", "along"]
+    return met.select(*points.columns, "seg", "d", "along")
+
+
+def _nearest_segment(points: DataFrame, segs: DataFrame, by: Sequence[str], first: float) -> DataFrame:
+    """points with seg, d and along of the nearest segment. Each task keeps the best of its pairs, so pairs are not dealt again."""
+    met = _distances(points, segs, by, 0.0, first)
+    rest = [c for c in points.columns if c not in (*by, "id")]
+    best = met.groupBy(*by, "id").agg(F.min(F.struct("d", "along", "seg")).alias("_best"), *[F.first(c).alias(c) for c in rest])
+    return best.select(*points.columns, *[F.col("_best")[c].alias(c) for c in ("seg", "d", "along")])
+
+
+def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float = 0.0, first: float | None = None) -> DataFrame:
+    """points (id, x, y and others) with seg, d and along for every segment of the same key that is at most `slack` farther than the nearest one; and near, the way along to that.
+
+    The nearest is found first, in small cells, so that pairs farther than it and the slack go where they are met. first is the width of first cells, fitted where not given."""
+    points, segs = written(points), written(segs)
+    near = written(_nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0)).drop("seg").withColumnsRenamed({"d": "_best", "along": "near"}))
+    met = _distances(near, segs, by, slack, first or _fit(near, segs, by, slack)).where(F.col("d") <= F.col("_best") + slack)
     # A segment of several pieces is met several times, with the same distance.
-    met = met.select(keep).dropDuplicates([*by, "id", "seg"])
-    best = F.min("d").over(Window.partitionBy(*by, "id"))
-    return met.withColumn("_best", best).where(F.col("d") <= F.col("_best") + slack).drop("_best")
+    return met.dropDuplicates([*by, "id", "seg"]).select(*points.columns, "seg", "d", "along", "near")
 
 
-def on_line(points: DataFrame, segs: DataFrame, by: Sequence[str], first: float = FIRST) -> DataFrame:
+def on_line(points: DataFrame, segs: DataFrame, by: Sequence[str], first: float | None = None) -> DataFrame:
     """points with seg, d and along of the nearest segment of the same key; of equally near ones the earliest along the line."""
-    place = F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "along", "seg"))
-    return beside(points, segs, by, 0.0, first).withColumn("_o", place).where("_o = 1").drop("_o")
+    points, segs = written(points), written(segs)
+    return _nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0))
 
 
-def along(stops: DataFrame, segs: DataFrame, by: Sequence[str], first: float = FIRST) -> DataFrame:
+def along(stops: DataFrame, segs: DataFrame, by: Sequence[str], first: float | None = None) -> DataFrame:
     """by, id, seq and along of the stops (id, seq, x, y) of lines, projected so that they follow each other along the line.
 
     Of the places within SLACK of a stop's nearest one, the earliest counts that is not more than BACK behind the places before; where there is
     none, the nearest place of all. So a stop that a line passes twice gets the pass that fits its turn. Lines stream through in the order of
     their stops; a task holds the way so far and one batch."""
     found = beside(stops.select(*by, "id", "seq", "x", "y"), segs, by, SLACK, first)
-    options = found.groupBy(*by, "id", "seq").agg(F.array_sort(F.collect_set(F.struct("along", "d"))).alias("o"))
-    rows = options.select(*by, "id", "seq", F.transform("o", lambda x: x["along"]).alias("ways"), F.array_min(F.transform("o", lambda x: F.struct(x["d"], x["along"])))["along"].alias("nearest"))
+    rows = found.groupBy(*by, "id", "seq").agg(F.array_sort(F.collect_set("along")).alias("ways"), F.first("near").alias("nearest"))
 
     def step(far: float, values: tuple) -> tuple:
         ways, near = values
