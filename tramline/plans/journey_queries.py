@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import alignment, clusters, corrections, forecasts, geometry, planning, rebuilt, service
 from tramline.operators.cuts import numbered
+from tramline.operators.lineage import written
 from tramline.plans.statements import LOG
 from tramline.sources.tables import events, table
 
@@ -139,7 +140,7 @@ def clock_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct trips and trips with one change for every rider, on a timetable made of all order lines."""
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").alias("p"))
     dep = F.col("trip") * 97 % 80000 + 240 * F.col("seq") + F.col("p") % 120
-    timetable = s.select("trip", (F.col("trip") % 12).alias("route"), "seq", (F.col("p") % _STOPS).alias("stop"), (dep - 20).alias("arr"), dep.alias("dep"))
+    timetable = written(s.select("trip", (F.col("trip") % 12).alias("route"), "seq", (F.col("p") % _STOPS).alias("stop"), (dep - 20).alias("arr"), dep.alias("dep")))
     key = F.col("c_custkey")
     asks = table(spark, sf_dir, "customer").select(key.alias("ask"), (key % _STOPS).alias("origin"), ((key * 7 + 3) % _STOPS).alias("dest"), (key * 613 % 80000).alias("t"))
     stops = timetable.select("stop").distinct()
