@@ -141,3 +141,25 @@ def test_close_lines_get_small_cells(spark):
     assert first < geometry.FIRST
     fitted = {r.id: (r.seg, r.d, r.along) for r in geometry.on_line(points, segs, ["line"]).collect()}
     assert fitted == {r.id: (r.seg, r.d, r.along) for r in geometry.on_line(points, segs, ["line"], geometry.FIRST).collect()} and len(fitted) == 200
+
+
+def test_stops_in_turn_are_placed_without_listing_their_places(spark, monkeypatch):
+    rng = random.Random(8)
+    vertices = [(1, i, float(i // 4 % 40), rng.uniform(0, 60)) for i in range(600)]
+    stops = [(1, i, i, rng.uniform(0, 40), rng.uniform(0, 60)) for i in range(150)]
+    monkeypatch.setattr(geometry, "SEGMENTS", 16, raising=False)
+    segs = geometry.segments(spark.createDataFrame(vertices, "line long, seq long, x double, y double"), ["line"])
+    found = geometry.along(spark.createDataFrame(stops, "line long, id long, seq long, x double, y double"), segs, ["line"])
+    rows, far, want = segs.orderBy("seg").collect(), -math.inf, {}
+    for _, i, _, x, y in stops:
+        ways = []
+        for g in rows:
+            dx, dy = g.bx - g.ax, g.by_ - g.ay
+            part = min(1.0, max(0.0, ((x - g.ax) * dx + (y - g.ay) * dy) / g.length**2)) if g.length else 0.0
+            ways.append((math.hypot(g.ax + part * dx - x, g.ay + part * dy - y), g.start + part * g.length))
+        best, near = min(ways)
+        want[i] = next((w for d, w in sorted(ways, key=lambda p: p[1]) if w >= far - 5 and d <= best + 25), near)
+        far = max(far, want[i])
+    got = {r.id: r.along for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert "collect_set" not in found._jdf.queryExecution().toString()

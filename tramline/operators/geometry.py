@@ -11,13 +11,16 @@ Segments are cut into pieces no wider than a first cell and stand in the cell of
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.cuts import running
+from tramline.operators.joins import asof
 from tramline.operators.lineage import written
-from tramline.operators.tracks import folded
 
 #: Metres of a degree of latitude.
 DEGREE = 111_320.0
@@ -25,6 +28,8 @@ DEGREE = 111_320.0
 FIRST, LEVELS = 50.0, 21
 # A stop may lie as much farther than its nearest place on the line, and fall back as much behind the stop before.
 SLACK, BACK = 25.0, 5.0
+#: Stops of a block of running values, and segments that wait before those behind are dropped.
+STOP_BLOCK, SEGMENTS = 4096, 65_536
 
 
 def flat(lat: Column, lon: Column, lat0: float) -> tuple[Column, Column]:
@@ -125,14 +130,20 @@ def _nearest_segment(points: DataFrame, segs: DataFrame, by: Sequence[str], firs
     return best.select(*points.columns, *[F.col("_best")[c].alias(c) for c in ("seg", "d", "along")])
 
 
-def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float = 0.0, first: float | None = None) -> DataFrame:
-    """points (id, x, y and others) with seg, d and along for every segment of the same key that is at most `slack` farther than the nearest one; and near, the way along to that.
+def _beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float, first: float | None) -> DataFrame:
+    """points with seg, d, along, near and _best (the distance of the nearest segment), as for `beside`, but a segment of several pieces may come several times, with the same distance.
 
-    The nearest is found first, in small cells, so that pairs farther than it and the slack go where they are met. first is the width of first cells, fitted where not given."""
+    The nearest is found first, in small cells, so that pairs farther than it and the slack go where they are met."""
     points, segs = written(points), written(segs)
     near = written(_nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0)).drop("seg").withColumnsRenamed({"d": "_best", "along": "near"}))
-    met = _distances(near, segs, by, slack, first or _fit(near, segs, by, slack)).where(F.col("d") <= F.col("_best") + slack)
-    # A segment of several pieces is met several times, with the same distance.
+    return _distances(near, segs, by, slack, first or _fit(near, segs, by, slack)).where(F.col("d") <= F.col("_best") + slack)
+
+
+def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float = 0.0, first: float | None = None) -> DataFrame:
+    """points (id, x, y and others) with seg, d and along for every segment of the same key that is at most `slack` farther than the nearest one; and near, the way along to that.
+
+    first is the width of first cells, fitted where not given."""
+    met = _beside(points, segs, by, slack, first)
     return met.dropDuplicates([*by, "id", "seg"]).select(*points.columns, "seg", "d", "along", "near")
 
 
@@ -142,18 +153,71 @@ def on_line(points: DataFrame, segs: DataFrame, by: Sequence[str], first: float
     return _nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0))
 
 
+def _first_way(held: np.ndarray, far: float, limit: float, x: float, y: float) -> float | None:
+    """The least way along the held segments (start, ax, ay, bx, by_ and length, in order) that is `far` at least and within `limit` of x and y."""
+    at, size = max(0, int(np.searchsorted(held[:, 0], far)) - 1), 64
+    while at < len(held):
+        start, ax, ay, bx, by, length = held[at : at + size].T
+        dx, dy = bx - ax, by - ay
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(length > 0, ((x - ax) * dx + (y - ay) * dy) / (length * length), 0.0)
+        part = np.minimum(1.0, np.maximum(0.0, part))
+        ways = start + part * length
+        fits = (ways >= far) & (np.sqrt((ax + part * dx - x) ** 2 + (ay + part * dy - y) ** 2) <= limit)
+        if fits.any():
+            return float(ways[fits].min())
+        at, size = at + size, size * 4
+    return None
+
+
 def along(stops: DataFrame, segs: DataFrame, by: Sequence[str], first: float | None = None) -> DataFrame:
     """by, id, seq and along of the stops (id, seq, x, y) of lines, projected so that they follow each other along the line.
 
     Of the places within SLACK of a stop's nearest one, the earliest counts that is not more than BACK behind the places before; where there is
-    none, the nearest place of all. So a stop that a line passes twice gets the pass that fits its turn. Lines stream through in the order of
-    their stops; a task holds the way so far and one batch."""
-    found = beside(stops.select(*by, "id", "seq", "x", "y"), segs, by, SLACK, first)
-    rows = found.groupBy(*by, "id", "seq").agg(F.array_sort(F.collect_set("along")).alias("ways"), F.first("near").alias("nearest"))
-
-    def step(far: float, values: tuple) -> tuple:
-        ways, near = values
-        place = next((w for w in ways if w >= far - BACK), near)
-        return max(far, place), (float(place),)
-
-    return folded(rows, by, ["seq", "id"], lambda: -math.inf, step, "along double", ["ways", "nearest"]).drop("ways", "nearest")
+    none, the nearest place of all. So a stop that a line passes twice gets the pass that fits its turn. Of a stop's places only the first, the last and the
+    nearest are kept, so they are never listed: lines stream through in the order of their stops, and each segment comes before the first stop that may need it. Where
+    the way so far lies between a stop's first and last place, the segments ahead are looked through. A task holds the segments from the way so far to the
+    last place of the stops before."""
+    met = _beside(stops.select(*by, "id", "seq", "x", "y"), segs, by, SLACK, first)
+    turn = F.struct("seq", "id")
+    found = met.groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("seq", "x", "y", "near")], (F.first("_best") + SLACK).alias("limit"), F.min("along").alias("low"), F.max("along").alias("high"))
+    found = written(running(written(found), by, ["seq", "id"], F.floor(F.col("seq") / STOP_BLOCK), "max", F.col("high"), "_reach").withColumn("_turn", turn))
+    needed = asof(segs.withColumn("_reach", F.col("start")), found.select(*by, "_reach", "_turn"), by, "_reach", "_turn", ["_turn"], forward=True).where("_turn IS NOT NULL")
+    names = ["a", "b", "c", "d", "e", "f"]
+    as_ = lambda columns: [F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)]
+    both = needed.select(*by, "_turn.seq", "_turn.id", F.lit(0).alias("kind"), *as_(("start", "ax", "ay", "bx", "by_", "length")))
+    both = both.unionByName(found.select(*by, "seq", "id", F.lit(1).alias("kind"), *as_(("limit", "x", "y", "near", "low", "high"))))
+
+    def ahead(held: np.ndarray, fresh: list, far: float) -> np.ndarray:
+        """The held and fresh segments; what lies behind the way so far is needed no more."""
+        both = np.concatenate([held, np.array(fresh)])
+        return both[max(0, int(np.searchsorted(both[:, 0], far)) - 1) :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, far, held, fresh = None, -math.inf, np.empty((0, 6)), []
+        for batch in batches:
+            spots = []
+            kinds, values = batch["kind"].tolist(), batch[names].to_numpy().tolist()
+            for k, kind, row in zip(zip(*[batch[c].tolist() for c in by], strict=True), kinds, values, strict=True):
+                if k != key:
+                    key, far, held, fresh = k, -math.inf, np.empty((0, 6)), []
+                if not kind:
+                    fresh.append(row)
+                    if len(fresh) == SEGMENTS:
+                        held, fresh = ahead(held, fresh, far - BACK), []
+                    continue
+                limit, x, y, spot, low, high = row
+                if far - BACK <= low:
+                    spot = low
+                elif far - BACK <= high:
+                    if fresh:
+                        held, fresh = ahead(held, fresh, far - BACK), []
+                    way = _first_way(held, far - BACK, limit, x, y)
+                    spot = high if way is None else way
+                far = max(far, spot)
+                spots.append(spot)
+            stood = batch[batch["kind"] == 1]
+            yield stood[[*by, "id", "seq"]].assign(along=np.array(spots, dtype="float64"))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stops.select(*by, "id", "seq").schema.fields)
+    return both.repartition(*by).sortWithinPartitions(*by, "seq", "id", "kind", "a").mapInPandas(run, f"{kind}, along double")
