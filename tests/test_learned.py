@@ -56,3 +56,15 @@ def test_crowded_labels_meet_in_many_tasks(spark):
     got = found.collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert f"{learned.LABEL_TASKS}), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_corridor_cells_count_without_dealing_passes_by_cell(spark):
+    """Cells on both sides of zero, and a pass of two links in one quarter of an hour."""
+    rows = [(i, v, 0, d, d * 86_400 + 30 * i, -60.0 + 40 * i, -10.0 - 30 * i, 50.0, True) for d in range(6) for v in range(3) for i in range(3)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    found = learned.corridor_cells(spark.createDataFrame(rows, "id long, veh long, route long, day long, t long, x double, y double, off double, ok boolean"), spark.createDataFrame([(0, 3)], "route long, laps long"))
+    got = {(r.cx, r.cy): (r.days, r.passes) for r in found.collect()}
+    cells = {(math.floor((-60 + 10 * i) / 25), math.floor((-10 - 7.5 * i) / 25)) for i in range(9)}
+    assert {(-3, -1), (0, -3)} <= got.keys() <= {(x, y) for x in range(-3, 1) for y in range(-3, 0)} and cells & got.keys()
+    assert set(got.values()) == {(6, 18)}
+    assert "flatten" in found._jdf.queryExecution().toString()

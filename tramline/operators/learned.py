@@ -15,17 +15,12 @@ CELL_M, STEP_M, PASS_S, PASS_M, OFF_M = 25.0, 10.0, 40, 400.0, 40.0
 LEAST_DAYS, DAY_SHARE, LAP_SHARE, LINE_M = 5, 2 / 3, 0.05, (80.0, 400.0)
 # Bounds of the scale of intervals, and metres under which two labels clash.
 SCALES, LABEL_M = (0.3, 6.0), 15.0
+#: Cells of a row of cells, far more than the earth has.
+ROW = 1 << 32
 #: Tasks that the pairs of cells of labels are dealt to.
 LABEL_TASKS = 256
 
 
-def _around(rows: DataFrame) -> DataFrame:
-    """rows once for each of the nine squares around their cx and cy."""
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    wide = rows.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    return wide.withColumns({"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")}).drop("_dx", "_dy")
-
-
 def corridor_cells(rows: DataFrame, laps: DataFrame, line: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """route, cx, cy, days and passes of the cells that vehicles of a route use away from its line, day after day.
 
@@ -38,12 +33,19 @@ def corridor_cells(rows: DataFrame, laps: DataFrame, line: Callable[[Column, Col
     dx, dy = F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y")
     linked = rows.withColumns(before).where("ok AND p_ok AND route = p_route").withColumn("far", F.sqrt(dx * dx + dy * dy))
     linked = linked.where((F.col("t") - F.col("p_t") <= PASS_S) & (F.greatest("off", "p_off") > OFF_M) & (F.col("far") <= PASS_M))
-    points = linked.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("far") / STEP_M))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long"))))
-    along = lambda a, d: F.floor((F.col(a) + d * F.col("i") / F.col("k")) / CELL_M)
-    passes = points.select("route", along("p_x", dx).alias("cx"), along("p_y", dy).alias("cy"), "veh", "day", F.floor(F.col("p_t") / 900).alias("slot")).distinct()
-    own = passes.select("route", "cx", "cy").distinct()
-    near = _around(passes).distinct().join(own, ["route", "cx", "cy"])
-    used = near.groupBy("route", "cx", "cy").agg(F.count_distinct("day").alias("days"), F.count("*").alias("passes"))
+    k = F.greatest(F.lit(1), F.floor(F.col("far") / STEP_M)).cast("long")
+    place = lambda a, d, i: F.floor((F.col(a) + d * i / k) / CELL_M)
+    # A cell is one number. The cells of a pass are one list, and those around them another: a pass meets a cell once, and only counts are dealt by cell.
+    crossed = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: place("p_x", dx, i) * ROW + place("p_y", dy, i) + ROW // 2)
+    links = linked.select("veh", "route", "day", F.floor(F.col("p_t") / 900).alias("slot"), F.array_distinct(crossed).alias("cells"))
+    passes = links.groupBy("veh", "route", "day", "slot").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    around = F.transform("cells", lambda c: F.array(*[c + (i * ROW + j) for i, j in steps]))
+    near = passes.select("route", "day", "cells", F.explode(F.array_distinct(F.flatten(around))).alias("c"))
+    own = F.array_contains("cells", F.col("c"))
+    daily = near.withColumn("own", own).groupBy("route", "c", "day").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    used = daily.groupBy("route", "c").agg(F.count("day").alias("days"), F.sum("n").alias("passes"), F.max("own").alias("own")).where("own")
+    used = used.withColumns({"cx": F.shiftright("c", ROW.bit_length() - 1), "cy": F.pmod("c", F.lit(ROW)) - ROW // 2})
     days = rows.where("ok").groupBy("route").agg(F.count_distinct("day").alias("all_days")).join(laps.where("laps > 0"), "route").where(F.col("all_days") >= LEAST_DAYS)
     enough = (F.col("days") >= F.greatest(F.lit(LEAST_DAYS), DAY_SHARE * F.col("all_days"))) & (F.col("passes") >= LAP_SHARE * F.col("all_days") * F.col("laps"))
     kept = used.join(days, "route").where(enough)
