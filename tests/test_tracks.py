@@ -6,6 +6,7 @@ import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,11 @@ def test_jumps_at_the_limit_count_by_the_difference_itself(spark, tmp_path):
     made.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
     found = registry.QUERIES["position_jumps"](spark, str(tmp_path))
     assert {r.veh for r in found.collect()} == {u for u, (a, b) in enumerate(pairs) if (b - a) * 100 >= 500}
+
+
+def test_first_hit_merge_makes_one_table_a_batch(monkeypatch):
+    rows = pd.DataFrame([(v, 0, 10 * v, v % 3, v) for v in range(500)], columns=["veh", "_stretch", "t", "rank", "event_id"])
+    run, plain, made = sequences._first_hits(["veh", "_stretch"], 60), pd.DataFrame, []
+    monkeypatch.setattr(sequences.pd, "DataFrame", lambda *a, **k: made.append(1) or plain(*a, **k))
+    out = list(run(iter([rows[:250], rows[250:]])))
+    assert [i for t in out for i in t["event_id"]] == list(range(500)) and len(made) == 3

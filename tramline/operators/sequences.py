@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,29 +40,16 @@ def anchored(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) ->
     return rows.drop("_stretch").join(kept, id_, "left_semi")
 
 
-def ranked_merge(rows: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
-    """First-hit merge: a row within gap of one already kept takes its place if its rank is higher, else it goes.
-
-    rows have t, rank and event_id, whole numbers, and come in order of event_id. A row that takes a place leaves that place at the time of
-    the row that opened it, so chains do not drift. Keys are cut at silences longer than gap, over which nothing is near; the
-    places of a stretch are kept in order of time and found by bisection, the earliest opened first."""
-    w = Window.partitionBy(*by).orderBy("t", "event_id")
-    new = F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)).cast("int")
-    cut = rows.withColumn("_stretch", F.sum(new).over(w)).select(*by, "_stretch", "t", "rank", "event_id")
-    fields = [*by, "_stretch"]
+def _first_hits(fields: Sequence[str], gap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The fold of `ranked_merge` over the rows of stretches, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, times, places = None, [], []
-
-        def closed() -> pd.DataFrame:
-            return pd.DataFrame({"event_id": [p[2] for p in places]}, dtype="int64")
-
+        key, times, places, done = None, [], [], []
         for batch in batches:
-            done = []
-            for row in zip(*[batch[c] for c in fields], batch.t, batch["rank"], batch.event_id, strict=True):
-                k, (t, rank, event) = row[: len(fields)], row[len(fields) :]
+            columns = [batch[c].tolist() for c in fields]
+            for k, t, rank, event in zip(zip(*columns, strict=True), batch["t"].tolist(), batch["rank"].tolist(), batch["event_id"].tolist(), strict=True):
                 if k != key:
-                    done.append(closed())
+                    done += [p[2] for p in places]
                     key, times, places = k, [], []
                 near = range(bisect_left(times, (t - gap, -1)), bisect_left(times, (t + gap + 1, -1)))
                 hit = min((times[i][1] for i in near), default=None)
@@ -71,11 +58,27 @@ def ranked_merge(rows: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
                     places.append((t, rank, event))
                 elif rank > places[hit][1]:
                     places[hit] = (places[hit][0], rank, event)
-            yield pd.concat(done) if done else closed().iloc[:0]
-        yield closed()
+            # One table a batch: stretches are far more than batches.
+            yield pd.DataFrame({"event_id": done}, dtype="int64")
+            done = []
+        yield pd.DataFrame({"event_id": [p[2] for p in places]}, dtype="int64")
+
+    return run
+
+
+def ranked_merge(rows: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
+    """First-hit merge: a row within gap of one already kept takes its place if its rank is higher, else it goes.
+
+    rows have t, rank and event_id, whole numbers, and come in order of event_id. A row that takes a place leaves that place at the time of
+    the row that opened it, so chains do not drift. Keys are cut at silences longer than gap, over which nothing is near; the
+    places of a stretch are kept in order of time and found by bisection, the earliest opened first."""
+    w = Window.partitionBy(*by).orderBy("t", "event_id")
+    new = F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)).cast("int")
+    cut = rows.withColumn("_stretch", F.sum(new).over(w)).select(*by, "_stretch", "t", "rank", "event_id")
+    fields = [*by, "_stretch"]
 
     dealt = cut.repartition(*fields).sortWithinPartitions(*fields, "event_id")
-    return rows.join(dealt.mapInPandas(run, "event_id long"), "event_id", "left_semi")
+    return rows.join(dealt.mapInPandas(_first_hits(fields, gap), "event_id long"), "event_id", "left_semi")
 
 
 def islands(rows: DataFrame, by: Sequence[str], t: str, gap: int, id_: str) -> DataFrame:
