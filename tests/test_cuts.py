@@ -116,7 +116,7 @@ def test_bins_are_as_many_as_the_rows_of_a_key_fill(spark):
 
     rows = spark.range(400_000).selectExpr("id", "id % 50 AS k", "CASE WHEN id % 4 = 0 THEN id ELSE 7 END AS v")
     assert cuts._spread(rows, ["k"], "v", None, cuts.BINS).where("_bin > 0").count() == 0
-    found = cuts.numbered(rows, [], "v", "id", "o")
+    found = numbered(rows, [], "v", "id", "o")
     want = sorted((i if i % 4 == 0 else 7, i) for i in range(400_000))
     assert [(r.v, r.id) for r in found.orderBy("o").collect()] == want
     assert found.agg({"o": "max"}).collect()[0][0] == 400_000
@@ -141,3 +141,13 @@ def test_trailing_median_equals_pairing(spark):
     assert {r.id: (r.n, r.mid) for r in found.collect()} == want
     # A row goes to two blocks at most, and rows never meet each other.
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_numbered_rows_keep_their_columns(spark):
+    rows = [(i % 3, i * 7 % 50, i, f"s{i}", None if i % 5 else i) for i in range(200)]
+    found = numbered(spark.createDataFrame(rows, "veh long, t long, id long, stop string, due long"), ["veh"], "t", "id", "pos", bins=4, keep=["stop", "due"])
+    want, place = set(), {}
+    for veh, t, i, stop, due in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        place[veh] = place.get(veh, 0) + 1
+        want.add((veh, t, i, stop, due, place[veh]))
+    assert {tuple(r) for r in found.select("veh", "t", "id", "stop", "due", "pos").collect()} == want

@@ -101,8 +101,8 @@ def aligned(planned: DataFrame, live: DataFrame, by: Sequence[str], before: int,
     planned: by, pos (its number along the key), stop, due. live: by, id (unique in its key), stop, t. A live time fits a planned stop of the same name if it is
     from `before` seconds ahead of due to `after` seconds behind it, and `may` holds; cost (0 at least) and may see planned columns and live ones with r_ before
     their names. Rows with a null stop or time fit nothing; live times at one second are ordered by id."""
-    numbers = numbered(live.where("t IS NOT NULL"), by, "t", "id", "q")
-    entries = live.join(numbers, [*by, "t", "id"]).where("stop IS NOT NULL")
+    rest = [c for c in live.columns if c not in (*by, "t", "id")]
+    entries = numbered(live.where("t IS NOT NULL"), by, "t", "id", "q", keep=rest).where("stop IS NOT NULL")
     price = F.lit(0.0) if cost is None else F.when(cost > 0, cost).otherwise(0.0)
     pairs = near(planned.withColumnRenamed("due", "t").where("stop IS NOT NULL"), entries, [*by, "stop"], "t", before, after).withColumnRenamed("t", "due")
     pairs = pairs if may is None else pairs.where(may)

@@ -78,12 +78,12 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, f
     return out.select(*[F.col("_key")[c].alias(c) for c in by], "n", *between)
 
 
-def numbered(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str, bins: int = BINS) -> DataFrame:
-    """by, value, tie and the row's number (from 1) in ascending order of value, then of tie.
+def numbered(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str, bins: int = BINS, keep: Sequence[str] = ()) -> DataFrame:
+    """by, value, tie, the columns `keep` and the row's number (from 1) in ascending order of value, then of tie.
 
     tie is a number, unique among the rows of a key and value. Rows without value or tie are left out. A bin that equal or crowded values make far
     fuller than the others is cut by value, and each value by tie."""
-    g = _spread(rows.where(F.col(tie).isNotNull()), by, value, None, bins, {"_tie": tie})
+    g = _spread(rows.where(F.col(tie).isNotNull()), by, value, None, bins, {"_tie": tie} | {f"_keep_{c}": c for c in keep})
     full = g.groupBy("_key", "_bin").agg(F.count("*").alias("_held"), F.min("_tie").alias("_lo"), F.max("_tie").alias("_hi"), F.max("_n").alias("_n"))
     full = full.where(F.col("_held") > CROWDED * F.greatest(F.lit(BIN_ROWS), F.ceil(F.col("_n") / bins)))
     slices = F.ceil(F.col("_held") / BIN_ROWS)
@@ -91,7 +91,7 @@ def numbered(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str
     crowded = F.col("_wide").isNotNull()
     block = F.struct("_bin", F.when(crowded, F.col("_v")).alias("v"), F.when(crowded, F.floor((F.col("_tie") - F.col("_lo")) / F.col("_wide"))).alias("t"))
     placed = running(g.withColumn("_block", block), ["_key"], ["_v", "_tie"], F.col("_block"), "sum", F.lit(1), name)
-    return placed.select(*[F.col("_key")[c].alias(c) for c in by], F.col("_v").alias(value), F.col("_tie").alias(tie), name)
+    return placed.select(*[F.col("_key")[c].alias(c) for c in by], F.col("_v").alias(value), F.col("_tie").alias(tie), *[F.col(f"_keep_{c}").alias(c) for c in keep], name)
 
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], block: Column, fold: str, x: Column, name: str, inclusive: bool = True) -> DataFrame:

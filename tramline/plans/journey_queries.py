@@ -30,8 +30,7 @@ def _add(sql: str | None = None):
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each vehicle's log as its planned stops, and the same log, late or early and with holes, as live times."""
     rows = events(spark, sf_dir).withColumns({"due": F.expr("t div 40"), "stop": F.col("k") % 6})
-    places = numbered(rows.select("veh", "t", "event_id"), ["veh"], "t", "event_id", "pos")
-    planned = rows.join(places, ["veh", "t", "event_id"]).select("veh", "pos", "stop", "due")
+    planned = numbered(rows, ["veh"], "t", "event_id", "pos", keep=["stop", "due"]).select("veh", "pos", "stop", "due")
     late = F.col("event_id") * 37 % 900 - 300
     return planned, rows.where("k % 5 <> 0").select("veh", F.col("event_id").alias("id"), "stop", (F.col("due") + late).alias("t"))
 
