@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
-from tramline.operators import matching
+from tramline.operators import beside, matching
 from tramline.streaming import detect
 
 
@@ -51,6 +52,73 @@ def test_side_by_side_bridges_one_bin(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 2, 0, 210, 6)]
 
 
+SIDE = "veh long, route long, id long, t long, x double, y double, moving boolean"
+
+
+def plain_side_by_side(rows, metres):
+    first = {}
+    for veh, route, id_, t, x, y, moving in rows:
+        new = ((t, id_), route, x, y, moving)
+        first[veh, t // 30] = min(first.get((veh, t // 30), new), new, key=lambda r: r[0])
+    bins = {}
+    for (veh, b), (_, route, x, y, moving) in first.items():
+        if moving:
+            bins.setdefault(b, []).append((veh, route, x, y))
+    met = {}
+    for b, there in sorted(bins.items()):
+        for one, r, x, y in there:
+            for two, s, x2, y2 in there:
+                if one < two and r == s and ((x - x2) ** 2 + (y - y2) ** 2) ** 0.5 <= metres:
+                    met.setdefault((one, two), []).append(b)
+    out = set()
+    for (one, two), at in met.items():
+        run = []
+        for b in [*at, at[-1] + 9]:
+            if run and b - run[-1] > 2:
+                if len(run) >= 6:
+                    out.add((one, two, run[0] * 30, (run[-1] + 1) * 30, len(run)))
+                run = []
+            run.append(b)
+    return out
+
+
+@pytest.mark.parametrize("width", [21, 40, 2880])
+def test_side_by_side_over_borders_groups_and_changed_routes(spark, monkeypatch, width):
+    """Runs over several chunks, groups of few tracks, vehicles that change the route together and apart: all runs as by a plain loop."""
+    monkeypatch.setattr(matching, "SIDE_GROUP", 4)
+    monkeypatch.setattr(matching, "SIDE_GROUPS", 3)
+    monkeypatch.setattr(matching, "SIDE_TASKS", 8)
+    rng, rows = random.Random(width), []
+    for veh in range(14):
+        x, route, start = rng.uniform(0, 30), rng.randrange(2), rng.randrange(-40, 20)
+        for b in range(start, start + 110):
+            x += rng.uniform(-6, 6)
+            route = b // 37 % 2 if veh < 5 else rng.randrange(2) if rng.random() < 0.02 else route
+            for _ in range(rng.choice((0, 1, 1, 1, 1, 1, 1, 2))):
+                rows.append((veh, route, len(rows), b * 30 + rng.randrange(30), x, rng.uniform(0, 12), rng.random() < 0.95))
+    want = plain_side_by_side(rows, 20.0)
+    out = matching.side_by_side(spark.createDataFrame(rows, SIDE).repartition(3), 20.0, width).collect()
+    assert len(want) > 40 and len(out) == len(want) and {tuple(r) for r in out} == want
+
+
+def test_side_by_side_shuffles_tracks_not_pairs(spark):
+    """A crowd of one route: every vehicle is beside every other in each bin, and rows shuffled stay near the number of reports."""
+    rows = [(veh, 1, veh * 10 + b, b * 30, 0.01 * veh, 0.0, True) for veh in range(300) for b in range(6)]
+    rows += [(veh, route, veh * 10 + b, b * 30, 9.0e6 + 1e5 * veh, float("nan") if veh == 402 else 0.0, True) for veh, route in ((401, 1), (402, 1), (403, None)) for b in range(6)]
+    shuffled = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)))
+    before = shuffled()
+    out = matching.side_by_side(spark.createDataFrame(rows, SIDE))
+    assert {tuple(r)[2:] for r in out.collect()} == {(0, 180, 6)} and out.count() == 300 * 299 // 2
+    assert shuffled() - before < 20 * len(rows)
+
+
+def test_the_limit_of_side_by_side_is_a_root(spark):
+    """Squares are compared with the largest one whose root is within the metres, as in the SQL."""
+    for metres in (5.0, 0.3, 25.0, 1e-3):
+        s = beside.squared_limit(metres)
+        assert math.sqrt(s) <= metres < math.sqrt(math.nextafter(s, math.inf))
+
+
 def test_clock_restarts_by_route_gap_or_distance(spark):
     rows = [(1, 9, 1, 0, 0.0), (2, 9, 1, 500, 60.0), (3, 9, 1, 1000, 70.0), (4, 9, 1, 1100, 90.0), (5, 9, 2, 1200, 90.0), (6, 9, 2, 1801, 90.0)]
     out = matching.still_since(spark.createDataFrame(rows, "id long, veh long, route long, t long, x double"), 80.0, lambda a, b: abs(a[0] - b[0]), ["x"])

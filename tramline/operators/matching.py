@@ -1,7 +1,7 @@
 """Matches between rows and clocks of vehicles: one-to-one pairs in time, forecasts of another trip, vehicles side by side,
 idle clocks, held lists and places mapped twice.
 
-Range and place tests meet on bins by equi joins. What depends on earlier choices is an ordered fold whose state is bounded by a
+Range and place tests meet on bins by equi joins, tracks side by side in groups of tracks. What depends on earlier choices is an ordered fold whose state is bounded by a
 window of time or, for places, by the places of one name."""
 
 from __future__ import annotations
@@ -12,14 +12,20 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tramline.operators import beside
 from tramline.operators.joins import near
+from tramline.operators.lineage import written
 from tramline.operators.tracks import folded
 
 # Seconds a forecast stays listed after its time, least seconds to the visit before, most seconds to the arrival.
 LISTED_PAST_S, VISIT_GAP_S, ARRIVAL_S = 30, 120, 3600
 # Bins (seconds, least number, most missing between two) and metres of vehicles side by side.
 SIDE_BIN_S, SIDE_BINS, SIDE_SKIP, SIDE_M = 30, 6, 1, 25.0
+# Bins of a chunk of tracks (a day), tracks of a group, most groups of a route's chunk, and tasks that compare groups.
+SIDE_CHUNK, SIDE_GROUP, SIDE_GROUPS, SIDE_TASKS = 2880, 1024, 32, 256
 # Seconds of a lingering, idle and parked vehicle, and of a gap that ends its clock.
 LINGER_S, IDLE_S, PARKED_S, CLOCK_GAP_S = 180, 1800, 5400, 600
 # Seconds that one empty answer is bridged, metres between two places of one name that are the same.
@@ -94,21 +100,46 @@ def other_trip(asked: DataFrame, shown: DataFrame, block: int = 600) -> DataFram
     return found.join(ruled, ["id", "trip", "seq", "pred"], "left_anti").groupBy("id").agg(F.min("pred").alias("pred"))
 
 
-def side_by_side(rows: DataFrame, metres: float = SIDE_M) -> DataFrame:
+def side_by_side(rows: DataFrame, metres: float = SIDE_M, width: int = SIDE_CHUNK) -> DataFrame:
     """veh, other, a, b and bins of two moving vehicles of one route within `metres`: SIDE_BINS bins of time, no more than SIDE_SKIP missing between two.
 
-    rows have veh, route, id, t, x, y (metres) and moving; a vehicle's first report stands for a bin. Pairs meet on bin, route and
-    squares of the plane; one side looks at the nine squares around it."""
+    rows have veh, route, id, t, x, y (metres) and moving; a vehicle's first report stands for a bin. The tracks of a route are cut into chunks of `width` bins and
+    dealt to at most SIDE_GROUPS groups, and a task compares two groups: what is shuffled are tracks and never the pairs of a bin. A chunk also sees the bins
+    around it by which a run could have SIDE_BINS; only runs that cross its border are put together afterwards."""
+    reach = (SIDE_BINS - 1) * (1 + SIDE_SKIP)
+    if width <= 2 * reach:
+        raise ValueError(f"width is more than {2 * reach} bins, not {width}")
     first = rows.groupBy("veh", F.floor(F.col("t") / SIDE_BIN_S).alias("bin")).agg(F.min_by(F.struct("route", "x", "y", "moving"), F.struct("t", "id")).alias("r"))
-    first = first.select("veh", "bin", "r.*").where("moving").withColumns({"cx": F.floor(F.col("x") / metres), "cy": F.floor(F.col("y") / metres)})
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    wide = first.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    wide = wide.select(F.col("veh").alias("other"), "bin", "route", F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    met = first.join(wide, ["bin", "route", "cx", "cy"]).where((F.col("veh") < F.col("other")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= metres))
-    order = Window.partitionBy("veh", "other").orderBy("bin")
-    new = F.when(F.col("bin") - F.lag("bin").over(order) <= 1 + SIDE_SKIP, 0).otherwise(1)
-    runs = met.select("veh", "other", "bin").withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    per = runs.groupBy("veh", "other", "run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.count("*").alias("bins")).where(F.col("bins") >= SIDE_BINS)
+    first = first.select("veh", "bin", "r.*").where("moving").dropna(subset=["veh", "bin", "route", "x", "y"])
+    chunks = F.array_distinct(F.array(F.floor((F.col("bin") - reach) / width), F.floor((F.col("bin") + reach) / width)))
+    tracks = first.withColumn("chunk", F.explode(chunks)).groupBy("veh", "chunk").agg(F.collect_list(F.struct("bin", "x", "y", "route")).alias("r"))
+    tracks = tracks.select("veh", "chunk", F.col("r.bin").alias("bins"), F.col("r.x").cast("array<double>").alias("xs"), F.col("r.y").cast("array<double>").alias("ys"), F.col("r.route").alias("routes"))
+    low, high = F.col("chunk") * width, (F.col("chunk") + 1) * width
+    tracks = tracks.withColumns({
+        "_all": F.array_distinct("routes"),
+        "border": F.exists("bins", lambda b: ((b < low) & (b >= low - 1 - SIDE_SKIP)) | ((b >= high) & (b <= high + SIDE_SKIP))),
+    })
+    tracks = tracks.withColumn("routes", F.when(F.size("_all") > 1, F.col("routes"))).withColumn("route", F.explode("_all")).drop("_all")
+    tracks = written(tracks)
+
+    def runs(of: DataFrame, beyond: bool) -> DataFrame:
+        groups = of.groupBy("route", "chunk").agg(F.least(F.lit(SIDE_GROUPS), F.ceil(F.count("*") / SIDE_GROUP)).alias("groups"))
+        dealt = of.join(groups, ["route", "chunk"]).withColumn("g", F.pmod(F.xxhash64("veh"), "groups")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        dealt = dealt.select("route", "chunk", F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "veh", "bins", "xs", "ys", "routes")
+        id_ = rows.schema["veh"].dataType
+        schema = T.StructType([T.StructField("veh", id_), T.StructField("other", id_), *[T.StructField(n, T.LongType()) for n in ("a", "b", "bins")]])
+        # The work of two groups grows with their product, so tasks are not dealt by bytes.
+        by = ["route", "chunk", "p", "q"]
+        found = dealt.repartition(SIDE_TASKS, *by).groupBy(*by)
+        return found.applyInArrow(beside.runs_of_groups(metres, SIDE_BINS, SIDE_SKIP, width, beyond, to_arrow_schema(schema)), schema)
+
+    # A run that goes on beyond a chunk has a hit next to the border; vehicles that have none there are not looked at again.
+    parts = runs(tracks.where("border"), True)
+    order = Window.partitionBy("veh", "other").orderBy("a")
+    new = F.when(F.col("a") - F.lag("b").over(order) <= 1 + SIDE_SKIP, 0).otherwise(1)
+    joined = parts.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    joined = joined.groupBy("veh", "other", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("bins").alias("bins")).drop("run")
+    per = runs(tracks, False).unionByName(joined)
     return per.select("veh", "other", (F.col("a") * SIDE_BIN_S).alias("a"), ((F.col("b") + 1) * SIDE_BIN_S).alias("b"), "bins")
 
 
