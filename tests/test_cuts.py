@@ -93,6 +93,20 @@ def test_unions_do_not_depend_on_the_blocks(spark):
         assert {tuple(r) for r in interval_unions(rows, ["k"], width).collect()} == want
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_sorts_once_and_joins_nothing(spark, forward):
+    """Rows carried over blocks come as rows and not by a join, null keys and times included; told times and tasks change nothing."""
+    left = spark.createDataFrame([(None if i % 7 == 0 else i % 2, None if i % 11 == 0 else i * 37 % 900, i) for i in range(90)], "k int, t long, event_id long")
+    right = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i * 211 % 900, i) for i in range(25)], "k int, t long, id long")
+    args = (right, ["k"], "t", "id", [], forward)
+    out = asof(left, *args, width=50)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = {(r.event_id, r.at) for r in asof(left, *args, width=10**6).collect()}
+    told = asof(left, *args, width=50, tasks=5, times=left.select("k", "t").unionByName(right.select("k", "t")))
+    assert {(r.event_id, r.at) for r in out.collect()} == whole == {(r.event_id, r.at) for r in told.collect()}
+    assert out.count() == told.count() == 90 and sum(at is not None for _, at in whole) > 40
+
+
 @pytest.mark.parametrize("forward", [False, True])
 def test_asof_does_not_depend_on_the_blocks(spark, forward):
     rng = random.Random(11)

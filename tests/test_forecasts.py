@@ -56,6 +56,20 @@ def test_forecasts_at_a_loop(spark):
     assert (found[2, 960].pred, found[2, 960].error) == (1490, -10) and found[2, 1320].pred == 1510
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Tables of other sizes are dealt to as many more tasks, on average TASK_ROWS rows each, with the same rows as a result."""
+    rng = random.Random(2)
+    line = [(1, 0, "a"), (1, 1, "b"), (1, 2, "a")]
+    arrivals = [(i, i % 3, rng.randrange(2), 1, line[i % 3][2], i % 3, rng.randrange(3000)) for i in range(60)]
+    shown = [(i, i % 3, rng.randrange(2), "ab"[i % 2], rng.choice((1, 2, 3, None)), s, s + 300, s - 30, s + 400) for i in range(60) for s in [rng.randrange(2500)]]
+    whole, plain, dealt = table(spark, arrivals, shown, line), forecasts.asof, []
+    monkeypatch.setattr(forecasts, "TASK_ROWS", 20)
+    monkeypatch.setattr(forecasts, "asof", lambda *a, **more: dealt.append(more["tasks"]) or plain(*a, **more))
+    assert table(spark, arrivals, shown, line) == whole and len(whole) > 400
+    least = spark.sparkContext.defaultParallelism
+    assert dealt == [max(least, 6)] + [max(least, (60 * 10 + 60) // 20)] * 5
+
+
 def plain_clusters(values, gap, width, least):
     out = [[]]
     for v in sorted(values):

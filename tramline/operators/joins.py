@@ -14,28 +14,35 @@ from tramline.operators.tracks import another_near
 
 
 def asof(
-    left: DataFrame, right: DataFrame, by: Sequence[str], t: str, id_: str, keep: Sequence[str], forward: bool = False, max_age: int | None = None, width: int = 86_400
+    left: DataFrame, right: DataFrame, by: Sequence[str], t: str, id_: str, keep: Sequence[str], forward: bool = False, max_age: int | None = None, width: int = 86_400, tasks: int | None = None, times: DataFrame | None = None
 ) -> DataFrame:
     """left with the columns `keep` (and `at`) of the latest right row at or before t (or the earliest at or after it).
 
     Rows of both sides have unique `id_`s within their side; of right rows at one time that with the larger
     id counts (the smaller when looking forward). Rows older than max_age are dropped after the choice; a left row
     without a time finds none. A key is cut into blocks of `width` along t, and each block's last (first) right
-    row is carried to the blocks after (before) it, so a key of any number of rows is spread over tasks."""
+    row is carried to the blocks after (before) it, as a row before all of theirs, so a key of any number of rows is spread over tasks
+    and each task sorts once. With `tasks` the blocks are dealt to so many tasks, whatever their bytes. `times` (by and t) may tell
+    where left has rows, one row for each of its blocks at least, where left itself is costly to make."""
     r = right.where(F.col(t).isNotNull()).select(*by, t, F.col(id_).alias("_rid"), F.struct(F.col(t).alias("at"), *keep).alias("_r"))
     both = left.withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    both = both.withColumn("_cut", F.struct(F.struct(F.lit(0).alias("_"), *by).alias("key"), F.floor(F.col(t) / width).alias("block")))
-    nearest, direction = (F.min_by, F.desc_nulls_last) if forward else (F.max_by, F.asc_nulls_first)
-    of_right = F.when(F.col("_side") == 0, F.struct(t, "_rid"))
-    ends = both.groupBy("_cut").agg(nearest("_r", of_right).alias("_end"))
-    blocks = Window.partitionBy("_cut.key").orderBy(direction("_cut.block")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_cut", F.last("_end", ignorenulls=True).over(blocks).alias("_carried"))
+    block, cut = F.floor(F.col(t) / width).alias("_block"), [*by, "_block"]
+    nearest, direction = (F.min_by, F.desc) if forward else (F.max_by, F.asc)
+    ends = r.groupBy(*by, block).agg(nearest("_r", F.struct(t, "_rid")).alias("_end"))
+    asked = (left if times is None else times).where(F.col(t).isNotNull()).select(*by, block).distinct().withColumn("_asked", F.lit(True))
+    # A block may have a row of each side here; the frame holds the blocks before only.
+    blocks = Window.partitionBy(*by).orderBy(direction("_block")).rangeBetween(Window.unboundedPreceding, -1)
+    carried = asked.unionByName(ends, allowMissingColumns=True).withColumn("_r", F.last("_end", ignorenulls=True).over(blocks))
+    carried = carried.where("_asked AND _r IS NOT NULL").select(*cut, "_r", F.lit(-1).alias("_side"))
+    both = both.select("*", block).unionByName(carried, allowMissingColumns=True)
+    if tasks:
+        both = both.repartition(tasks, *cut)
     if forward:
-        order = Window.partitionBy("_cut").orderBy(F.col(t).desc(), "_side", F.col("_rid").desc())
+        order = Window.partitionBy(*cut).orderBy(F.col(t).desc_nulls_first(), "_side", F.col("_rid").desc())
     else:
-        order = Window.partitionBy("_cut").orderBy(t, "_side", "_rid")
+        order = Window.partitionBy(*cut).orderBy(F.col(t).asc_nulls_first(), "_side", "_rid")
     here = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.join(carried, "_cut").withColumn("_r", F.coalesce(here, "_carried")).where("_side = 1").drop("_side", "_rid", "_cut", "_carried")
+    rows = both.withColumn("_r", here).where("_side = 1").drop("_side", "_rid", "_block")
     age = F.abs(F.col(t) - F.col("_r.at"))
     ok = F.col(t).isNotNull() if max_age is None else age <= max_age
     return rows.withColumn("_r", F.when(ok, F.col("_r"))).select("*", *[F.col(f"_r.{c}").alias(c if c not in left.columns else f"r_{c}") for c in ("at", *keep)]).drop("_r")
