@@ -10,7 +10,8 @@ last slots of the part pass take just the words that are still due, so totals ar
 
 All of it is DataFrame expressions; texts are read twice, to count words and to cut them at block borders. Pieces of
 texts meet by source and block index, and each block meets its slots (a few) there. Running sums
-are taken within groups of about GROUP documents and then over groups, so no task holds a source's rows.
+are taken within groups of about GROUP documents and then over groups, so no task holds a source's rows. Where whole documents
+stand for their words (`resampled`), blocks are made without words, from the sizes alone.
 
 Defined cases: a null text has no words; documents without words take none and take part in no block; a
 null source is a source, the last; repeated rows are separate documents; with no words at all every target
@@ -114,54 +115,63 @@ def slots(planned: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     return rows.select("s", "shard", "slot", "block", (take == length).alias("whole"), take.alias("take")).where("take > 0")
 
 
-def placed(rows: DataFrame, sizes: DataFrame, planned: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, sizes: DataFrame, planned: DataFrame, spread: bool = False) -> DataFrame:
     """rows (sizes, or those and more columns) with s and `start`, the place of the document's first word in its source's stream.
 
-    s, g and row name a document; documents that are alike in id, source and text may swap names."""
+    s, g and row name a document; documents that are alike in id, source and text may swap names. spread: rows are short, but what follows
+    makes many of each, so they go to as many tasks as shuffles have, whatever their bytes."""
     rows, sizes = (x.join(_known(planned), x.source.eqNullSafe(planned.source)).drop(planned.source) for x in (rows, sizes))
     group = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / GROUP).cast("long"))
     rows, sizes = rows.withColumn("g", group), sizes.withColumn("g", group)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "g") if spread else rows
     inside = Window.partitionBy("s", "g").orderBy("doc_id", "size", "print")
     totals = sizes.groupBy("s", "g").agg(F.sum("size").alias("total"))
     base = totals.select("s", "g", (F.sum("total").over(Window.partitionBy("s").orderBy("g")) - F.col("total")).alias("base"))
     rows = rows.withColumn("row", F.row_number().over(inside)).withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(base, ["s", "g"]).withColumn("start", F.col("base") + F.col("until") - F.col("size"))
+    return rows.join(base.hint("merge") if spread else base, ["s", "g"]).withColumn("start", F.col("base") + F.col("until") - F.col("size"))
 
 
-def _cut(rows: DataFrame, block: int) -> DataFrame:
-    """s, block, first (place in the stream), n, g, row and words: the texts of placed rows, cut at block borders."""
-    def piece(w: Column, b: Column) -> Column:
+def _cut(rows: DataFrame, block: int, words: bool = True) -> DataFrame:
+    """s, block, first (place in the stream), n, g, row and, where asked for, words: the texts of placed rows, cut at block borders."""
+    def piece(b: Column, w: Column | None = None) -> Column:
         first = F.greatest(F.col("start"), b * block)
         n = F.least(F.col("start") + F.col("size"), (b + 1) * block) - first
-        words = F.array_join(F.slice(w, (first - F.col("start") + 1).cast("int"), n.cast("int")), " ")
-        return F.struct(b.alias("block"), first.alias("first"), n.alias("n"), words.alias("words"))
+        part = [] if w is None else [F.array_join(F.slice(w, (first - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("words")]
+        return F.struct(b.alias("block"), first.alias("first"), n.alias("n"), *part)
 
     indices = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
-    pieces = let(F.array_remove(F.split("text", GAP), ""), lambda w: F.transform(indices, lambda b: piece(w, b)))
+    with_words = lambda w: F.transform(indices, lambda b: piece(b, w))
+    pieces = let(F.array_remove(F.split("text", GAP), ""), with_words) if words else F.transform(indices, lambda b: piece(b))
     return rows.where("size > 0").select("s", "g", "row", F.explode(pieces).alias("p")).select("s", "g", "row", "p.*")
 
 
-def blocks(docs: DataFrame, sizes: DataFrame, planned: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks(docs: DataFrame, sizes: DataFrame, planned: DataFrame, block: int = BLOCK, words: bool = True) -> DataFrame:
     """The mix: a row for each slot that takes words, with shard, slot (numbered by source), s, source, block, its words
-    (one space between two) and pieces (g, row and n: the documents they are from, and how many words of each)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    texts = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("print"), "text")
-    pieces = _cut(placed(texts, sizes, planned), block)
-    whole = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("first", "n", "g", "row", "words"))).alias("pieces"))
-    whole = whole.withColumn("words", F.array_join(F.col("pieces.words"), " "))
+    (one space between two) and pieces (g, row and n: the documents they are from, and how many words of each).
+
+    Without `words` only these are left out, and docs is not read: the pieces follow from the sizes."""
+    texts = sizes
+    if words:
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        texts = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("print"), "text")
+    pieces = _cut(placed(texts, sizes, planned, spread=not words), block, words)
+    whole = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("first", "n", "g", "row", *["words"] * words))).alias("pieces"))
+    whole = whole.withColumn("words", F.array_join(F.col("pieces.words"), " ")) if words else whole
     whole = whole.withColumn("pieces", F.transform("pieces", lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"), p["g"].alias("g"), p["row"].alias("row"))))
     mix = slots(planned, block).join(whole, ["s", "block"]).join(_known(planned.select("s", "source")), "s")
     end = F.col("block") * block + F.col("take")
     part = F.transform("pieces", lambda p: F.struct(p["g"].alias("g"), p["row"].alias("row"), F.least(p["n"], end - p["first"]).alias("n")))
-    words = F.expr("CASE WHEN whole THEN words ELSE substring_index(words, ' ', CAST(take AS INT)) END")
-    return mix.select("shard", "slot", "s", "source", "block", words.alias("words"), F.filter(part, lambda p: p["n"] > 0).alias("pieces"))
+    taken = [F.expr("CASE WHEN whole THEN words ELSE substring_index(words, ' ', CAST(take AS INT)) END").alias("words")] if words else []
+    return mix.select("shard", "slot", "s", "source", "block", *taken, F.filter(part, lambda p: p["n"] > 0).alias("pieces"))
+
 
+def mixed(docs: DataFrame, block: int = BLOCK, words: bool = True) -> DataFrame:
+    """doc_id, source, size, print, source_size, target and taken (words the mix takes, repeats counted), from the mix's blocks.
 
-def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, print, source_size, target and taken (words the mix takes, repeats counted), from the mix's blocks."""
+    Without `words` the blocks have just the places of their words: the same counts, but no text is cut, dealt or written."""
     sizes = stored(word_counts(docs), "sizes")
     planned = stored(targets(sizes), "targets")
-    mix = stored(blocks(docs, sizes, planned, block), "mix", "zstd")
+    mix = stored(blocks(docs, sizes, planned, block, words), "mix", "zstd")
     used = mix.select("s", F.explode("pieces").alias("p")).groupBy("s", "p.g", "p.row").agg(F.sum("p.n").alias("taken"))
     keys = ["s", "g", "row", "doc_id", "source", "size", "print", "source_size", "target"]
     rows = placed(sizes, sizes, planned).select(*keys).join(used, ["s", "g", "row"], "left")
@@ -175,7 +185,7 @@ def copies(docs: DataFrame) -> DataFrame:
     running sum of taken / size. So those of every size come in their share, and as sizes only grow along the stream,
     the copies' words are within one longest document of the words taken. Sums go by size, within it by
     groups of about GROUP documents, and then over these."""
-    rows = stored(mixed(docs).where("size > 0"), "taken")
+    rows = stored(mixed(docs, words=False).where("size > 0"), "taken")
     parts = rows.groupBy("s", "size").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     order = F.xxhash64("doc_id", "print", F.lit("copies"))
     rows = rows.join(parts, ["s", "size"]).withColumns({"order": order, "part": F.pmod(order, "parts")})

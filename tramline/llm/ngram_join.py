@@ -7,7 +7,8 @@ members. Every member is hashed to one of `apart + 1 + spare` segments of the ba
 with an allocation of 0 (not at all), 1 (equal segments) or 2 (segments that differ by one member at most);
 allocations of apart + 1 in sum cannot all fail. The cost of a segment is the number of sets that may share
 it, which is large where it has no or one member: such segments get 0, paid first by the spare segments and
-then by 2 for reserved ones. What is left of them, if any, is probed all the same.
+then by 2 for reserved ones. Empty segments come first, as a set of the band has one alike by mere chance: a key of these would
+hold a share of all sets. So many segments are reserved that they are hardly ever probed; what is left of the tiny ones, if any, is probed all the same.
 
 A segment is keyed by the sum of its members' scrambled hashes, so those of its one-deletion neighbourhood
 are differences. Keys are shuffled once; those that no second set has go at once.
@@ -74,12 +75,16 @@ class Bands:
 
     @lru_cache(None)
     def segments(self, band: int) -> tuple[int, int, int]:
-        """Segments, how many of them are spare, and how many are reserved for allocation 2."""
+        """Segments, how many of them are spare, and how many are reserved for allocation 2: as many as hardly any set has empty segments for beyond the spare ones."""
         need = self.apart(band) + 1
         mean = self.low[band] / need  # members in a segment of the band's least set
         tiny = float(np.exp(-mean) * (1 + mean))
         spare = int(np.ceil(need * tiny * 1.3)) if need > 8 else 0
-        return need + spare, spare, min(need - 1, 1 + need // 64)
+        count = need + spare
+        mean = self.low[band] / count
+        empty, full = count * float(np.exp(-mean)), 1 - float(np.exp(-mean) * (1 + mean))
+        more = int(np.ceil(1.5 * (empty + 4 * np.sqrt(empty) - spare) / full))
+        return count, spare, max(min(need - 1, 1 + need // 64), min(count, more))
 
 
 def _segment_keys(members: np.ndarray, band: int, own: bool, bands: Bands) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -98,9 +103,10 @@ def _segment_keys(members: np.ndarray, band: int, own: bool, bands: Bands) -> tu
 
     tiny = np.flatnonzero(size <= 1)
     tiny = tiny[np.argsort(size[tiny], kind="stable")]
-    double = [j for j in range(reserved) if size[j] > 1][: max(0, len(tiny) - spare)]
-    tiny = tiny[tiny >= reserved][: spare + len(double)] if len(double) else tiny[:spare]
-    double = double[: max(0, len(tiny) - spare)]
+    # As many as the empty segments need, and a few for those of one member; the fullest, as their keys are shared least.
+    wanted = min(len(tiny) - spare, max(int((size == 0).sum()) - spare, 1 + count // 64))
+    double = sorted((j for j in range(reserved) if size[j] > 1), key=lambda j: -size[j])[: max(0, wanted)]
+    tiny = tiny[: spare + len(double)]
     probe = np.ones(count, bool)
     probe[tiny] = False
 
@@ -108,7 +114,8 @@ def _segment_keys(members: np.ndarray, band: int, own: bool, bands: Bands) -> tu
         return mix64(total[j] - value[order[until[j] : until[j + 1]]] + name[j])
 
     probes = [key[probe], *(lacking_one(j) for j in double)]
-    offers = [key[~probe], *(lacking_one(j) for j in range(reserved) if j not in double)] if own else []
+    # Allocation 2 is for segments of two members or more, so one that has one more than such a segment has three.
+    offers = [key[~probe], *(lacking_one(j) for j in range(reserved) if size[j] > 2 and j not in double)] if own else []
     return probes, offers
 
 
@@ -126,10 +133,10 @@ def _print(members: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(n: int, num: int, den: int) -> Callable:
-    """Size, print, sketch and keys (those probed, those only offered) of each text's set."""
+    """Size, print, sketch and keys (those probed, those only offered) of each text's set; of a key 48 bits, as one shared by chance costs a comparison and no more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands, nothing = Bands(num, den), np.empty(0, np.int64)
+        bands, nothing = Bands(num, den), np.empty(0, _U)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
@@ -142,7 +149,7 @@ def _sets(n: int, num: int, den: int) -> Callable:
                         found = _segment_keys(s, band, band == probed[-1], bands)
                         probes += found[0]
                         offers += found[1]
-                keys = (np.concatenate(x).view(np.int64) for x in (probes, offers))
+                keys = ((np.concatenate(x) >> _U(16)).view(np.int64) for x in (probes, offers))
                 out.append((doc_id, len(s), *_print(s), _sketch(s), *keys))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "sketch", "probes", "offers"])
 
@@ -257,11 +264,8 @@ def _only(rows: DataFrame, ids: DataFrame, columns: list[str], how: str) -> Data
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
     """(key, id, pivot): each set of every key that two sets or more have, one of which at least probes it; the pivot probes it."""
-    keys = F.concat(
-        F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))),
-        F.transform("offers", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
-    )
-    rows = sets.select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.probe")
+    probes, offers = (sets.select("id", F.explode(c).alias("key"), F.lit(c == "probes").alias("probe")) for c in ("probes", "offers"))
+    rows = probes.unionByName(offers)
     pivot = F.min(F.when(F.col("probe"), F.col("id")))
     held = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), pivot.alias("pivot")).where("low < high AND pivot IS NOT NULL")
     # A key of very many sets is aggregated before its shuffle, and the join can be split by adaptive execution.
