@@ -14,12 +14,10 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.cuts import running
-from tramline.operators.joins import asof
 from tramline.operators.lineage import written
 
 #: Metres of a degree of latitude.
@@ -28,8 +26,8 @@ DEGREE = 111_320.0
 FIRST, LEVELS = 50.0, 21
 # A stop may lie as much farther than its nearest place on the line, and fall back as much behind the stop before.
 SLACK, BACK = 25.0, 5.0
-#: Stops of a block of running values, and segments that wait before those behind are dropped.
-STOP_BLOCK, SEGMENTS = 4096, 65_536
+#: Segments or boxes under one box of a line; places that are looked for at once, and pairs of them and segments, about.
+FAN, PLACES, PAIRS = 64, 128, 1_000_000
 
 
 def flat(lat: Column, lon: Column, lat0: float) -> tuple[Column, Column]:
@@ -130,20 +128,13 @@ def _nearest_segment(points: DataFrame, segs: DataFrame, by: Sequence[str], firs
     return best.select(*points.columns, *[F.col("_best")[c].alias(c) for c in ("seg", "d", "along")])
 
 
-def _beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float, first: float | None) -> DataFrame:
-    """points with seg, d, along, near and _best (the distance of the nearest segment), as for `beside`, but a segment of several pieces may come several times, with the same distance.
-
-    The nearest is found first, in small cells, so that pairs farther than it and the slack go where they are met."""
-    points, segs = written(points), written(segs)
-    near = written(_nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0)).drop("seg").withColumnsRenamed({"d": "_best", "along": "near"}))
-    return _distances(near, segs, by, slack, first or _fit(near, segs, by, slack)).where(F.col("d") <= F.col("_best") + slack)
-
-
 def beside(points: DataFrame, segs: DataFrame, by: Sequence[str], slack: float = 0.0, first: float | None = None) -> DataFrame:
     """points (id, x, y and others) with seg, d and along for every segment of the same key that is at most `slack` farther than the nearest one; and near, the way along to that.
 
-    first is the width of first cells, fitted where not given."""
-    met = _beside(points, segs, by, slack, first)
+    first is the width of first cells, fitted where not given. The nearest is found first, in small cells, so that pairs farther than it and the slack go where they are met."""
+    points, segs = written(points), written(segs)
+    near = written(_nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0)).drop("seg").withColumnsRenamed({"d": "_best", "along": "near"}))
+    met = _distances(near, segs, by, slack, first or _fit(near, segs, by, slack)).where(F.col("d") <= F.col("_best") + slack)
     return met.dropDuplicates([*by, "id", "seg"]).select(*points.columns, "seg", "d", "along", "near")
 
 
@@ -153,71 +144,123 @@ def on_line(points: DataFrame, segs: DataFrame, by: Sequence[str], first: float
     return _nearest_segment(points, segs, by, first or _fit(points, segs, by, 0.0))
 
 
-def _first_way(held: np.ndarray, far: float, limit: float, x: float, y: float) -> float | None:
-    """The least way along the held segments (start, ax, ay, bx, by_ and length, in order) that is `far` at least and within `limit` of x and y."""
-    at, size = max(0, int(np.searchsorted(held[:, 0], far)) - 1), 64
-    while at < len(held):
-        start, ax, ay, bx, by, length = held[at : at + size].T
-        dx, dy = bx - ax, by - ay
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part = np.where(length > 0, ((x - ax) * dx + (y - ay) * dy) / (length * length), 0.0)
-        part = np.minimum(1.0, np.maximum(0.0, part))
-        ways = start + part * length
-        fits = (ways >= far) & (np.sqrt((ax + part * dx - x) ** 2 + (ay + part * dy - y) ** 2) <= limit)
-        if fits.any():
-            return float(ways[fits].min())
-        at, size = at + size, size * 4
-    return None
-
-
-def along(stops: DataFrame, segs: DataFrame, by: Sequence[str], first: float | None = None) -> DataFrame:
+def _measured(segs: np.ndarray, x: np.ndarray | float, y: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """How far x and y are from each segment (start, ax, ay, bx, by_ and length), and the way along to its nearest point."""
+    start, ax, ay, bx, by, length = segs.T
+    dx, dy = bx - ax, by - ay
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = np.where(length > 0, ((x - ax) * dx + (y - ay) * dy) / (length * length), 0.0)
+    part = np.minimum(1.0, np.maximum(0.0, part))
+    return np.sqrt((ax + part * dx - x) ** 2 + (ay + part * dy - y) ** 2), start + part * length
+
+
+class _Line:
+    """The segments (start, ax, ay, bx, by_ and length) of one line in order, under boxes around FAN of them, boxes around FAN boxes, and so on."""
+
+    def __init__(self, segs: np.ndarray) -> None:
+        self.segs, self.levels = segs, []
+        low, high = np.minimum(segs[:, 1:3], segs[:, 3:5]), np.maximum(segs[:, 1:3], segs[:, 3:5])
+        while len(low) > FAN or not self.levels:
+            at = np.arange(0, len(low), FAN)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            self.levels.append(np.hstack((low, high)))
+
+    @staticmethod
+    def _near(boxes: np.ndarray, x: np.ndarray | float, y: np.ndarray | float, limit: np.ndarray | float) -> np.ndarray:
+        """Whether boxes are within the limit of x and y; of a little more than it, as the gap and the distance are rounded apart."""
+        x0, y0, x1, y1 = boxes.T
+        gap_x, gap_y = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
+        return gap_x * gap_x + gap_y * gap_y <= (limit * (1 + 1e-9) + 1e-6) ** 2
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far each place is from its nearest segment, and the way along to it; of equally near ones the earliest.
+
+        The first segment of each box bounds the distance; only boxes that are nearer are opened. Places are halved where they open too many."""
+        some, best = np.arange(len(x)), np.full(len(x), np.inf)
+        top = len(self.levels[-1])
+        place, box = np.repeat(some, top), np.tile(np.arange(top), len(x))
+        for level in range(len(self.levels) - 1, -1, -1):
+            found = _measured(self.segs[box * FAN ** (level + 1)], x[place], y[place])[0]
+            best = np.minimum(best, np.minimum.reduceat(found, np.searchsorted(place, some)))
+            open_ = self._near(self.levels[level][box], x[place], y[place], best[place])
+            place, box = place[open_], box[open_]
+            if len(box) * FAN > PAIRS and len(x) > 1:
+                half = len(x) // 2
+                return tuple(np.concatenate(both) for both in zip(self.nearest(x[:half], y[:half]), self.nearest(x[half:], y[half:]), strict=True))
+            many = np.minimum(FAN, len(self.levels[level - 1] if level else self.segs) - box * FAN)
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            place, box = np.repeat(place, many), np.repeat(box * FAN, many) + within
+        found, ways = _measured(self.segs[box], x[place], y[place])
+        first = np.searchsorted(place, some)
+        best = np.minimum.reduceat(found, first)
+        return best, np.minimum.reduceat(np.where(found == best[place], ways, np.inf), first)
+
+    def first_way(self, far: float, limit: float, x: float, y: float) -> float | None:
+        """The least way along that is `far` at least and within `limit` of x and y. Only boxes as near are opened, in order, so what is passed over is not measured."""
+        return self._within(len(self.levels) - 1, 0, max(0, int(np.searchsorted(self.segs[:, 0], far)) - 1), far, limit, x, y)
+
+    def _within(self, level: int, begin: int, first: int, far: float, limit: float, x: float, y: float) -> float | None:
+        """That of the boxes `begin` and after of a level (of the segments, at -1) that are in one box; what lies before segment `first` is left out."""
+        end = begin + FAN
+        if level < 0:
+            found, ways = _measured(self.segs[max(begin, first) : end], x, y)
+            fits = (ways >= far) & (found <= limit)
+            return float(ways[fits].min()) if fits.any() else None
+        begin = max(begin, first // FAN ** (level + 1))
+        for i in np.flatnonzero(self._near(self.levels[level][begin:end], x, y, limit)).tolist():
+            way = self._within(level - 1, (begin + i) * FAN, first, far, limit, x, y)
+            if way is not None:
+                return way
+        return None
+
+
+def along(stops: DataFrame, segs: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, id, seq and along of the stops (id, seq, x, y) of lines, projected so that they follow each other along the line.
 
     Of the places within SLACK of a stop's nearest one, the earliest counts that is not more than BACK behind the places before; where there is
-    none, the nearest place of all. So a stop that a line passes twice gets the pass that fits its turn. Of a stop's places only the first, the last and the
-    nearest are kept, so they are never listed: lines stream through in the order of their stops, and each segment comes before the first stop that may need it. Where
-    the way so far lies between a stop's first and last place, the segments ahead are looked through. A task holds the segments from the way so far to the
-    last place of the stops before."""
-    met = _beside(stops.select(*by, "id", "seq", "x", "y"), segs, by, SLACK, first)
-    turn = F.struct("seq", "id")
-    found = met.groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("seq", "x", "y", "near")], (F.first("_best") + SLACK).alias("limit"), F.min("along").alias("low"), F.max("along").alias("high"))
-    found = written(running(written(found), by, ["seq", "id"], F.floor(F.col("seq") / STOP_BLOCK), "max", F.col("high"), "_reach").withColumn("_turn", turn))
-    needed = asof(segs.withColumn("_reach", F.col("start")), found.select(*by, "_reach", "_turn"), by, "_reach", "_turn", ["_turn"], forward=True).where("_turn IS NOT NULL")
+    none, the nearest place of all. So a stop that a line passes twice gets the pass that fits its turn. A stop's places are neither listed nor all measured:
+    stops stream in turn past their line, which is searched for the nearest place, and for the one that counts ahead of the way so far, through boxes around its
+    segments. A line is one task, which holds its segments (48 bytes each) and boxes."""
     names = ["a", "b", "c", "d", "e", "f"]
-    as_ = lambda columns: [F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)]
-    both = needed.select(*by, "_turn.seq", "_turn.id", F.lit(0).alias("kind"), *as_(("start", "ax", "ay", "bx", "by_", "length")))
-    both = both.unionByName(found.select(*by, "seq", "id", F.lit(1).alias("kind"), *as_(("limit", "x", "y", "near", "low", "high"))))
-
-    def ahead(held: np.ndarray, fresh: list, far: float) -> np.ndarray:
-        """The held and fresh segments; what lies behind the way so far is needed no more."""
-        both = np.concatenate([held, np.array(fresh)])
-        return both[max(0, int(np.searchsorted(both[:, 0], far)) - 1) :]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, far, held, fresh = None, -math.inf, np.empty((0, 6)), []
+    as_ = lambda columns: [F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=False)]
+    kind_of, present = dict(stops.dtypes), [F.col(c).isNotNull() for c in by]
+    lines = segs.select(*by, F.lit(0).alias("kind"), F.col("seg").cast(kind_of["seq"]).alias("seq"), F.lit(None).cast(kind_of["id"]).alias("id"), *as_(("start", "ax", "ay", "bx", "by_", "length")))
+    placed = stops.where("x IS NOT NULL AND y IS NOT NULL").select(*by, F.lit(1).alias("kind"), "seq", "id", *as_(("x", "y")))
+    both = lines.unionByName(placed, allowMissingColumns=True).fillna(0.0, names)
+    for test in present:
+        both = both.where(test)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, far, parts, line = None, -math.inf, [], None
         for batch in batches:
-            spots = []
-            kinds, values = batch["kind"].tolist(), batch[names].to_numpy().tolist()
-            for k, kind, row in zip(zip(*[batch[c].tolist() for c in by], strict=True), kinds, values, strict=True):
-                if k != key:
-                    key, far, held, fresh = k, -math.inf, np.empty((0, 6)), []
-                if not kind:
-                    fresh.append(row)
-                    if len(fresh) == SEGMENTS:
-                        held, fresh = ahead(held, fresh, far - BACK), []
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            kinds, values = batch.column("kind").to_pylist(), np.column_stack([batch.column(n).to_numpy() for n in names])
+            cuts = [0, *(i for i in range(1, len(keys)) if (keys[i], kinds[i]) != (keys[i - 1], kinds[i - 1])), len(keys)]
+            ways, stood = [], np.zeros(len(keys), bool)
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if keys[begin] != key:
+                    key, far, parts, line = keys[begin], -math.inf, [], None
+                if not kinds[begin]:
+                    parts.append(values[begin:end])
                     continue
-                limit, x, y, spot, low, high = row
-                if far - BACK <= low:
-                    spot = low
-                elif far - BACK <= high:
-                    if fresh:
-                        held, fresh = ahead(held, fresh, far - BACK), []
-                    way = _first_way(held, far - BACK, limit, x, y)
-                    spot = high if way is None else way
-                far = max(far, spot)
-                spots.append(spot)
-            stood = batch[batch["kind"] == 1]
-            yield stood[[*by, "id", "seq"]].assign(along=np.array(spots, dtype="float64"))
+                if line is None and not parts:
+                    continue  # a line without segments
+                if line is None:
+                    line, parts = _Line(np.concatenate(parts)), []
+                stood[begin:end] = True
+                for at in range(begin, end, PLACES):
+                    x, y = values[at : min(end, at + PLACES), :2].T
+                    for spot in zip(x.tolist(), y.tolist(), *[v.tolist() for v in line.nearest(x, y)], strict=True):
+                        way = line.first_way(far - BACK, spot[2] + SLACK, spot[0], spot[1])
+                        way = spot[3] if way is None else way
+                        far = max(far, way)
+                        ways.append(way)
+            kept = batch.filter(pa.array(stood))
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in (*by, "id", "seq")], pa.array(ways, pa.float64())], names=[*by, "id", "seq", "along"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stops.select(*by, "id", "seq").schema.fields)
-    return both.repartition(*by).sortWithinPartitions(*by, "seq", "id", "kind", "a").mapInPandas(run, f"{kind}, along double")
+    # By a number of tasks, as a line takes long for its bytes.
+    dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return dealt.sortWithinPartitions(*by, "kind", "seq", "id").mapInArrow(run, f"{kind}, along double")

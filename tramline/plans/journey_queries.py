@@ -84,8 +84,8 @@ def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Segments of ten lines, and places beside them."""
     rows = events(spark, sf_dir).select("event_id", (F.col("veh") % 10).alias("line"), "stop", "t", ((F.col("t") - BEGIN) / 60.0).alias("x"), F.col("value").alias("y"), "k")
     views = rows.where("stop = 'view'")
-    order = numbered(views.select("line", "t", "event_id"), ["line"], "t", "event_id", "seq")
-    segs = geometry.segments(views.join(order, ["line", "t", "event_id"]).select("line", "seq", "x", "y"), ["line"])
+    order = numbered(views, ["line"], "t", "event_id", "seq", keep=["x", "y"])
+    segs = geometry.segments(order.select("line", "seq", "x", "y"), ["line"])
     points = rows.where("stop = 'purchase'").select("line", F.col("event_id").alias("id"), "t", (F.col("x") + F.col("k")).alias("x"), (F.col("y") + 10).alias("y"))
     return points, segs
 
@@ -107,8 +107,7 @@ def places_on_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places along their lines, each no farther back than the one before it in time."""
     points, segs = _tracks(spark, sf_dir)
-    order = numbered(points.select("line", "t", F.col("id").alias("event_id")), ["line"], "t", "event_id", "seq").withColumnRenamed("event_id", "id")
-    stops = points.join(order.drop("t"), ["line", "id"])
+    stops = numbered(points, ["line"], "t", "id", "seq", keep=["x", "y"])
     return geometry.along(stops, segs, ["line"]).select("id", F.round("along", 2).alias("along"))
 
 
